@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_queries",)
+MODULES = ("quality_queries", "dataset_queries")
 
 
 def _modules():

@@ -7,21 +7,11 @@ from pyspark.sql import functions as F
 
 from veritally.functions import stats
 from veritally.operators import agreement, errors, quality
-from veritally.sources.result_rows import flatten_rows
 from veritally.plans.derive import flat_rows, fold_sql, register_cte, rounded, samples, series_rows, sql
+from veritally.plans.registry import registry
+from veritally.sources.result_rows import flatten_rows
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def wrap(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            SQL[name] = oracle
-        return fn
-
-    return wrap
+QUERIES, SQL, query = registry()
 
 
 def rates(tp="tp", fp="fp", fn="fn", tn="tn") -> str:

@@ -44,7 +44,7 @@ def file_digests(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
         .option("pathGlobFilter", glob)
         .load(root)
     )
-    body = F.decode("content", F.lit("ISO-8859-1"))
+    body = F.decode("content", "ISO-8859-1")
     return files.select(
         F.regexp_replace("path", r"^.*/", "").alias("name"),
         F.col("path"),
