@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_queries", "dataset_queries")
+MODULES = ("quality_queries", "dataset_queries", "metric_queries", "privacy_queries")
 
 
 def _modules():

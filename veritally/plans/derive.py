@@ -223,28 +223,12 @@ def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests over documents: the text as answer, its two halves as contexts, last half first."""
-    docs = table(spark, sf_dir, "documents")
-    half = F.floor(F.length("text") / 2).cast("int")
-    return docs.select(
-        F.col("doc_id").cast("string").alias("sample_id"),
-        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("question"),
-        F.col("text").alias("answer"),
-        F.array(F.substring("text", half + 1, F.length("text")), F.substring("text", F.lit(1), half)).alias("contexts"),
-    )
-
-
-REQUESTS_SQL = """
-requests AS (
-  SELECT doc_id::VARCHAR AS sample_id, 'Document ' || doc_id AS question, text AS answer,
-    [substring(text, (length(text) // 2)::INT + 1, length(text)), substring(text, 1, (length(text) // 2)::INT)] AS contexts
-  FROM documents)"""
-
-
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as job state changes: the user is the job, the event type the new state."""
-    events = table(spark, sf_dir, "events")
+    return as_job_events(table(spark, sf_dir, "events"))
+
+
+def as_job_events(events: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("event_type") == "view", "queued")
         .when(F.col("event_type").isin("click", "signup"), "running")
@@ -278,7 +262,6 @@ _CTES = {
     "claims": (CLAIMS_SQL, ()),
     "verdicts": (VERDICTS_SQL, ("claims",)),
     "ratings": (RATINGS_SQL, ()),
-    "requests": (REQUESTS_SQL, ()),
     "job_events": (JOB_EVENTS_SQL, ()),
 }
 
