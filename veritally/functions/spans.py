@@ -6,7 +6,7 @@ A text and its spans live in one row, so masking a request never shuffles. Offse
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +27,15 @@ PATTERNS: dict[str, tuple[str, float]] = {
 SPAN_SQL = "struct<start: int, end: int, entity_type: string, score: double>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it as often as `body` likes.
+
+    Inside a lambda nothing is shared between uses of one expression, and an outer expression
+    is evaluated anew for every element; a bound variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def passes_luhn(number: Column) -> Column:
     """The check digit rule of card numbers, over the digits of a text."""
     digits = F.reverse(F.split(F.regexp_replace(number, "[^0-9]", ""), ""))
@@ -49,30 +58,37 @@ def pattern_spans(text: Column, entity_type: str, check_luhn: bool = True) -> Co
     earlier copy of it that the pattern rejects.
     """
     pattern, score = PATTERNS[entity_type]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("p"))
     empty = F.array().cast(f"array<{SPAN_SQL}>")
-    folded = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, z: F.struct(
-            (acc["at"] + F.length(z["p"]) + F.length(z["m"])).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(z["p"])).alias("start"),
-                        (acc["at"] + F.length(z["p"]) + F.length(z["m"])).alias("end"),
-                        F.lit(entity_type).alias("entity_type"),
-                        F.lit(score).alias("score"),
-                    )
+
+    def place(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        return F.aggregate(
+            F.arrays_zip(found.alias("m"), between.alias("p")),
+            F.struct(F.lit(0).alias("at"), empty.alias("spans")),
+            lambda acc, z: let(
+                acc["at"] + F.length(z["p"]),
+                lambda start: F.struct(
+                    (start + F.length(z["m"])).alias("at"),
+                    F.concat(
+                        acc["spans"],
+                        F.array(
+                            F.struct(
+                                start.alias("start"),
+                                (start + F.length(z["m"])).alias("end"),
+                                F.lit(entity_type).alias("entity_type"),
+                                F.lit(score).alias("score"),
+                            )
+                        ),
+                    ).alias("spans"),
                 ),
-            ).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    spans = let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda found: F.when(F.size(found) > 0, place(found)).otherwise(empty),
     )
-    spans = F.when(F.size(found) > 0, folded).otherwise(empty)
     if entity_type == "CREDIT_CARD" and check_luhn:
         return F.filter(spans, lambda s: passes_luhn(surface_form(text, s)))
     return spans
@@ -115,7 +131,9 @@ def merge_spans(spans: Column) -> Column:
             F.concat(acc, F.array(s))
         )
 
-    return F.when(F.size(spans) > 1, F.aggregate(F.array_sort(spans), empty, fold)).otherwise(spans)
+    return let(
+        spans, lambda found: F.when(F.size(found) > 1, F.aggregate(F.array_sort(found), empty, fold)).otherwise(found)
+    )
 
 
 def keep_in_range(text: Column, spans: Column) -> Column:
@@ -142,30 +160,35 @@ def number_placeholders(texts: Column, spans: Column) -> Column:
         )
     )
     # First appearance decides the type: later entries of a form are dropped.
-    first = F.aggregate(
+    distinct = F.aggregate(
         found,
         F.array().cast("array<struct<surface: string, entity_type: string>>"),
         lambda acc, f: F.when(F.exists(acc, lambda a: a["surface"] == f["surface"]), acc).otherwise(F.concat(acc, F.array(f))),
     )
-    taken = F.regexp_extract_all(F.array_join(texts, "\n"), F.lit(r"<[A-Z0-9_]+_[1-9][0-9]{0,8}>"), F.lit(0))
+    taken_in_texts = F.regexp_extract_all(F.array_join(texts, "\n"), F.lit(r"<[A-Z0-9_]+_[1-9][0-9]{0,8}>"), F.lit(0))
 
-    def nth_free(rank: Column, kind: Column) -> Column:
+    def nth_free(rank: Column, kind: Column, taken: Column) -> Column:
         prefix = F.concat(F.lit("<"), kind, F.lit("_"))
         candidates = F.transform(
             F.sequence(F.lit(1), rank + F.size(taken)), lambda n: F.concat(prefix, n.cast("string"), F.lit(">"))
         )
         return F.get(F.array_except(candidates, taken), rank - 1)
 
-    return F.transform(
-        first,
-        lambda f, i: F.struct(
-            f["surface"].alias("surface"),
-            nth_free(
-                F.size(F.filter(F.slice(first, 1, i + 1), lambda g: g["entity_type"] == f["entity_type"])),
-                f["entity_type"],
-            ).alias("placeholder"),
-        ),
-    )
+    def numbered(first: Column, taken: Column) -> Column:
+        return F.transform(
+            first,
+            lambda f, i: F.struct(
+                f["surface"].alias("surface"),
+                let(
+                    F.size(F.filter(F.slice(first, 1, i + 1), lambda g: g["entity_type"] == f["entity_type"])),
+                    lambda rank: F.when(
+                        F.size(taken) == 0, F.concat(F.lit("<"), f["entity_type"], F.lit("_"), rank.cast("string"), F.lit(">"))
+                    ).otherwise(nth_free(rank, f["entity_type"], taken)),
+                ).alias("placeholder"),
+            ),
+        )
+
+    return let(distinct, lambda first: let(taken_in_texts, lambda taken: numbered(first, taken)))
 
 
 def apply_mask(text: Column, spans: Column, placeholders: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,46 +41,60 @@ def detect_pii(
     return found.unionByName(detect_gazetteer(docs, gazetteer.filter(F.col("entity_type").isin(*entities))))
 
 
-def word_ngrams(docs: DataFrame, longest: int = 3) -> DataFrame:
-    """(doc_id, start, end, surface) of every run of 1 to `longest` words in a text."""
-    words = F.expr(r"regexp_extract_all(text, '[^\\s.,;:!?()\\[\\]{}\"]+', 0)")
-    gaps = F.expr(r"split(text, '[^\\s.,;:!?()\\[\\]{}\"]+', -1)")
-    placed = docs.select("doc_id", "text", words.alias("w"), gaps.alias("g"))
-    # One row per word with the lengths around it; a running sum inside the array gives offsets.
-    ends = F.expr(
-        "aggregate(arrays_zip(w, slice(g, 1, size(w))), "
-        "struct(0 as at, cast(array() as array<struct<start: int, end: int>>) as xs), "
-        "(acc, z) -> struct(acc.at + length(z.`1`) + length(z.w) as at, "
-        "concat(acc.xs, array(struct(acc.at + length(z.`1`) as start, acc.at + length(z.`1`) + length(z.w) as end))) as xs), "
-        "acc -> acc.xs)"
-    )
-    located = placed.withColumn("x", ends).filter(F.size("x") > 0)
-    grams = located.select(
-        "doc_id", "text", F.posexplode("x").alias("i", "first"), "x"
-    ).select(
-        "doc_id",
-        "text",
-        F.col("first.start").alias("start"),
-        F.explode(F.transform(F.slice("x", F.col("i") + 1, longest), lambda e: e["end"])).alias("end"),
-    )
-    return grams.select(
-        "doc_id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("surface")
-    )
+# Fixed value: what separates words.
+WORD = r"[^\s.,;:!?()\[\]{}\"]+"
+
+NGRAMS = "doc_id bigint, start int, end int, surface string"
+FLUSH_ROWS = 100_000
+
+
+def word_ngrams(docs: DataFrame, longest: int = 3, names: frozenset[str] | None = None) -> DataFrame:
+    """(doc_id, start, end, surface) of every run of 1 to `longest` words in a text.
+
+    With `names` only the listed surfaces leave the task. Offsets are a running sum over all
+    words of a text; array functions would copy the array at every word, so the words are
+    cut in Arrow batches and sent on in pieces of bounded size.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(WORD)
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string())])
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [(), (), (), ()]
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        for batch in batches:
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                starts: list[int] = []
+                for found in word.finditer(body or ""):
+                    starts.append(found.start())
+                    for first in starts[-longest:]:
+                        surface = body[first : found.end()]
+                        if names is None or surface in names:
+                            rows.append((doc, first, found.end(), surface))
+                    if len(rows) >= FLUSH_ROWS:
+                        yield flush()
+        yield flush()
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, NGRAMS)
 
 
 def detect_gazetteer(
     docs: DataFrame, gazetteer: DataFrame, longest: int = 3, score: float = 0.85, max_rows: int = SMALL_SIDE_ROWS
 ) -> DataFrame:
-    """Spans of listed names. The list is sent to every task when it is small enough, so the
-    n-grams of the corpus are looked up where they are; a larger one is joined by surface."""
+    """Spans of listed names. A list that is small enough goes to every task, and only its
+    hits leave the task; a larger one is joined by surface, hot words salted."""
     names = gazetteer.select("surface", "entity_type").distinct()
-    grams = word_ngrams(docs, longest)
     head = names.limit(max_rows + 1).collect()
     if len(head) <= max_rows:
         local = docs.sparkSession.createDataFrame(head, names.schema)
-        hits = grams.join(F.broadcast(local), "surface")
+        listed = frozenset(row.surface for row in head)
+        hits = word_ngrams(docs, longest, listed).join(F.broadcast(local), "surface")
     else:
-        hits = salted_join(grams, names, ["surface"], "inner")
+        hits = salted_join(word_ngrams(docs, longest), names, ["surface"], "inner")
     return hits.select("doc_id", "start", "end", "entity_type", F.lit(score).alias("score"))
 
 
@@ -135,7 +151,7 @@ def merge_overlapping_spans(spans: DataFrame, keys: Sequence[str] = ("doc_id",))
         .groupBy(*keys, F.col("island").alias("start"))
         .agg(
             F.max("end").alias("end"),
-            F.max_by("entity_type", F.struct(F.col("score"), -F.col("start"), -F.col("end"))).alias("entity_type"),
+            F.min_by("entity_type", F.struct(-F.col("score"), "start", "end", "entity_type")).alias("entity_type"),
             F.max("score").alias("score"),
         )
     )
@@ -304,21 +320,33 @@ def sanitize_requests(
     finder = detect or (lambda t: S.detect_patterns(t, entities, score_threshold))
     contexts = F.coalesce("contexts", F.array().cast("array<string>"))
     fields = F.concat(F.array(F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))), contexts)
-    staged = requests.withColumn("_texts", fields)
-    staged = staged.withColumn("_spans", F.transform("_texts", lambda t: S.merge_spans(finder(t))))
-    staged = staged.withColumn("_ph", S.number_placeholders(F.col("_texts"), F.col("_spans")))
-    forward = F.map_from_entries("_ph")
-    staged = staged.withColumn(
-        "_masked",
-        F.transform(F.arrays_zip(F.col("_texts").alias("t"), F.col("_spans").alias("s")), lambda z: S.apply_mask(z["t"], z["s"], forward)),
+
+    def masked(texts: Column, found: Column) -> Column:
+        def with_numbers(numbers: Column) -> Column:
+            forward = F.map_from_entries(numbers)
+            return F.struct(
+                S.let(
+                    forward,
+                    lambda names: F.transform(
+                        F.arrays_zip(texts.alias("t"), found.alias("s")), lambda z: S.apply_mask(z["t"], z["s"], names)
+                    ),
+                ).alias("texts"),
+                F.map_from_entries(F.transform(numbers, lambda p: F.struct(p["placeholder"], p["surface"]))).alias("mapping"),
+            )
+
+        return S.let(S.number_placeholders(texts, found), with_numbers)
+
+    result = S.let(
+        fields,
+        lambda texts: S.let(F.transform(texts, lambda t: S.merge_spans(finder(t))), lambda found: masked(texts, found)),
     )
-    backward = F.map_from_entries(F.transform("_ph", lambda p: F.struct(p["placeholder"], p["surface"])))
-    return staged.select(
-        *[c for c in requests.columns if c not in ("question", "answer", "contexts")],
-        F.col("_masked")[0].alias("question"),
-        F.col("_masked")[1].alias("answer"),
-        F.slice("_masked", 3, F.size("_masked")).alias("contexts"),
-        backward.alias("mapping"),
+    kept = [c for c in requests.columns if c not in ("question", "answer", "contexts")]
+    return requests.select(*kept, result.alias("_r")).select(
+        *kept,
+        F.col("_r.texts")[0].alias("question"),
+        F.col("_r.texts")[1].alias("answer"),
+        F.slice("_r.texts", 3, F.size("_r.texts")).alias("contexts"),
+        F.col("_r.mapping").alias("mapping"),
     )
 
 

@@ -13,7 +13,7 @@ from veritally.plans.derive import (
 )
 from veritally.plans.registry import registry
 from veritally.schemas import SUBMISSION
-from veritally.session import scratch_path
+from veritally.session import materialize, scratch_path
 from veritally.sources import corpus
 from veritally.streaming import jobs
 
@@ -63,10 +63,10 @@ def raw_spans_sql(source: str, keys: str, name: str) -> str:
 
 def merge_sql(source: str, keys: str, name: str) -> str:
     return f"""
-{name}_open AS (SELECT *, CASE WHEN s >= coalesce(max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS o FROM {source}),
-{name}_isl AS (SELECT *, sum(o) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island,
-   row_number() OVER (PARTITION BY {keys} ORDER BY s, e) AS rn FROM {name}_open),
-{name} AS (SELECT {keys}, any_value(text) AS text, min(s) AS s, max(e) AS e, arg_max(entity_type, score * 1e9 - rn) AS entity_type, max(score) AS score FROM {name}_isl GROUP BY {keys}, island)"""
+{name}_open AS (SELECT *, CASE WHEN s >= coalesce(max(e) OVER (PARTITION BY {keys} ORDER BY s, e, entity_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS o FROM {source}),
+{name}_isl AS (SELECT *, sum(o) OVER (PARTITION BY {keys} ORDER BY s, e, entity_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island,
+   row_number() OVER (PARTITION BY {keys} ORDER BY s, e, entity_type) AS rn FROM {name}_open),
+{name} AS (SELECT {keys}, any_value(text) AS text, min(s) AS s, max(e) AS e, first(entity_type ORDER BY score DESC, rn) AS entity_type, max(score) AS score FROM {name}_isl GROUP BY {keys}, island)"""
 
 
 register_cte("doc_spans", raw_spans_sql("pii_docs", "doc_id", "doc_spans"), ("pii_docs",))
@@ -147,7 +147,7 @@ register_cte("noisy_merged", merge_sql("noisy", "doc_id", "noisy_merged").strip(
 
 
 def noisy_spans(spark, d):
-    found = P.detect_pii(pii_docs(spark, d))
+    found = materialize(P.detect_pii(pii_docs(spark, d)), "spans")
     shift = h(F.col("doc_id"), F.col("start"))
     moved = found.select(
         "doc_id", (F.col("start") + shift % 9).cast("int").alias("start"), (F.col("end") + shift % 12).cast("int").alias("end"),
@@ -163,7 +163,8 @@ def _(spark, d):
 
 @query("overlap_join", sql("SELECT a.doc_id, a.s::INT AS ls, a.e::INT AS le, b.s::INT AS rs, b.e::INT AS re FROM doc_spans a JOIN noisy b ON a.doc_id = b.doc_id AND a.s < b.e AND b.s < a.e WHERE b.entity_type = 'SHIFTED'", "noisy"))
 def _(spark, d):
-    joined = P.overlap_join(P.detect_pii(pii_docs(spark, d)), noisy_spans(spark, d).filter("entity_type = 'SHIFTED'"))
+    both = noisy_spans(spark, d)
+    joined = P.overlap_join(both.filter("entity_type <> 'SHIFTED'"), both.filter("entity_type = 'SHIFTED'"))
     return joined.select("doc_id", F.col("l.start").alias("ls"), F.col("l.end").alias("le"), F.col("r.start").alias("rs"), F.col("r.end").alias("re"))
 
 
@@ -172,9 +173,10 @@ def _(spark, d):
 
 def expected_and_detected(spark, d):
     """Labelled spans against a detector that misses some, moves some and invents some."""
-    found = P.detect_pii(pii_docs(spark, d))
+    # Written once: the matching below reads the spans more than once.
+    found = materialize(P.detect_pii(pii_docs(spark, d)), "spans")
     fate = h(F.col("doc_id"), F.col("start"), "fate")
-    order = (F.col("start") * 100000 + F.col("end")).cast("bigint").alias("ord")
+    order = (F.col("start").cast("bigint") * 100000 + F.col("end")).alias("ord")
     expected = found.select("doc_id", "start", "end", "entity_type", order)
     moved = found.filter(fate % 5 != 0).withColumn("_f", fate).select(
         "doc_id", (F.col("start") + F.col("_f") % 11).cast("int").alias("start"), (F.col("end") + F.col("_f") % 17).cast("int").alias("end"),
@@ -401,9 +403,15 @@ def _(spark, d):
 
 
 @query("leak_check", sql(
-    """SELECT n.doc_id::VARCHAR AS sample_id, surface AS value, count(*)::INT AS leaked_fields FROM numbered n JOIN req_masked m ON m.doc_id = n.doc_id AND contains(m.masked, n.surface) GROUP BY ALL""", "req_masked"))
+    """SELECT n.doc_id::VARCHAR AS sample_id, surface AS value, count(*)::INT AS leaked_fields FROM numbered n JOIN (
+         SELECT doc_id, fld, masked || CASE WHEN doc_id % 10 = 0 AND fld = 1 THEN ' ' || (SELECT min(surface) FROM numbered x WHERE x.doc_id = req_masked.doc_id) ELSE '' END AS masked FROM req_masked) m
+       ON m.doc_id = n.doc_id AND contains(m.masked, n.surface) GROUP BY ALL""", "req_masked"))
 def _(spark, d):
-    return P.leak_check(P.sanitize_requests(pii_requests(spark, d)))
+    """Every tenth request is made to leak one value, so that there is something to find."""
+    masked = P.sanitize_requests(pii_requests(spark, d))
+    leak = F.concat("answer", F.lit(" "), F.array_min(F.map_values("mapping")))
+    leaky = masked.withColumn("answer", F.when(F.col("sample_id").cast("bigint") % 10 == 0, leak).otherwise(F.col("answer")))
+    return P.leak_check(leaky)
 
 
 # -- jobs -------------------------------------------------------------------------------------

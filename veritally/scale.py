@@ -197,7 +197,8 @@ def running_max(
 ) -> DataFrame:
     """Running maximum of `value` along `order`, computed chunk by chunk with a carry.
 
-    `chunk` must not decrease along `order`. No window ever holds more than one chunk of one
+    `chunk` must not decrease along `order`. The input is read twice, so give it a stored table
+    rather than an expensive plan. No window ever holds more than one chunk of one
     key, so a document with very many spans is spread over tasks.
     """
     keys, order = list(keys), list(order)
@@ -205,8 +206,13 @@ def running_max(
     tops = base.groupBy(*keys, chunk).agg(F.max("_val").alias("_top"))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     carry = tops.select(*keys, chunk, F.max("_top").over(before).alias("_carry"))
-    last = 0 if inclusive else -1
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
+    # The inclusive frame takes in peers, so the result does not depend on how ties are sorted.
+    inside = (
+        inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        if inclusive
+        else inside.rowsBetween(Window.unboundedPreceding, -1)
+    )
     return (
         base.join(carry, [*keys, chunk])
         .withColumn(out, F.greatest(F.max("_val").over(inside), F.col("_carry")))
