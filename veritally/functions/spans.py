@@ -24,6 +24,9 @@ PATTERNS: dict[str, tuple[str, float]] = {
     "PHONE_NUMBER": (r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\b", 0.75),
 }
 
+# What a text must contain before a pattern is tried on it.
+NEEDS = {"EMAIL_ADDRESS": "@"}
+
 SPAN_SQL = "struct<start: int, end: int, entity_type: string, score: double>"
 
 
@@ -89,6 +92,8 @@ def pattern_spans(text: Column, entity_type: str, check_luhn: bool = True) -> Co
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda found: F.when(F.size(found) > 0, place(found)).otherwise(empty),
     )
+    if entity_type in NEEDS:
+        spans = F.when(text.contains(NEEDS[entity_type]), spans).otherwise(empty)
     if entity_type == "CREDIT_CARD" and check_luhn:
         return F.filter(spans, lambda s: passes_luhn(surface_form(text, s)))
     return spans

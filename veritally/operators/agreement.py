@@ -53,9 +53,9 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 PAIR = ["judge_a", "judge_b"]
 
 
-def shared_samples(rows: DataFrame) -> DataFrame:
-    """How many samples each pair of series both scored."""
-    return pair_counts(rows).groupBy(*PAIR).agg(F.sum("n").alias("overlap"))
+def shared_samples(counts: DataFrame) -> DataFrame:
+    """How many samples each pair of series both scored, from `pair_counts`."""
+    return counts.groupBy(*PAIR).agg(F.sum("n").alias("overlap"))
 
 
 def _weighted_correlation(x: Column, y: Column, n: Column) -> Column:
@@ -116,9 +116,11 @@ def kappa_between(counts: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
 
 
-def judge_agreement(rows: DataFrame, best: DataFrame) -> DataFrame:
-    """Overlap, Pearson, Spearman and kappa for every pair of series that share a sample."""
-    counts = pair_counts(rows)
+def judge_agreement(counts: DataFrame, best: DataFrame) -> DataFrame:
+    """Overlap, Pearson, Spearman and kappa for every pair of series that share a sample.
+
+    `counts` is `pair_counts`, stored: it is read five times here.
+    """
     return (
         pearson(counts)
         .join(spearman(counts), PAIR, "left")
@@ -126,7 +128,7 @@ def judge_agreement(rows: DataFrame, best: DataFrame) -> DataFrame:
     )
 
 
-def privacy_pairs(rows: DataFrame) -> DataFrame:
+def privacy_pairs(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Masked and unmasked series of the same judge, model and datasets, with their overlap."""
     series = rows.groupBy("series").agg(
         F.min("judge").alias("judge"),
@@ -146,13 +148,13 @@ def privacy_pairs(rows: DataFrame) -> DataFrame:
         .withColumn("judge_b", F.greatest("masked_series", "unmasked_series"))
     )
     return (
-        paired.join(shared_samples(rows), PAIR, "left")
+        paired.join(shared_samples(counts), PAIR, "left")
         .withColumn("shared_samples", F.coalesce(F.col("overlap"), F.lit(0).cast("long")))
         .drop("overlap", *PAIR)
     )
 
 
-def privacy_ablation(rows: DataFrame, report: DataFrame) -> DataFrame:
+def privacy_ablation(rows: DataFrame, counts: DataFrame, report: DataFrame) -> DataFrame:
     """F1 and accuracy with and without masking, and masked minus unmasked."""
     measured = report.select("series", holdout_or_best("f1").alias("f1"), holdout_or_best("accuracy").alias("accuracy"))
 
@@ -164,7 +166,7 @@ def privacy_ablation(rows: DataFrame, report: DataFrame) -> DataFrame:
         )
 
     return (
-        privacy_pairs(rows)
+        privacy_pairs(rows, counts)
         .join(named("masked"), "masked_series", "left")
         .join(named("unmasked"), "unmasked_series", "left")
         .select(

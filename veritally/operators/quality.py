@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.functions import stats
-from veritally.scale import attach_small, exact_percentiles, running_totals
+from veritally.scale import attach_small, exact_percentiles, percentiles_from_counts, running_totals
+from veritally.session import materialize
 
 CONFUSION = ("true_positives", "false_positives", "false_negatives", "true_negatives")
 RATES = ("precision", "recall", "f1", "balanced_accuracy", "accuracy", "cohen_kappa")
@@ -187,17 +188,21 @@ def holdout_threshold(rows: DataFrame, keys: Sequence[str] = ("series",), salt:
     return holdout_from_counts(score_counts(rows, keys, salt), keys)
 
 
-def coverage(rows: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
-    """What was and was not scored, and the class sizes among the usable rows."""
+def _coverage_columns() -> list[Column]:
     usable = F.col("faithfulness").isNotNull() & F.col("label_hallucinated").isNotNull()
-    return rows.groupBy(*keys).agg(
+    return [
         F.count_if(F.col("faithfulness").isNotNull()).alias("scored"),
         F.count_if(F.col("faithfulness").isNull()).alias("unscored"),
         F.count_if(F.col("label_hallucinated").isNull()).alias("unlabeled"),
         F.count_if(F.col("error").isNotNull()).alias("failed"),
         F.count_if(usable & F.col("label_hallucinated")).alias("positives"),
         F.count_if(usable & ~F.col("label_hallucinated")).alias("negatives"),
-    )
+    ]
+
+
+def coverage(rows: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
+    """What was and was not scored, and the class sizes among the usable rows."""
+    return rows.groupBy(*keys).agg(*_coverage_columns())
 
 
 def ranked_counts(counts: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
@@ -242,36 +247,74 @@ def latency_percentiles(rows: DataFrame, keys: Sequence[str] = ("series",)) -> D
     return exact_percentiles(rows, keys, "latency_ms", {"latency_median_ms": 0.5, "latency_p95_ms": 0.95})
 
 
+def _token_columns() -> list[Column]:
+    kinds = ("prompt_tokens", "completion_tokens", "total_tokens")
+    return [F.avg(F.coalesce(F.col(c), F.lit(0))).alias(f"mean_{c}") for c in kinds]
+
+
 def mean_tokens(rows: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        *[F.avg(F.coalesce(F.col(c), F.lit(0))).alias(f"mean_{c}") for c in ("prompt_tokens", "completion_tokens", "total_tokens")]
-    )
+    return rows.groupBy(*keys).agg(*_token_columns())
 
 
-def series_names(rows: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
-    """The judge, models and datasets behind each series; `unknown` without a model."""
-    names = rows.groupBy(*keys).agg(
+def _name_columns() -> list[Column]:
+    return [
         F.min("judge").alias("judge"),
-        F.array_sort(F.collect_set("model")).alias("_models"),
+        F.array_sort(F.collect_set("model")).alias("model"),
         F.array_sort(F.collect_set("dataset")).alias("datasets"),
+    ]
+
+
+def _joined_models(named: DataFrame) -> DataFrame:
+    joined = F.when(F.size("model") > 0, F.array_join("model", " + ")).otherwise("unknown")
+    return named.withColumn("model", joined)
+
+
+def series_names(rows: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
+    """The judge, models and datasets behind each series; `unknown` without a model."""
+    return _joined_models(rows.groupBy(*keys).agg(*_name_columns()))
+
+
+def value_counts(rows: DataFrame, salt: str) -> DataFrame:
+    """Distinct scores (per fold and class) and latencies of every series, with their counts.
+
+    One pass and one shuffle over the rows; whatever a report needs beyond plain sums is
+    worked out from this table, which has a row per distinct value.
+    """
+    fold = stats.holdout_fold(F.col("dataset"), F.col("sample_id"), salt)
+    label = F.col("label_hallucinated")
+    facts = F.array(
+        F.when(
+            F.col("faithfulness").isNotNull() & label.isNotNull(),
+            F.struct(F.lit("score").alias("kind"), fold.alias("fold"), F.col("faithfulness").alias("value"), label.alias("label")),
+        ),
+        F.when(
+            F.col("latency_ms").isNotNull(),
+            F.struct(F.lit("latency").alias("kind"), F.lit(0).alias("fold"), F.col("latency_ms").alias("value"), F.lit(False).alias("label")),
+        ),
     )
-    return names.select(
-        *keys,
-        "judge",
-        F.when(F.size("_models") > 0, F.array_join("_models", " + ")).otherwise("unknown").alias("model"),
-        "datasets",
+    return (
+        rows.select("series", F.explode(facts).alias("f"))
+        .filter(F.col("f").isNotNull())
+        .groupBy("series", "f.kind", "f.fold", "f.value")
+        .agg(F.count_if("f.label").alias("pos"), F.count_if(~F.col("f.label")).alias("neg"))
     )
 
 
 def judge_report(rows: DataFrame, salt: str = stats.DEFAULT_SALT) -> DataFrame:
-    """One row per series with everything measured about it."""
-    counts = score_counts(rows, ["series"], salt)
+    """One row per series with everything measured about it.
+
+    The rows are read twice: once for sums, once for the distinct values, which are written
+    to the shared folder because four measures are taken from them.
+    """
+    values = materialize(value_counts(rows, salt), "values")
+    counts = values.filter(F.col("kind") == "score").select("series", "fold", F.col("value").alias("score"), "pos", "neg")
+    timed = values.filter(F.col("kind") == "latency").select("series", "value", F.col("neg").alias("n"))
     best = best_threshold(sweep_counts(counts, ["series"]))
     held = holdout_from_counts(counts)
+    latency = percentiles_from_counts(timed, ["series"], "value", "n", {"latency_median_ms": 0.5, "latency_p95_ms": 0.95})
+    report = _joined_models(rows.groupBy("series").agg(*_name_columns(), *_coverage_columns(), *_token_columns()))
     parts = [
-        coverage(rows),
-        mean_tokens(rows),
-        latency_percentiles(rows),
+        latency,
         auc_from_counts(counts),
         best.select("series", F.struct("threshold", *CONFUSION, *RATES).alias("best")),
         held.select(
@@ -279,7 +322,6 @@ def judge_report(rows: DataFrame, salt: str = stats.DEFAULT_SALT) -> DataFrame:
             F.struct("threshold", "selection_size", "reporting_size", *CONFUSION, *RATES).alias("holdout"),
         ),
     ]
-    report = series_names(rows)
     # Every part has one row per series; left joins keep a series with nothing labelled.
     for part in parts:
         report = report.join(part, "series", "left")

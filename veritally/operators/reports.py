@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritally.operators.agreement import judge_agreement, privacy_ablation
-from veritally.operators.quality import CONFUSION, RATES, best_threshold, cost_estimate, judge_report, score_counts, sweep_counts
+from veritally.operators.agreement import judge_agreement, pair_counts, privacy_ablation
+from veritally.operators.quality import CONFUSION, RATES, cost_estimate, judge_report
 from veritally.session import materialize
 
 
@@ -63,8 +63,9 @@ def _by(field: str):
 def analyze(rows: DataFrame, salt: str, usd_in_per_1m: float = 0.0, usd_out_per_1m: float = 0.0) -> dict[str, DataFrame]:
     """Every report table from flat rows with a series; the report itself is written once."""
     report = materialize(judge_report(rows, salt), "report")
-    best = best_threshold(sweep_counts(score_counts(rows), ["series"]))
-    agreements, ablations = judge_agreement(rows, best), privacy_ablation(rows, report)
+    pairs = materialize(pair_counts(rows), "pairs")
+    best = report.filter(F.col("best").isNotNull()).select("series", "best.threshold")
+    agreements, ablations = judge_agreement(pairs, best), privacy_ablation(rows, pairs, report)
     return {
         "report": report,
         "agreement": agreements,

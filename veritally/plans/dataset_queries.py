@@ -340,7 +340,7 @@ def _(spark, d):
     "samples",
 ))
 def _(spark, d):
-    return rounded(datasets.describe_dataset(samples(spark, d)))
+    return rounded(datasets.describe_dataset(samples(spark, d, True)))
 
 
 @query("describe_groups", sql(
@@ -368,7 +368,7 @@ def _(spark, d):
     """SELECT floor(quantile_cont(p, 0.5))::BIGINT AS median_prompt_chars, max(p) AS max_prompt_chars, max(p) // 4 AS max_prompt_tokens, CASE WHEN 1024 < greatest(256, max(a) // 4) THEN 'WARN' ELSE 'OK' END AS status
        FROM (SELECT (length(question) + length(answer) + coalesce(list_sum([length(x) for x in contexts]), 0))::BIGINT AS p, length(answer) AS a FROM samples)""", "samples"))
 def _(spark, d):
-    return bookkeeping.context_budget(samples(spark, d), 1024)
+    return bookkeeping.context_budget(samples(spark, d, True), 1024)
 
 
 @query("projected_runtime", sql(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veritally.functions import stats
 from veritally.operators.quality import assign_series
+from veritally.scale import spread_scan
 
 # judge, model, privacy mode, run
 LEGS = (
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over all slots, for work on their text."""
+    return spread_scan(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def h(*parts: Column | str) -> Column:
     """A 32-bit number from the md5 of `a|b|…`."""
     columns = [p if isinstance(p, Column) else F.lit(p) for p in parts]
@@ -40,9 +46,12 @@ def hq(*parts: str) -> str:
     return f"('0x'||substr(md5({joined}),1,8))::BIGINT"
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as labelled samples; a document with no label row is unlabelled."""
-    docs = table(spark, sf_dir, "documents")
+def samples(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """Documents as labelled samples; a document with no label row is unlabelled.
+
+    `with_text` says that the caller works on the texts, not only on the facts beside them.
+    """
+    docs = texts(spark, sf_dir) if with_text else table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     joined = docs.join(labels, "doc_id", "left")
     half = F.floor(F.length("text") / 2).cast("int")
@@ -171,7 +180,7 @@ def claim_verdicts(spark: SparkSession, sf_dir: str, runs: int = 3) -> DataFrame
 
 
 def document_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select(F.col("doc_id").cast("string").alias("sample_key"), F.posexplode(F.split("text", r"\. ", -1)).alias("claim_idx", "claim"))
 
 

@@ -9,7 +9,7 @@ from veritally.functions import text as T
 from veritally.operators import privacy as P
 from veritally.operators.agreement import keep_last
 from veritally.plans.derive import (
-    as_job_events, conversation_requests, flat_rows, h, hq, job_events, register_cte, rounded, sql, table,
+    as_job_events, conversation_requests, flat_rows, h, hq, job_events, register_cte, rounded, sql, table, texts,
 )
 from veritally.plans.registry import registry
 from veritally.schemas import SUBMISSION
@@ -25,7 +25,7 @@ QUERIES, SQL, query = registry()
 
 def pii_docs(spark, d):
     """Every document with a contact line added, so that each holds several kinds of PII."""
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     n = F.col("doc_id")
     line = F.concat(
         F.lit(" Mail u"), (n % 40).cast("string"), F.lit("@corp"), (n % 5).cast("string"), F.lit(".example.org, host 192.168."),
@@ -102,7 +102,7 @@ def _(spark, d):
     nations = table(spark, d, "nation").select(F.lower("n_name").alias("surface"), F.lit("LOCATION").alias("entity_type"))
     words = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("surface"), F.lit("PERSON").alias("entity_type"))
     listed = nations.unionByName(words.filter((F.length("surface") >= 6) & F.col("surface").rlike("^[a-z]+$")))
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d).select("doc_id", "text")
     hits = P.detect_gazetteer(docs, listed)
     named = hits.join(docs, "doc_id").select("doc_id", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("surface"), "entity_type")
     return named.groupBy("doc_id", "surface", "entity_type").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from veritally.functions import stats
 from veritally.operators import agreement, errors, quality
 from veritally.plans.derive import flat_rows, fold_sql, register_cte, rounded, samples, series_rows, sql
 from veritally.plans.registry import registry
+from veritally.session import materialize
 from veritally.sources.result_rows import flatten_rows
 
 QUERIES, SQL, query = registry()
@@ -272,7 +273,7 @@ def _(spark, d):
 
 @query("shared_samples", sql("SELECT judge_a, judge_b, count(*) AS overlap FROM pairs GROUP BY ALL", "pairs"))
 def _(spark, d):
-    return agreement.shared_samples(series_rows(spark, d))
+    return agreement.shared_samples(agreement.pair_counts(series_rows(spark, d)))
 
 
 @query("pearson", sql("SELECT judge_a, judge_b, count(*) AS overlap, round(corr(score_a, score_b), 9) AS pearson FROM pairs GROUP BY ALL", "pairs"))
@@ -301,7 +302,7 @@ def _(spark, d):
 
 @query("spearman", sql("SELECT judge_a, judge_b, round(corr(ra, rb), 9) AS spearman FROM ranks GROUP BY ALL", "ranks"))
 def _(spark, d):
-    return rounded(agreement.spearman(agreement.pair_counts(series_rows(spark, d))))
+    return rounded(agreement.spearman(materialize(agreement.pair_counts(series_rows(spark, d)), "pairs")))
 
 
 register_cte(
@@ -336,7 +337,7 @@ def _(spark, d):
 def _(spark, d):
     rows = series_rows(spark, d)
     best = quality.best_threshold(quality.sweep_counts(quality.score_counts(rows), ["series"]))
-    return rounded(agreement.judge_agreement(rows, best))
+    return rounded(agreement.judge_agreement(materialize(agreement.pair_counts(rows), "pairs"), best))
 
 
 register_cte(
@@ -355,7 +356,8 @@ privacy AS (
 
 @query("privacy_pairs", sql("SELECT * FROM privacy", "privacy"))
 def _(spark, d):
-    return agreement.privacy_pairs(series_rows(spark, d))
+    rows = series_rows(spark, d)
+    return agreement.privacy_pairs(rows, agreement.pair_counts(rows))
 
 
 @query(
@@ -373,7 +375,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = series_rows(spark, d)
-    out = agreement.privacy_ablation(rows, quality.judge_report(rows))
+    out = agreement.privacy_ablation(rows, agreement.pair_counts(rows), quality.judge_report(rows))
     return rounded(out.withColumn("delta_f1", F.round("delta_f1", 7)).withColumn("delta_accuracy", F.round("delta_accuracy", 7)))
 
 
@@ -498,7 +500,7 @@ def _decisions(rows):
 
 @query("sample_buckets", sql("SELECT sample_id, array_to_string(buckets, ',') AS buckets FROM sample_buckets", "bucketed"))
 def _(spark, d):
-    return errors.bucketed_samples(samples(spark, d)).withColumn("buckets", F.array_join("buckets", ","))
+    return errors.bucketed_samples(samples(spark, d, True)).withColumn("buckets", F.array_join("buckets", ","))
 
 
 @query(
@@ -506,7 +508,7 @@ def _(spark, d):
     sql("SELECT series, array_to_string(buckets, ',') AS buckets, count(*) AS n, count(faithfulness) AS scored FROM bucketed GROUP BY ALL", "bucketed"),
 )
 def _(spark, d):
-    joined = errors.rows_with_buckets(series_rows(spark, d), samples(spark, d))
+    joined = errors.rows_with_buckets(series_rows(spark, d), samples(spark, d, True))
     return joined.groupBy("series", F.array_join("buckets", ",").alias("buckets")).agg(
         F.count(F.lit(1)).alias("n"), F.count("faithfulness").alias("scored")
     )
@@ -515,7 +517,7 @@ def _(spark, d):
 @query("collect_errors", sql("SELECT * REPLACE (array_to_string(buckets, ',') AS buckets) FROM cases", "cases"))
 def _(spark, d):
     rows = series_rows(spark, d)
-    cases = errors.collect_errors(errors.rows_with_buckets(rows, samples(spark, d)), _decisions(rows))
+    cases = errors.collect_errors(errors.rows_with_buckets(rows, samples(spark, d, True)), _decisions(rows))
     return cases.withColumn("buckets", F.array_join("buckets", ","))
 
 
@@ -524,7 +526,7 @@ def _(spark, d):
     sql("SELECT UNNEST(buckets) AS bucket, count(*) AS total FROM bucketed WHERE faithfulness IS NOT NULL AND label_hallucinated IS NOT NULL GROUP BY 1", "bucketed"),
 )
 def _(spark, d):
-    return errors.bucket_totals(errors.rows_with_buckets(series_rows(spark, d), samples(spark, d)))
+    return errors.bucket_totals(errors.rows_with_buckets(series_rows(spark, d), samples(spark, d, True)))
 
 
 @query(
@@ -541,7 +543,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = series_rows(spark, d)
-    bucketed = errors.rows_with_buckets(rows, samples(spark, d))
+    bucketed = errors.rows_with_buckets(rows, samples(spark, d, True))
     cases = errors.collect_errors(bucketed, _decisions(rows))
     return rounded(errors.bucket_table(cases, errors.bucket_totals(bucketed)))
 
@@ -556,6 +558,6 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = series_rows(spark, d)
-    cases = errors.collect_errors(errors.rows_with_buckets(rows, samples(spark, d)), _decisions(rows))
+    cases = errors.collect_errors(errors.rows_with_buckets(rows, samples(spark, d, True)), _decisions(rows))
     return errors.examples_per_bucket(cases, 2).drop("label_hallucinated", "predicted_hallucinated")
 

@@ -16,6 +16,18 @@ HOT_KEY_ROWS = 5_000_000
 SALTS = 32
 
 
+def spread_scan(scan: DataFrame, key: str) -> DataFrame:
+    """Hash the rows of a bare file scan over all slots when the files come in too few pieces.
+
+    Work on long texts is bound by the processor, and a table written as one row group would
+    keep one task busy. A table of many row groups has pieces enough and is not shuffled.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 2 * slots:
+        return scan
+    return scan.repartition(slots, key)
+
+
 def attach_small(
     big: DataFrame,
     small: DataFrame,
@@ -144,12 +156,22 @@ def exact_percentiles(
     Values are counted, counted again per bin, and only the bins that hold a wanted rank are
     opened. `scale` is the number of bins per unit of the value.
     """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return percentiles_from_counts(counts, keys, "_v", "_n", quantiles, scale)
+
+
+def percentiles_from_counts(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    count: str,
+    quantiles: dict[str, float],
+    scale: float = 1.0,
+) -> DataFrame:
+    """The same from a table of distinct values per key and how often each occurs."""
     keys = list(keys)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", F.floor(F.col("_v") * F.lit(float(scale))))
+    counts = df.select(
+        *keys, F.col(value).alias("_v"), F.col(count).alias("_n"), F.floor(F.col(value) * F.lit(float(scale))).alias("_bin")
     )
     bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
     upto = F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_bin"))
