@@ -36,7 +36,8 @@ EXPECTED_ARTIFACTS: tuple[tuple[str, bool], ...] = (
 def file_digests(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Digest, size and newline count of every file below a folder, one task per few files.
 
-    A file is one binary cell, so files of 2 GB or more have to be listed in parts.
+    A file is one binary cell, so files of 2 GB or more have to be listed in parts; an empty
+    file has no split and is not listed.
     """
     files = (
         spark.read.format("binaryFile")

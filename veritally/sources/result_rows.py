@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from veritally import schemas
 from veritally.scale import attach_small
 
+# Rows files as they are named by a run or by Spark; the manifests beside them are left out.
+ROW_FILES = "{*.jsonl,part-*.json}"
+
 TOKENS = ("prompt_tokens", "completion_tokens", "total_tokens")
 
 FLAT_COLUMNS = (
@@ -23,10 +26,9 @@ def _read(spark: SparkSession, paths: str | Sequence[str], mode: str) -> DataFra
     return (
         spark.read.schema(schemas.RESULT_ROW)
         .option("mode", mode)
-        .option("pathGlobFilter", "*.json*")
+        .option("pathGlobFilter", ROW_FILES)
         .json(paths)
         .select("*", F.col("_metadata.file_path").alias("source_path"), F.monotonically_increasing_id().alias("seq"))
-        .filter(~F.col("source_path").endswith(".manifest.json"))
     )
 
 

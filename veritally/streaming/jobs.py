@@ -95,12 +95,13 @@ def retry_outcome(attempts: DataFrame, max_attempts: int = ATTEMPTS_PER_JOB) ->
         F.min(F.when(ok, F.col("attempt"))).alias("_won"),
         F.min_by(F.when(ok, F.col("result_json")), F.when(ok, F.col("attempt"))).alias("result_json"),
         F.max_by("error", "attempt").alias("_error"),
+        F.min_by(F.when(F.col("unreadable"), F.col("error")), F.when(F.col("unreadable"), F.col("attempt"))).alias("_refused"),
         F.max("attempt").alias("_last"),
     ).select(
         "job_id",
         F.when(F.col("_won").isNotNull() & ~F.col("_unreadable"), "done").otherwise("error").alias("status"),
         F.when(~F.col("_unreadable"), F.col("result_json")).alias("result_json"),
-        F.when(F.col("_won").isNull() | F.col("_unreadable"), F.col("_error")).alias("error"),
+        F.when(F.col("_unreadable"), F.col("_refused")).when(F.col("_won").isNull(), F.col("_error")).alias("error"),
         F.when(F.col("_unreadable"), 1).otherwise(F.coalesce("_won", "_last")).alias("attempts"),
     )
 
