@@ -365,9 +365,15 @@ def restore_verdicts(verdicts: Column, mapping: Column) -> Column:
 def leak_check(sanitized: DataFrame, key: str = "sample_id") -> DataFrame:
     """Original values that still stand in an outbound field of their own request."""
     out = F.concat(F.array("question", "answer"), F.col("contexts"))
-    return (
-        sanitized.select(key, out.alias("_out"), F.explode(F.map_values("mapping")).alias("value"))
-        .withColumn("leaked_fields", F.size(F.filter("_out", lambda t: t.contains(F.col("value")))))
-        .filter(F.col("leaked_fields") > 0)
-        .select(key, "value", "leaked_fields")
+    # Counted inside the row: only what leaked is spread out, and no text is copied.
+    leaked = S.let(
+        out,
+        lambda fields: F.filter(
+            F.transform(
+                F.map_values("mapping"),
+                lambda v: F.struct(v.alias("value"), F.size(F.filter(fields, lambda t: t.contains(v))).alias("leaked_fields")),
+            ),
+            lambda x: x["leaked_fields"] > 0,
+        ),
     )
+    return sanitized.select(key, F.explode(leaked).alias("l")).select(key, "l.value", "l.leaked_fields")

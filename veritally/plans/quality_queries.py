@@ -233,6 +233,20 @@ def _(spark, d):
     return rounded(quality.roc_curve_points(series_rows(spark, d)))
 
 
+@query(
+    "cumulative_confusion",
+    sql(
+        """
+        , d AS (SELECT series, faithfulness AS score, count(*) FILTER (label_hallucinated) AS pos, count(*) FILTER (NOT label_hallucinated) AS neg FROM usable GROUP BY ALL)
+        SELECT series, score, (sum(pos) OVER w)::BIGINT AS tp, (sum(neg) OVER w)::BIGINT AS fp FROM d WINDOW w AS (PARTITION BY series ORDER BY score)""",
+        "sweep",
+    ),
+)
+def _(spark, d):
+    ranked = quality.ranked_counts(quality.score_counts(series_rows(spark, d)))
+    return ranked.select("series", "score", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp"))
+
+
 @query("latency_percentiles", sql("SELECT series, latency_median_ms, latency_p95_ms FROM per_series WHERE latency_median_ms IS NOT NULL", "per_series"))
 def _(spark, d):
     return rounded(quality.latency_percentiles(series_rows(spark, d)))

@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritally.session import materialize
+
 SMALL_SIDE_ROWS = 20_000
 """Most rows a side may have to be sent to every executor."""
 
 HOT_KEY_ROWS = 5_000_000
 """A join key with more rows than this on the large side is spread over several tasks."""
 
+HOT_KEYS = 1_000
+"""How many hot keys are looked for."""
+
 SALTS = 32
 
 
@@ -39,9 +44,14 @@ def attach_small(
 
     The summary is read once, at most `max_rows + 1` rows of it. Within the bound it becomes
     a broadcast literal table; beyond it the join is a salted shuffle join, so a handful of
-    keys holding most of the large side still spread over many tasks.
+    keys holding most of the large side still spread over many tasks. A bound too large for
+    the driver's memory is checked by counting a stored copy instead of reading it.
     """
     on = list(on)
+    if max_rows > SMALL_SIDE_ROWS:
+        stored = materialize(small, "small")
+        fits = stored.count() <= max_rows
+        return big.join(F.broadcast(stored), on, how) if fits else salted_join(big, stored, on, how)
     head = small.limit(max_rows + 1).collect()
     if len(head) <= max_rows:
         local = big.sparkSession.createDataFrame(head, small.schema)
@@ -71,6 +81,18 @@ def _hashable(df: DataFrame) -> list[Column]:
     return [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
 
 
+def hot_hashes(df: DataFrame, on: Sequence[str], hot_rows: int) -> list[int]:
+    """Hashes of the join keys with more than `hot_rows` rows, heaviest first.
+
+    A frequent-items sketch finds them in one pass over the key columns and without a
+    shuffle; its size is fixed. It cannot miss a key with more than about one row in 7,500,
+    and what it does miss is merely not spread.
+    """
+    keys = ", ".join(f"`{c}`" for c in on)
+    top = df.agg(F.expr(f"approx_top_k(xxhash64({keys}), {HOT_KEYS}, {10 * HOT_KEYS})").alias("t")).first().t
+    return [row["item"] for row in top or [] if row["count"] > hot_rows]
+
+
 def skew_join(
     big: DataFrame,
     unique: DataFrame,
@@ -81,32 +103,19 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join a large table to one that has at most one row per key, salting only hot keys.
 
-    At most rows / `hot_rows` keys can be hot, which is the bound on the broadcast below: a
-    trillion rows give at most 200,000 of them, each one key wide. Only the hot keys are
-    copied `salts` times on the unique side.
+    Rows of a hot key are spread by a hash of the row, and only the hot keys are copied
+    `salts` times on the unique side. Without hot keys this is the plain join.
     """
     on = list(on)
-    hot = (
-        big.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    small_hot = F.broadcast(hot)
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    left = big.join(small_hot, on, "left").withColumn(
-        "_salt",
-        F.when(is_hot, F.pmod(F.xxhash64(*_hashable(big)), F.lit(salts))).otherwise(F.lit(0).cast("long")),
-    )
-    right = unique.join(small_hot, on, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(
-                F.array(F.lit(0).cast("long"))
-            )
-        ),
-    )
-    return left.drop("_hot").join(right.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    hot = hot_hashes(big, on, hot_rows)
+    if not hot:
+        return big.join(unique, on, how)
+    is_hot = F.xxhash64(*on).isin(hot)
+    zero = F.lit(0).cast("long")
+    left = big.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*_hashable(big)), F.lit(salts))).otherwise(zero))
+    every = F.sequence(zero, F.lit(salts - 1).cast("long"))
+    right = unique.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(zero))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def running_totals(

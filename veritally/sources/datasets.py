@@ -32,12 +32,12 @@ def file_row_index(df: DataFrame, out: str) -> DataFrame:
     """0-based row number over files in path order, numbered block by block."""
     inside = Window.partitionBy("source_path", "block_start").orderBy("row_in_scan")
     sizes = df.groupBy("source_path", "block_start").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per file block.
+    # One row per file block: about a million of them in 128 TB.
     carry = sizes.select(
         "source_path", "block_start",
         (F.sum("_n").over(Window.orderBy("source_path", "block_start")) - F.col("_n")).alias("_carry"),
     )
-    return attach_small(df, carry, ["source_path", "block_start"], "inner").withColumn(
+    return attach_small(df, carry, ["source_path", "block_start"], "inner", max_rows=2_000_000).withColumn(
         out, F.col("_carry") + F.row_number().over(inside) - 1
     ).drop("_carry", *FILE_ORDER)
 
