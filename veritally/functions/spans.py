@@ -27,6 +27,9 @@ PATTERNS: dict[str, tuple[str, float]] = {
 # What a text must contain before a pattern is tried on it.
 NEEDS = {"EMAIL_ADDRESS": "@"}
 
+# Patterns without a boundary: a match can only be the first copy of itself after the last.
+UNBOUNDED = ("EMAIL_ADDRESS",)
+
 SPAN_SQL = "struct<start: int, end: int, entity_type: string, score: double>"
 
 
@@ -56,35 +59,37 @@ def passes_luhn(number: Column) -> Column:
 def pattern_spans(text: Column, entity_type: str, check_luhn: bool = True) -> Column:
     """Every match of one entity's pattern, with its place.
 
-    Splitting at the pattern gives the pieces between the matches, and the running length of
-    pieces and matches gives the offsets; looking each match up in the text could land on an
-    earlier copy of it that the pattern rejects.
+    A pattern with word boundaries may reject an earlier copy of a match, so there the text is
+    split at the pattern, and the running length of pieces and matches gives the offsets.
+    Without boundaries an earlier copy would itself have matched, and looking the match up
+    after the last one is enough.
     """
     pattern, score = PATTERNS[entity_type]
+    # The run before an @ cannot hold one, so giving characters back is useless work.
+    pattern = pattern.replace("]+@", "]++@", 1)
     empty = F.array().cast(f"array<{SPAN_SQL}>")
 
+    def step(acc: Column, start: Column, match: Column) -> Column:
+        end = start + F.length(match)
+        span = F.struct(
+            start.alias("start"), end.alias("end"), F.lit(entity_type).alias("entity_type"), F.lit(score).alias("score")
+        )
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
     def place(found: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+        if entity_type in UNBOUNDED:
+            return F.aggregate(
+                found,
+                begin,
+                lambda acc, m: let(F.position(m, text, acc["at"] + 1) - 1, lambda start: step(acc, start, m)),
+                lambda acc: acc["spans"],
+            )
         between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
         return F.aggregate(
             F.arrays_zip(found.alias("m"), between.alias("p")),
-            F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-            lambda acc, z: let(
-                acc["at"] + F.length(z["p"]),
-                lambda start: F.struct(
-                    (start + F.length(z["m"])).alias("at"),
-                    F.concat(
-                        acc["spans"],
-                        F.array(
-                            F.struct(
-                                start.alias("start"),
-                                (start + F.length(z["m"])).alias("end"),
-                                F.lit(entity_type).alias("entity_type"),
-                                F.lit(score).alias("score"),
-                            )
-                        ),
-                    ).alias("spans"),
-                ),
-            ),
+            begin,
+            lambda acc, z: let(acc["at"] + F.length(z["p"]), lambda start: step(acc, start, z["m"])),
             lambda acc: acc["spans"],
         )
 

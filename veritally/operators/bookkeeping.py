@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritally.functions import stats, text
 from veritally.operators.agreement import keep_last
-from veritally.scale import attach_small, exact_percentiles
+from veritally.scale import attach_small, beside, exact_percentiles
 
 
 # -- identity ---------------------------------------------------------------------------------
@@ -78,9 +78,8 @@ def verify_lock(locked: DataFrame, actual: DataFrame) -> DataFrame:
         "actual",
         F.when(F.col("actual").isNull(), "missing").otherwise("changed").alias("problem"),
     )
-    # One row: how many files differ.
-    files = wrong.agg(F.count_if(F.col("kind") == "file").alias("_files"))
-    return wrong.join(F.broadcast(files), F.lit(True)).filter((F.col("kind") == "file") | (F.col("_files") == 0)).drop("_files")
+    files = wrong.filter(F.col("kind") == "file")
+    return files if files.limit(1).count() else wrong
 
 
 def draw_digest(drawn: DataFrame, order: str = "draw_order") -> DataFrame:
@@ -126,8 +125,7 @@ def run_counters(samples: DataFrame, rows_before: DataFrame, rows_new: DataFrame
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("error").isNull(), F.col("model")))), ",").alias("models_returned"),
     )
     again = retried.agg(F.count(F.lit(1)).alias("samples_retried"))
-    # Every side is one aggregated row.
-    return seen.join(skipped, F.lit(True)).join(new, F.lit(True)).join(again, F.lit(True))
+    return beside(seen, skipped, new, again)
 
 
 # -- checks before a run ----------------------------------------------------------------------
@@ -182,7 +180,7 @@ def context_budget(samples: DataFrame, max_tokens: int) -> DataFrame:
     median = exact_percentiles(sized, [], "prompt_chars", {"m": 0.5}, 1.0 / 64).agg(F.floor(F.max("m")).alias("median_prompt_chars"))
     peak = sized.agg(F.max("prompt_chars").alias("max_prompt_chars"), F.max("answer_chars").alias("max_answer_chars"))
     needed = F.greatest(F.lit(256).cast("bigint"), F.floor(F.col("max_answer_chars") / 4))
-    return peak.join(median, F.lit(True)).select(
+    return beside(peak, median).select(
         "median_prompt_chars",
         "max_prompt_chars",
         F.floor(F.col("max_prompt_chars") / 4).alias("max_prompt_tokens"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritally.functions import stats
@@ -413,6 +413,5 @@ def report_order(df: DataFrame, column: str) -> DataFrame:
 def best_model(report: DataFrame, models: Sequence[str]) -> DataFrame:
     """The listed model with the highest held-out F1; the first series wins a tie."""
     ranked = report.filter(F.col("holdout").isNotNull() & F.col("model").isin(*models))
-    first = Window.partitionBy().orderBy(F.col("holdout.f1").desc(), F.col("series"))
-    # Bounded: one row per series of a report.
-    return ranked.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("model", F.col("holdout.f1").alias("f1"))
+    first = ranked.orderBy(F.col("holdout.f1").desc(), F.col("series")).limit(1)
+    return first.select("model", F.col("holdout.f1").alias("f1"))

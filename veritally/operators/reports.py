@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritally.operators.agreement import judge_agreement, pair_counts, privacy_ablation
 from veritally.operators.quality import CONFUSION, RATES, cost_estimate, judge_report
+from veritally.scale import beside
 from veritally.session import materialize
 
 
@@ -49,9 +50,7 @@ def results_json(report: DataFrame, agreements: DataFrame, ablations: DataFrame,
     agreement = agreements.agg(
         F.array_sort(F.collect_list(F.struct("judge_a", "judge_b", "overlap", "pearson", "spearman", "cohen_kappa"))).alias("agreement")
     )
-    # Three single-row tables.
-    joined = judges.join(ablation, F.lit(True)).join(agreement, F.lit(True))
-    return joined.select(
+    return beside(judges, ablation, agreement).select(
         F.to_json(F.struct("judges", "privacy_ablation", "agreement"), {"ignoreNullFields": "false"}).alias("json")
     )
 

@@ -85,7 +85,8 @@ samples AS (
 
 def flat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat result rows: every sample scored by every leg, one in fifty of them twice."""
-    base = samples(spark, sf_dir).select("sample_id", "seq", "dataset", "label_hallucinated", "n_chars")
+    # Spread like the texts: several digests per row are worth the slots. No text is read.
+    base = samples(spark, sf_dir, True).select("sample_id", "seq", "dataset", "label_hallucinated", "n_chars")
     legs = F.array(
         *[
             F.struct(F.lit(i).alias("leg"), F.lit(j).alias("judge"), F.lit(m).alias("model"), F.lit(p).alias("privacy_mode"), F.lit(r).alias("run_id"))

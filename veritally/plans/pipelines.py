@@ -134,8 +134,8 @@ def run_benchmark(
     )
     counters = bookkeeping.run_counters(samples, done, new, failed_ids)
     record = materialize(
-        counters.join(current, F.lit(True)).select(
-            F.lit(identity).alias("run_id"), "config", "samples_seen", "hallucinated", "not_hallucinated", "samples_skipped",
+        counters.select(
+            F.lit(identity).alias("run_id"), F.create_map(*[F.lit(x) for pair in config.as_map().items() for x in pair]).alias("config"), "samples_seen", "hallucinated", "not_hallucinated", "samples_skipped",
             "samples_written", "failure_count", "models_returned", "samples_retried", F.lit(stamp).alias("recorded_at"),
         ),
         "run",

@@ -59,6 +59,14 @@ def attach_small(
     return salted_join(big, small, on, how)
 
 
+def beside(*single_rows: DataFrame) -> DataFrame:
+    """Tables of one row each as one row, without a join: stacked, then folded."""
+    stacked = single_rows[0]
+    for row in single_rows[1:]:
+        stacked = stacked.unionByName(row, allowMissingColumns=True)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,

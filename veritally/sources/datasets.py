@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veritally import schemas
 from veritally.functions import text
 from veritally.operators.agreement import keep_last
-from veritally.scale import HOT_KEY_ROWS, attach_small, dense_row_number, skew_join
+from veritally.scale import HOT_KEY_ROWS, attach_small, beside, dense_row_number, exact_percentiles, skew_join
 
 FILE_ORDER = ("source_path", "block_start", "row_in_scan")
 
@@ -213,8 +213,6 @@ def draw(
 
 
 def exact_int_median(df: DataFrame, value: str, scale: float = 1.0 / 64) -> DataFrame:
-    from veritally.scale import exact_percentiles
-
     return exact_percentiles(df, [], value, {"m": 0.5}, scale)
 
 
@@ -236,12 +234,9 @@ def describe_dataset(samples: DataFrame) -> DataFrame:
         # The outer aggregate gives one row even for an empty set.
         return exact_int_median(sized, column).agg(F.coalesce(F.floor(F.max("m")), zero).alias(out))
 
-    # Each side is a single aggregated row.
-    return (
-        totals.join(median("context_chars", "median_context_chars"), F.lit(True))
-        .join(median("answer_chars", "median_answer_chars"), F.lit(True))
-        .withColumn("hallucinated_share", F.coalesce(F.try_divide(F.col("hallucinated").cast("double"), F.col("total").cast("double")), F.lit(0.0)))
-    )
+    share = F.coalesce(F.try_divide(F.col("hallucinated").cast("double"), F.col("total").cast("double")), F.lit(0.0))
+    row = beside(totals, median("context_chars", "median_context_chars"), median("answer_chars", "median_answer_chars"))
+    return row.withColumn("hallucinated_share", share)
 
 
 def describe_groups(samples: DataFrame) -> DataFrame:
