@@ -28,16 +28,16 @@ JudgeFactory = Callable[[], Callable[[list[dict], str], dict]]
 
 
 def ask(requests: DataFrame, factory: JudgeFactory, tasks: int | None = None) -> DataFrame:
-    """One call per row of (request_key, attempt, form, messages); a failing call is a row
-    with its error and ends nothing else."""
+    """One call per row of (request_key, attempt, form, messages, carry); a failing call is a
+    row with its error and ends nothing else. `carry` comes back unchanged."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = factory()
         for batch in batches:
             out = []
-            for key, attempt, form, messages in zip(batch.request_key, batch.attempt, batch.form, batch.messages):
+            for key, attempt, form, messages, carry in batch.itertuples(index=False):
                 row = {"request_key": key, "attempt": attempt, "text": None, "model": None,
-                       "prompt_tokens": 0, "completion_tokens": 0, "error": None}
+                       "prompt_tokens": 0, "completion_tokens": 0, "error": None, "carry": carry}
                 started = time.perf_counter()
                 try:
                     answer = judge(json.loads(messages), form)
@@ -51,7 +51,9 @@ def ask(requests: DataFrame, factory: JudgeFactory, tasks: int | None = None) ->
                 out.append(row)
             yield pd.DataFrame(out, columns=[f.name for f in schemas.RESPONSE.fields])
 
-    sent = requests.select("request_key", F.col("attempt").cast("int").alias("attempt"), "form", F.to_json("messages").alias("messages"))
+    sent = requests.select(
+        "request_key", F.col("attempt").cast("int").alias("attempt"), "form", F.to_json("messages").alias("messages"), "carry"
+    )
     # Calls take seconds: spread them evenly, however few bytes they are.
     tasks = tasks or 2 * requests.sparkSession.sparkContext.defaultParallelism
     return sent.repartition(tasks, "request_key").mapInPandas(run, schemas.RESPONSE)
@@ -62,28 +64,29 @@ def ask_until_valid(
 ) -> tuple[DataFrame, DataFrame]:
     """Ask every request, and ask again those whose answer did not hold.
 
-    Each round is one job over the requests still open, its answers written before the next.
-    `requests` has request_key, messages and any columns `problem` needs; `problem` sees the
-    parsed items as `items`. Returns (accepted, calls): the accepted items or an error per
-    request, and every call made.
+    Each round is one job over the requests still open; its answers are checked and written
+    in that job, and everything later reads what was written. `requests` has request_key,
+    messages and, if `problem` needs it, carry; `problem` sees the parsed `items` and `carry`.
+    Returns (settled, calls): items or an error per request, and every call made.
     """
-    open_requests, calls, settled = requests, None, None
+    if "carry" not in requests.columns:
+        requests = requests.withColumn("carry", F.lit(None).cast("string"))
+    open_requests, rounds, settled = requests, [], []
     for attempt in range(1, attempts + 1):
         asked = open_requests.withColumn("attempt", F.lit(attempt)).withColumn("form", F.lit(form))
-        answers = materialize(ask(asked, factory), f"{form}-{attempt}")
-        calls = answers if calls is None else calls.unionByName(answers)
-        read = open_requests.join(answers, "request_key").withColumn("items", text.parse_judge_json(F.col("text"), form))
+        read = ask(asked, factory).withColumn("items", text.parse_judge_json(F.col("text"), form))
         flaw = F.when(F.col("error").isNotNull(), F.col("error")).when(
             F.col("items").isNull(), F.lit(f"the answer is not valid JSON of the form {form}")
         )
-        read = read.withColumn("problem", F.coalesce(flaw, problem) if problem is not None else flaw)
-        done = read.filter(F.col("problem").isNull()) if attempt < attempts else read
-        part = done.select("request_key", F.when(F.col("problem").isNull(), F.col("items")).alias("items"), F.col("problem").alias("error"))
-        settled = part if settled is None else settled.unionByName(part)
-        if attempt == attempts:
-            break
-        failed = read.filter(F.col("problem").isNotNull())
-        if failed.limit(1).count() == 0:
+        read = materialize(read.withColumn("problem", F.coalesce(flaw, problem) if problem is not None else flaw), f"{form}-{attempt}")
+        rounds.append(read.drop("items", "problem", "carry"))
+        failed = read.filter(F.col("problem").isNotNull()).select("request_key", "text", "problem")
+        last = attempt == attempts or failed.limit(1).count() == 0
+        done = read if last else read.filter(F.col("problem").isNull())
+        settled.append(
+            done.select("request_key", F.when(F.col("problem").isNull(), F.col("items")).alias("items"), F.col("problem").alias("error"), "carry")
+        )
+        if last:
             break
         repair = F.array(
             F.struct(F.lit("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("content")),
@@ -92,8 +95,15 @@ def ask_until_valid(
                 F.concat(F.lit("That answer cannot be used: "), F.col("problem"), F.lit(". Answer again.")).alias("content"),
             ),
         )
-        open_requests = failed.withColumn("messages", F.concat("messages", repair)).select(*requests.columns)
-    return settled, calls
+        open_requests = open_requests.join(failed, "request_key").withColumn("messages", F.concat("messages", repair)).select(*requests.columns)
+    return _stack(settled), _stack(rounds)
+
+
+def _stack(parts: list[DataFrame]) -> DataFrame:
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    return stacked
 
 
 # -- metrics ----------------------------------------------------------------------------------
@@ -125,8 +135,10 @@ def faithfulness_with_judge(samples: DataFrame, factory: JudgeFactory, *, k: int
     extracted, calls_1 = ask_until_valid(asks, factory, "claims")
     # An empty claim list is asked for once more.
     empty = extracted.filter(F.col("error").isNull() & (F.size("items") == 0)).select("request_key")
-    again, calls_2 = ask_until_valid(asks.join(empty, "request_key"), factory, "claims")
-    extracted = extracted.join(empty, "request_key", "left_anti").unionByName(again)
+    calls_2 = calls_1.limit(0)
+    if empty.limit(1).count():
+        again, calls_2 = ask_until_valid(asks.join(empty, "request_key"), factory, "claims")
+        extracted = extracted.join(empty, "request_key", "left_anti").unionByName(again)
 
     claims = extracted.filter(F.col("error").isNull()).select(
         F.col("request_key").alias("sample_key"), F.posexplode("items").alias("claim_idx", "claim")
@@ -136,18 +148,16 @@ def faithfulness_with_judge(samples: DataFrame, factory: JudgeFactory, *, k: int
     verify = runs.select(
         F.concat_ws("\u001f", "sample_key", "batch_idx", "run_idx").alias("request_key"),
         M.verification_messages(F.coalesce("contexts", F.array().cast("array<string>")), F.col("claims")).alias("messages"),
-        F.col("claims").alias("asked"),
-    )
-    judged, calls_3 = ask_until_valid(
-        verify, factory, "verdicts", problem=M.batch_problem(F.col("asked"), F.col("items"))
+        F.to_json("claims").alias("carry"),
     )
+    asked = F.from_json("carry", "array<string>")
+    judged, calls_3 = ask_until_valid(verify, factory, "verdicts", problem=M.batch_problem(asked, F.col("items")))
     parts = F.split(F.col("request_key"), "\u001f")
-    good = judged.filter(F.col("error").isNull()).join(verify.select("request_key", "asked"), "request_key")
-    verdicts = good.select(
+    verdicts = judged.filter(F.col("error").isNull()).select(
         parts[0].alias("sample_key"),
         parts[1].cast("int").alias("batch_idx"),
         parts[2].cast("int").alias("run_idx"),
-        "asked",
+        asked.alias("asked"),
         F.posexplode("items").alias("i", "v"),
     ).select(
         "sample_key",

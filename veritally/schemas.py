@@ -169,5 +169,7 @@ RESPONSE = T.StructType(
         T.StructField("completion_tokens", T.LongType()),
         T.StructField("latency_ms", T.DoubleType()),
         T.StructField("error", T.StringType()),
+        # Sent along with the request and handed back unchanged.
+        T.StructField("carry", T.StringType()),
     ]
 )
