@@ -45,6 +45,11 @@ def test_report(rows):
     assert slm["mean_total_tokens"] == 120 and cloud["mean_prompt_tokens"] == 200
 
 
+def test_percentile_sketch(rows):
+    got = by(quality.latency_percentiles(rows, approximate=True), "series")
+    assert got["slm"]["latency_median_ms"] == 30.0 and got["cloud"]["latency_p95_ms"] == 400.0
+
+
 def test_cost(rows):
     report = quality.judge_report(rows)
     usd = by(report.select("series", quality.cost_estimate(F.col("judge"), 4, 5.0, 15.0).alias("usd")), "series")

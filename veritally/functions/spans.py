@@ -109,7 +109,7 @@ def detect_patterns(
 ) -> Column:
     """Raw (unmerged) spans of the pattern types among `entities`, in text order."""
     if not 0.0 <= score_threshold <= 1.0:
-        raise ValueError("score_threshold must be between 0.0 and 1.0")
+        raise ValueError(f"a detection score lies in [0, 1]; got the threshold {score_threshold!r}")
     wanted = [e for e in PATTERNS if e in entities and PATTERNS[e][1] >= score_threshold]
     empty = F.array().cast(f"array<{SPAN_SQL}>")
     if not wanted:

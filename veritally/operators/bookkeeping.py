@@ -200,10 +200,6 @@ def projected_runtime(rows: DataFrame, sizes: Sequence[int] = (100, 200)) -> Dat
     )
 
 
-def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
-
-
 def peak_resources(metrics: DataFrame) -> DataFrame:
     """Per leg: peak memory per GPU, peak process and system memory, samples and duration.
 
@@ -219,7 +215,7 @@ def peak_resources(metrics: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == "rss", F.col("peak"))).alias("peak_process_rss_mib"),
         F.max(F.when(F.col("kind") == "system", F.col("peak"))).alias("peak_system_used_mib"),
         F.sum("n").alias("samples"),
-        ((_micros(F.max("last")) - _micros(F.min("first"))) / 60_000_000.0).alias("minutes"),
+        (F.timestamp_diff("MICROSECOND", F.min("first"), F.max("last")) / 60_000_000.0).alias("minutes"),
     )
 
 

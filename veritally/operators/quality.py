@@ -242,8 +242,14 @@ def roc_curve_points(rows: DataFrame, keys: Sequence[str] = ("series",)) -> Data
     return points.unionByName(origin)
 
 
-def latency_percentiles(rows: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
-    """Median and 95th percentile latency over every row that has one."""
+def latency_percentiles(rows: DataFrame, keys: Sequence[str] = ("series",), approximate: bool = False) -> DataFrame:
+    """Median and 95th percentile latency over every row that has one.
+
+    Exact and interpolated; `approximate` trades that for one pass with a sketch of fixed size.
+    """
+    if approximate:
+        sketch = rows.filter(F.col("latency_ms").isNotNull()).groupBy(*keys).agg(F.percentile_approx("latency_ms", [0.5, 0.95], 10_000).alias("_p"))
+        return sketch.select(*keys, F.col("_p")[0].alias("latency_median_ms"), F.col("_p")[1].alias("latency_p95_ms"))
     return exact_percentiles(rows, keys, "latency_ms", {"latency_median_ms": 0.5, "latency_p95_ms": 0.95})
 
 

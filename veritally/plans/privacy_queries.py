@@ -423,7 +423,9 @@ SELECT job_id, status, result_json, error, created_us, updated_us FROM (
 
 
 def _job_view(df):
-    us = [F.unix_micros(F.col(c).cast("timestamp")).alias(a) for c, a in (("created_at", "created_us"), ("updated_at", "updated_us"))]
+    # Event times carry no zone, so they are counted from a zoneless epoch.
+    since = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {})"
+    us = [F.expr(since.format(c)).alias(a) for c, a in (("created_at", "created_us"), ("updated_at", "updated_us"))]
     return df.select("job_id", "status", "result_json", "error", *us)
 
 

@@ -142,7 +142,7 @@ def select_split(samples: DataFrame, split: str) -> DataFrame:
 
 def limit_in_order(samples: DataFrame, n: int, order: str = "seq") -> DataFrame:
     if n <= 0:
-        raise ValueError("limit must be positive")
+        raise ValueError(f"cannot draw {n} samples")
     return samples.orderBy(order).limit(n)
 
 
@@ -162,7 +162,7 @@ def stratified_sample(samples: DataFrame, limit: int, order: str = "seq") -> Dat
     the literal bound on the row number lets Spark cut each stratum before the shuffle.
     """
     if limit <= 0:
-        raise ValueError("limit must be positive")
+        raise ValueError(f"cannot draw {limit} samples")
     keyed = samples.withColumn("_task", F.coalesce("task_type", F.lit("")))
     keys = ["label_hallucinated", "_task"]
     strata = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
