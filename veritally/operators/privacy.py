@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veritally.functions import spans as S
 from veritally.functions.stats import f1_score, ratio_or_one
 from veritally.functions.text import safe_entity_type
-from veritally.scale import SMALL_SIDE_ROWS, running_max, salted_join
+from veritally.scale import HOT_KEY_ROWS, SMALL_SIDE_ROWS, running_max, salted_join, skew_join
 
 CHUNK_CHARS = 32_768
 """Width of the stretches of text that running maxima are computed over."""
@@ -83,7 +83,12 @@ def word_ngrams(docs: DataFrame, longest: int = 3, names: frozenset[str] | None
 
 
 def detect_gazetteer(
-    docs: DataFrame, gazetteer: DataFrame, longest: int = 3, score: float = 0.85, max_rows: int = SMALL_SIDE_ROWS
+    docs: DataFrame,
+    gazetteer: DataFrame,
+    longest: int = 3,
+    score: float = 0.85,
+    max_rows: int = SMALL_SIDE_ROWS,
+    keep_surface: bool = False,
 ) -> DataFrame:
     """Spans of listed names. A list that is small enough goes to every task, and only its
     hits leave the task; a larger one is joined by surface, hot words salted."""
@@ -95,7 +100,8 @@ def detect_gazetteer(
         hits = word_ngrams(docs, longest, listed).join(F.broadcast(local), "surface")
     else:
         hits = salted_join(word_ngrams(docs, longest), names, ["surface"], "inner")
-    return hits.select("doc_id", "start", "end", "entity_type", F.lit(score).alias("score"))
+    kept = ["surface"] if keep_surface else []
+    return hits.select("doc_id", "start", "end", "entity_type", F.lit(score).alias("score"), *kept)
 
 
 def detect_with(
@@ -251,15 +257,20 @@ def pii_detection_quality(matches: DataFrame) -> DataFrame:
     )
 
 
-def detection_misses(matches: DataFrame, docs: DataFrame) -> DataFrame:
-    """Every missed span with its text, and the document it leaked from."""
+def detection_misses(matches: DataFrame, docs: DataFrame, with_context: bool = True, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Every missed span with its text, and the document it leaked from.
+
+    The document is repeated for each of its misses; leave the context out where texts are
+    long and misses many.
+    """
     missed = matches.filter(F.col("outcome") == "missed").select("doc_id", "expected_start", "expected_end", "expected_type")
-    return missed.join(docs.select("doc_id", "text"), "doc_id").select(
+    found = skew_join(missed, docs.select("doc_id", "text"), ["doc_id"], "inner", hot_rows).select(
         "doc_id",
         F.col("expected_type").alias("entity_type"),
         F.substring("text", F.col("expected_start") + 1, F.col("expected_end") - F.col("expected_start")).alias("surface"),
         F.col("text").alias("context"),
     )
+    return found if with_context else found.drop("context")
 
 
 def number_placeholders(spans: DataFrame, texts: DataFrame) -> DataFrame:

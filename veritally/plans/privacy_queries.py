@@ -103,8 +103,7 @@ def _(spark, d):
     words = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("surface"), F.lit("PERSON").alias("entity_type"))
     listed = nations.unionByName(words.filter((F.length("surface") >= 6) & F.col("surface").rlike("^[a-z]+$")))
     docs = texts(spark, d).select("doc_id", "text")
-    hits = P.detect_gazetteer(docs, listed)
-    named = hits.join(docs, "doc_id").select("doc_id", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("surface"), "entity_type")
+    named = P.detect_gazetteer(docs, listed, keep_surface=True)
     return named.groupBy("doc_id", "surface", "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 

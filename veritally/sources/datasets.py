@@ -85,7 +85,7 @@ def read_ragtruth(spark: SparkSession, root: str) -> DataFrame:
     sources = read_jsonl(spark, f"{root}/source_info.jsonl", schemas.RAGTRUTH_SOURCE)
     return ragtruth_samples(
         responses.withColumnRenamed("row_in_scan", "seq").drop("source_path", "block_start"),
-        sources.withColumnRenamed("row_in_scan", "source_seq").drop("source_path", "block_start"),
+        sources.withColumn("source_seq", F.struct(*FILE_ORDER)).drop(*FILE_ORDER),
     )
 
 
