@@ -200,3 +200,18 @@ def test_no_original_value_leaves_a_request(spark):
     leaky = masked.withColumn("answer", F.concat("answer", F.lit(" a@b.org")))
     [leak] = P.leak_check(leaky).collect()
     assert (leak.value, leak.leaked_fields) == ("a@b.org", 1)
+
+
+def test_a_form_keeps_the_type_it_first_appears_with(spark):
+    forms = [("x", "B"), ("y", "A"), ("x", "A"), ("z", "A"), ("y", "A")]
+    df = spark.createDataFrame([(forms, ["<A_2> stands here"])], "f array<struct<surface: string, entity_type: string>>, t array<string>")
+    row = df.select(S.first_forms(F.col("f")).alias("first"), S.number_forms(F.col("t"), F.col("f")).alias("n")).first()
+    assert [tuple(f) for f in row["first"]] == [("x", "B"), ("y", "A"), ("z", "A")]
+    assert {f.surface: f.placeholder for f in row.n} == {"x": "<B_1>", "y": "<A_1>", "z": "<A_3>"}
+
+
+def test_many_matches_are_placed_like_few(spark):
+    text = "x@y.org " + " ".join(f"m{i}@corp.example.org" for i in range(40)) + " x@y.org"
+    df = spark.createDataFrame([(text,)], "t string")
+    found = df.select(S.pattern_spans(F.col("t"), "EMAIL_ADDRESS").alias("s")).first().s
+    assert [text[s.start : s.end] for s in found] == text.split()

@@ -29,6 +29,7 @@ NEEDS = {"EMAIL_ADDRESS": "@"}
 
 # Patterns without a boundary: a match can only be the first copy of itself after the last.
 UNBOUNDED = ("EMAIL_ADDRESS",)
+FEW_MATCHES = 8
 
 SPAN_SQL = "struct<start: int, end: int, entity_type: string, score: double>"
 
@@ -78,20 +79,23 @@ def pattern_spans(text: Column, entity_type: str, check_luhn: bool = True) -> Co
 
     def place(found: Column) -> Column:
         begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-        if entity_type in UNBOUNDED:
-            return F.aggregate(
-                found,
-                begin,
-                lambda acc, m: let(F.position(m, text, acc["at"] + 1) - 1, lambda start: step(acc, start, m)),
-                lambda acc: acc["spans"],
-            )
         between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-        return F.aggregate(
+        by_pieces = F.aggregate(
             F.arrays_zip(found.alias("m"), between.alias("p")),
             begin,
             lambda acc, z: let(acc["at"] + F.length(z["p"]), lambda start: step(acc, start, z["m"])),
             lambda acc: acc["spans"],
         )
+        if entity_type not in UNBOUNDED:
+            return by_pieces
+        by_lookup = F.aggregate(
+            found,
+            begin,
+            lambda acc, m: let(F.position(m, text, acc["at"] + 1) - 1, lambda start: step(acc, start, m)),
+            lambda acc: acc["spans"],
+        )
+        # Every lookup walks the text from its start, so many of them cost more than a split.
+        return F.when(F.size(found) <= FEW_MATCHES, by_lookup).otherwise(by_pieces)
 
     spans = let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -141,9 +145,13 @@ def merge_spans(spans: Column) -> Column:
             F.concat(acc, F.array(s))
         )
 
-    return let(
-        spans, lambda found: F.when(F.size(found) > 1, F.aggregate(F.array_sort(found), empty, fold)).otherwise(found)
-    )
+    def merged(ordered: Column) -> Column:
+        # Neighbours that do not overlap are the rule, and then nothing has to be folded.
+        neighbours = F.sequence(F.lit(1), F.size(ordered) - 1)
+        touches = F.exists(neighbours, lambda i: F.get(ordered, i)["start"] < F.get(ordered, i - 1)["end"])
+        return F.when(F.size(ordered) < 2, ordered).when(~touches, ordered).otherwise(F.aggregate(ordered, empty, fold))
+
+    return let(F.array_sort(spans), merged)
 
 
 def keep_in_range(text: Column, spans: Column) -> Column:
@@ -153,72 +161,90 @@ def keep_in_range(text: Column, spans: Column) -> Column:
     )
 
 
-def number_placeholders(texts: Column, spans: Column) -> Column:
-    """Placeholder per distinct surface form of a batch of texts: array of (surface, placeholder).
+def cut_at(text: Column, spans: Column) -> Column:
+    """A text in pieces: per span the text before it, its surface and type; then the rest.
 
-    Forms are numbered per type in order of first appearance, over all texts of the batch. A
-    form keeps the type it first appears with, and numbers whose placeholder already stands
-    in one of the texts are passed over.
+    `spans` are in order and do not overlap.
     """
-    found = F.flatten(
-        F.transform(
-            F.arrays_zip(texts.alias("t"), spans.alias("s")),
-            lambda z: F.transform(
-                z["s"],
-                lambda s: F.struct(surface_form(z["t"], s).alias("surface"), s["entity_type"].alias("entity_type")),
-            ),
-        )
-    )
-    # First appearance decides the type: later entries of a form are dropped.
-    distinct = F.aggregate(
-        found,
-        F.array().cast("array<struct<surface: string, entity_type: string>>"),
-        lambda acc, f: F.when(F.exists(acc, lambda a: a["surface"] == f["surface"]), acc).otherwise(F.concat(acc, F.array(f))),
-    )
-    taken_in_texts = F.regexp_extract_all(F.array_join(texts, "\n"), F.lit(r"<[A-Z0-9_]+_[1-9][0-9]{0,8}>"), F.lit(0))
 
-    def nth_free(rank: Column, kind: Column, taken: Column) -> Column:
-        prefix = F.concat(F.lit("<"), kind, F.lit("_"))
-        candidates = F.transform(
-            F.sequence(F.lit(1), rank + F.size(taken)), lambda n: F.concat(prefix, n.cast("string"), F.lit(">"))
-        )
-        return F.get(F.array_except(candidates, taken), rank - 1)
-
-    def numbered(first: Column, taken: Column) -> Column:
-        return F.transform(
-            first,
-            lambda f, i: F.struct(
-                f["surface"].alias("surface"),
-                let(
-                    F.size(F.filter(F.slice(first, 1, i + 1), lambda g: g["entity_type"] == f["entity_type"])),
-                    lambda rank: F.when(
-                        F.size(taken) == 0, F.concat(F.lit("<"), f["entity_type"], F.lit("_"), rank.cast("string"), F.lit(">"))
-                    ).otherwise(nth_free(rank, f["entity_type"], taken)),
-                ).alias("placeholder"),
+    def pieces(found: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(found, i - 1)["end"])
+        parts = F.transform(
+            found,
+            lambda s, i: F.struct(
+                F.substring(text, before(i) + 1, s["start"] - before(i)).alias("gap"),
+                surface_form(text, s).alias("surface"),
+                s["entity_type"].alias("entity_type"),
             ),
         )
+        rest = F.substring(text, F.element_at(found, -1)["end"] + 1, F.length(text))
+        return F.struct(parts.alias("parts"), F.when(F.size(found) > 0, rest).otherwise(text).alias("rest"))
+
+    return let(spans, pieces)
 
-    return let(distinct, lambda first: let(taken_in_texts, lambda taken: numbered(first, taken)))
+
+def fill_in(cut: Column, placeholders: Column) -> Column:
+    """The text of `cut_at` with a placeholder for every surface form."""
+    filled = F.transform(cut["parts"], lambda p: F.concat(p["gap"], F.element_at(placeholders, p["surface"])))
+    return F.concat(F.array_join(filled, ""), cut["rest"])
 
 
 def apply_mask(text: Column, spans: Column, placeholders: Column) -> Column:
-    """The text with every span replaced by the placeholder of its surface form.
+    """The text with every span replaced by the placeholder of its surface form."""
+    return let(cut_at(text, spans), lambda cut: fill_in(cut, placeholders))
+
+
+FORM_SQL = "struct<surface: string, entity_type: string>"
+
 
-    `spans` are in order and do not overlap; `placeholders` is a map from surface form.
+def first_forms(forms: Column) -> Column:
+    """Distinct surface forms in order; a form keeps the type it first appears with."""
+
+    def joined(f: Column) -> Column:
+        return F.concat(f["surface"], F.lit("\u0000"), f["entity_type"])
+
+    def parted(x: Column) -> Column:
+        kind = F.substring_index(x, "\u0000", -1)
+        return F.struct(F.substring(x, F.lit(1), F.length(x) - F.length(kind) - 1).alias("surface"), kind.alias("entity_type"))
+
+    def one_type_each(pairs: Column) -> Column:
+        firsts = F.aggregate(
+            pairs,
+            F.array().cast(f"array<{FORM_SQL}>"),
+            lambda acc, f: F.when(F.exists(acc, lambda a: a["surface"] == f["surface"]), acc).otherwise(F.concat(acc, F.array(f))),
+        )
+        # The fold is quadratic; it is needed only when some form came with two types.
+        plain = F.size(F.array_distinct(F.transform(pairs, lambda f: f["surface"]))) == F.size(pairs)
+        return F.when(plain, pairs).otherwise(firsts)
+
+    return let(F.transform(F.array_distinct(F.transform(forms, joined)), parted), one_type_each)
+
+
+def number_forms(texts: Column, forms: Column) -> Column:
+    """(surface, placeholder) of every distinct form, numbered per type by first appearance.
+
+    Numbers whose placeholder already stands in one of the texts are passed over.
     """
-    pieces = F.transform(
-        spans,
-        lambda s, i: F.concat(
-            F.substring(
-                text,
-                F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)) + 1,
-                s["start"] - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)),
-            ),
-            F.element_at(placeholders, surface_form(text, s)),
-        ),
-    )
-    tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    in_texts = F.regexp_extract_all(F.array_join(texts, "\n"), F.lit(r"<[A-Z0-9_]+_[1-9][0-9]{0,8}>"), F.lit(0))
+
+    def per_type(kind: Column, first: Column, taken: Column) -> Column:
+        def numbered(own: Column) -> Column:
+            wanted = F.transform(
+                F.sequence(F.lit(1), F.size(own) + F.size(taken)),
+                lambda n: F.concat(F.lit("<"), kind, F.lit("_"), n.cast("string"), F.lit(">")),
+            )
+            return let(
+                F.array_except(wanted, taken),
+                lambda free: F.transform(own, lambda f, i: F.struct(f["surface"].alias("surface"), F.get(free, i).alias("placeholder"))),
+            )
+
+        return let(F.filter(first, lambda f: f["entity_type"] == kind), numbered)
+
+    def over_types(first: Column, taken: Column) -> Column:
+        kinds = F.array_distinct(F.transform(first, lambda f: f["entity_type"]))
+        return F.flatten(F.transform(kinds, lambda kind: per_type(kind, first, taken)))
+
+    return let(first_forms(forms), lambda first: let(in_texts, lambda taken: over_types(first, taken)))
 
 
 PLACEHOLDER = r"<[A-Z0-9_]+_[0-9]+>"

@@ -332,24 +332,24 @@ def sanitize_requests(
     contexts = F.coalesce("contexts", F.array().cast("array<string>"))
     fields = F.concat(F.array(F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))), contexts)
 
-    def masked(texts: Column, found: Column) -> Column:
+    def masked(texts: Column, cuts: Column) -> Column:
         def with_numbers(numbers: Column) -> Column:
-            forward = F.map_from_entries(numbers)
+            names = F.map_from_entries(numbers)
             return F.struct(
-                S.let(
-                    forward,
-                    lambda names: F.transform(
-                        F.arrays_zip(texts.alias("t"), found.alias("s")), lambda z: S.apply_mask(z["t"], z["s"], names)
-                    ),
-                ).alias("texts"),
+                S.let(names, lambda m: F.transform(cuts, lambda c: S.fill_in(c, m))).alias("texts"),
                 F.map_from_entries(F.transform(numbers, lambda p: F.struct(p["placeholder"], p["surface"]))).alias("mapping"),
             )
 
-        return S.let(S.number_placeholders(texts, found), with_numbers)
+        forms = F.flatten(
+            F.transform(cuts, lambda c: F.transform(c["parts"], lambda p: F.struct(p["surface"].alias("surface"), p["entity_type"].alias("entity_type"))))
+        )
+        return S.let(S.number_forms(texts, forms), with_numbers)
 
     result = S.let(
         fields,
-        lambda texts: S.let(F.transform(texts, lambda t: S.merge_spans(finder(t))), lambda found: masked(texts, found)),
+        lambda texts: S.let(
+            F.transform(texts, lambda t: S.cut_at(t, S.merge_spans(finder(t)))), lambda cuts: masked(texts, cuts)
+        ),
     )
     kept = [c for c in requests.columns if c not in ("question", "answer", "contexts")]
     return requests.select(*kept, result.alias("_r")).select(
