@@ -44,14 +44,14 @@ def strip_code_fence(text: Column) -> Column:
 
 def split_passages(text: Column) -> Column:
     """Pieces between `passage N:` markers; a text without markers stays whole."""
-    parts = F.filter(F.transform(F.split(text, r"(?i)passage\s+\d+\s*:"), strip), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"(?iU)passage\s+\d+\s*:"), strip), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(text)))
 
 
 def sentences(text: Column, limit: int | None = None) -> Column:
     """Distinct sentences in order; at most `limit` of them when a limit is the feature."""
     parts = F.array_distinct(
-        F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), strip), lambda x: x != "")
+        F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), strip), lambda x: x != "")
     )
     return F.slice(parts, 1, limit) if limit is not None else parts
 
@@ -69,7 +69,7 @@ def sample_buckets(context_chars: Column, context_count: Column, answer: Column)
         F.array(
             F.when(context_chars >= LONG_CONTEXT_CHARS, F.lit("long_context")),
             F.when(context_count > 1, F.lit("multi_passage")),
-            F.when(answer.rlike(r"[0-9]"), F.lit("numeric_claim")),
+            F.when(answer.rlike(r"\p{Nd}"), F.lit("numeric_claim")),
             F.when(answer.rlike(r"(?i)\band\b|\bwhile\b|\balthough\b|;"), F.lit("conjoined_claims")),
             F.when(F.length(answer) < SHORT_ANSWER_CHARS, F.lit("short_answer")),
         )

@@ -486,7 +486,7 @@ sample_buckets AS (
     SELECT sample_id, [x for x in [
       CASE WHEN list_sum([length(x) for x in contexts]) >= 2000 THEN 'long_context' END,
       CASE WHEN len(contexts) > 1 THEN 'multi_passage' END,
-      CASE WHEN regexp_matches(answer, '[0-9]') THEN 'numeric_claim' END,
+      CASE WHEN regexp_matches(answer, '\\p{Nd}') THEN 'numeric_claim' END,
       CASE WHEN regexp_matches(answer, '(?i)\\band\\b|\\bwhile\\b|\\balthough\\b|;') THEN 'conjoined_claims' END,
       CASE WHEN length(answer) < 120 THEN 'short_answer' END] if x IS NOT NULL] AS b FROM samples)),
 bucketed AS (SELECT n.sample_id, n.dataset, n.series, n.faithfulness, n.label_hallucinated, buckets FROM named n JOIN sample_buckets USING (sample_id))""",
