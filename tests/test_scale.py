@@ -50,6 +50,13 @@ def test_joins_agree_whatever_the_route(spark, skewed, how):
         assert sorted(map(tuple, route.select("i", "x").collect()), key=repr) == want
 
 
+def test_a_join_that_keeps_the_copied_side_is_refused(spark):
+    df = spark.createDataFrame([("a", 1)], "k string, x int")
+    for join in (scale.salted_join, scale.skew_join):
+        with pytest.raises(ValueError):
+            join(df, df.select("k"), ["k"], "full")
+
+
 def test_running_max_over_chunks(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"k": rng.integers(0, 3, 400), "o": rng.permutation(400), "v": rng.integers(0, 10_000, 400)})

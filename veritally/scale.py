@@ -67,6 +67,12 @@ def beside(*single_rows: DataFrame) -> DataFrame:
     return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
 
 
+def _check_how(how: str) -> None:
+    """The salted side is copied, so a join that keeps its unmatched rows would repeat them."""
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"a salted join cannot be {how!r}")
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -79,6 +85,7 @@ def salted_join(
     The salt is a hash of the row rather than a random number: a task that is recomputed
     after an executor is lost has to send each row to the same place again.
     """
+    _check_how(how)
     on = list(on)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(big)), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
@@ -114,6 +121,7 @@ def skew_join(
     Rows of a hot key are spread by a hash of the row, and only the hot keys are copied
     `salts` times on the unique side. Without hot keys this is the plain join.
     """
+    _check_how(how)
     on = list(on)
     hot = hot_hashes(big, on, hot_rows)
     if not hot:
