@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from veritally.plans import catalog
 from tools.check import compare, connect
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -17,9 +18,9 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, name):
-    status, _, _, note = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF_DIR)
+    status, _, _, note = compare(spark, con, name, catalog.queries()[name], catalog.oracle_sql().get(name), SF_DIR)
     assert status in ("ok", "rows"), f"{status}: {note}"
 
 
@@ -28,4 +29,4 @@ def test_entry(spark):
 
 
 def test_every_query_but_the_file_listing_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"file_digests"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"file_digests"}
