@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, repetition
+from veritally.llm import bpe, curriculum, repetition
 from veritally.plans.registry import registry
 
 QUERIES, SQL, query = registry()
@@ -29,3 +29,8 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_repetition_rules")
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(documents(spark, sf_dir))
+
+
+@query("op10_source_mix", curriculum.ORACLE)
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mixed_documents(documents(spark, sf_dir))
