@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, curriculum, repetition
+from veritally.llm import bpe, curriculum, repetition, warc
 from veritally.plans.registry import registry
 
 QUERIES, SQL, query = registry()
@@ -14,6 +14,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def vocabulary_path() -> str:
     """The public vocabulary's place on the driver; only here is it a fixed choice."""
     import public_tokenizers
@@ -34,3 +38,8 @@ def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mix", curriculum.ORACLE)
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mixed_documents(documents(spark, sf_dir))
+
+
+@query("op1_arc_to_warc")
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(pages(spark, sf_dir))
