@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, curriculum, repetition, warc
+from veritally.llm import bpe, curriculum, langid, repetition, warc
 from veritally.plans.registry import registry
 
 QUERIES, SQL, query = registry()
@@ -43,3 +43,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_arc_to_warc")
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(pages(spark, sf_dir))
+
+
+@query("op7_language_mixture")
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(documents(spark, sf_dir))
