@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, curriculum, langid, repetition, warc
+from veritally.llm import bpe, curriculum, langid, quality, repetition, warc
 from veritally.plans.registry import registry
 
 QUERIES, SQL, query = registry()
@@ -48,3 +48,8 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language_mixture")
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(documents(spark, sf_dir))
+
+
+@query("op4_quality_network")
+def op4_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
