@@ -3,7 +3,8 @@
 Tokens are runs of one kind of character (small letters, capitals, digits, signs). Each token
 bucket has a sparse random index vector; its word vector is the sum of the index vectors of the
 tokens within two places of it, over the whole corpus, scaled to length 1, plus its own index
-vector. A document is the mean and the spread of its tokens' vectors, and a network with one
+vector. A document is the mean and the spread of its tokens' vectors, the share of tokens whose
+vector stands 1, 2, 3 or 4 places before too, and the log of their number. A network with one
 hidden layer gives the probability of label 1, its temperature set on rows kept from fitting.
 
 The word vectors come from every document. Only the network is fitted on a bounded sample of
@@ -30,6 +31,8 @@ BUCKETS = 1 << 13
 DIMENSIONS = 48
 NONZERO = 4
 WINDOW = 2
+ECHOES = 4
+FEATURES = 2 * DIMENSIONS + ECHOES + 1
 HIDDEN = 32
 MOST_LABELLED = 20_000
 SEED = 7
@@ -101,7 +104,7 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pooled(vectors: np.ndarray, offsets: np.ndarray, data: np.ndarray, part: int = 1 << 14) -> np.ndarray:
-    """Mean and spread of the token vectors of each document."""
+    """Mean and spread of the token vectors of each document, echoes and length."""
     n = len(offsets) - 1
     bucket, owner = tokens(offsets, data)
     first, second = np.zeros((n, DIMENSIONS)), np.zeros((n, DIMENSIONS))
@@ -112,7 +115,11 @@ def pooled(vectors: np.ndarray, offsets: np.ndarray, data: np.ndarray, part: int
         second[held[starts]] += np.add.reduceat(found * found, starts, axis=0)
     count = np.maximum(np.bincount(owner, minlength=n), 1)[:, None]
     mean = first / count
-    return np.hstack([mean, np.sqrt(np.maximum(second / count - mean * mean, 0))])
+    echo = np.zeros((n, ECHOES))
+    for step in range(1, ECHOES + 1):
+        same = (bucket[step:] == bucket[:-step]) & (owner[step:] == owner[:-step])
+        echo[:, step - 1] = np.bincount(owner[step:][same], minlength=n) / count[:, 0]
+    return np.hstack([mean, np.sqrt(np.maximum(second / count - mean * mean, 0)), echo, np.log(count)])
 
 
 class Network:
@@ -178,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most_labelled:
     # The drawn labels have a fixed number of rows, so they may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text")
     found = rows.mapInArrow(features, "doc_id bigint, quality int, x array<double>").toPandas().sort_values(["doc_id", "quality"], kind="stable")
-    x = np.array(found["x"].tolist()).reshape(len(found), 2 * DIMENSIONS)
+    x = np.array(found["x"].tolist()).reshape(len(found), FEATURES)
     ids = ts.mix(found["doc_id"].to_numpy(np.int64).astype(np.uint64))
     return Network(x, found["quality"].to_numpy(int), ids % np.uint64(7) == 0)
 
