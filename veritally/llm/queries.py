@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, curriculum, langid, quality, repetition, warc
+from veritally.llm import bpe, curriculum, langid, minhash, quality, repetition, warc
 from veritally.plans.registry import registry
 
 QUERIES, SQL, query = registry()
@@ -53,3 +53,8 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality_network")
 def op4_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op5_minhash_join")
+def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
