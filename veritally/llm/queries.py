@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, curriculum, langid, minhash, quality, repetition, warc
+from veritally.llm import bpe, cdc, curriculum, langid, minhash, quality, repetition, warc
 from veritally.plans.registry import registry
 
 QUERIES, SQL, query = registry()
@@ -58,3 +58,8 @@ def op4_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_join")
 def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
+@query("op9_chunk_dedup")
+def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
