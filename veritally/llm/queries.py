@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, cdc, curriculum, langid, minhash, quality, repetition, warc
+from veritally.llm import bpe, cdc, curriculum, embed, langid, minhash, quality, repetition, warc
 from veritally.plans.registry import registry
 
 QUERIES, SQL, query = registry()
@@ -63,3 +63,8 @@ def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_chunk_dedup")
 def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op6_projection_collisions")
+def op6_projection_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
