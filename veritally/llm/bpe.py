@@ -37,7 +37,7 @@ SPACE = r"\p{White_Space}"
 CACHE_PIECES = 400_000
 PAIR_BITS = 24
 
-SCHEMA = "doc_id bigint, n_tokens bigint, ids array<bigint>, decoded string"
+SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, decoded string"
 DIGEST_SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -203,28 +203,28 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """Each document's ids and the text they decode to."""
 
     def finish(ids, found):
-        rows = [np.frombuffer(a, "<u4").astype(np.int64) for a, _ in found]
+        rows = [np.frombuffer(a, "<u4").astype(np.int32) for a, _ in found]
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array([b for _, b in found], pa.string())],
+            [ids, pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.array([b for _, b in found], pa.string())],
             names=["doc_id", "n_tokens", "ids", "decoded"],
         )
 
     return _encoded(docs, vocabulary_path, id_col, text_col, SCHEMA, finish)
 
 
-def encode_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same encoding with only the digests of its two results leaving the task."""
+def encode_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """The same encoding with only the digests of its two results, and the ids if asked for, leaving the task."""
 
     def finish(ids, found):
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        return pa.RecordBatch.from_arrays(
-            [
-                ids,
-                pa.array([len(a) // 4 for a, _ in found], pa.int64()),
-                pa.array([sha(a) for a, _ in found], pa.string()),
-                pa.array([sha(b.encode("utf-8", "surrogatepass")) for _, b in found], pa.string()),
-            ],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-    return _encoded(docs, vocabulary_path, id_col, text_col, DIGEST_SCHEMA, finish)
+        columns = {
+            "doc_id": ids,
+            "n_tokens": pa.array([len(a) // 4 for a, _ in found], pa.int64()),
+            "ids_sha256": pa.array([sha(a) for a, _ in found], pa.string()),
+            "decoded_sha256": pa.array([sha(b.encode("utf-8", "surrogatepass")) for _, b in found], pa.string()),
+        }
+        if with_ids:
+            columns["ids"] = pa.array([np.frombuffer(a, "<i4") for a, _ in found], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return _encoded(docs, vocabulary_path, id_col, text_col, DIGEST_SCHEMA + (", ids array<int>" if with_ids else ""), finish)

@@ -30,7 +30,7 @@ BLOCK = 24
 EM_STEPS = 10
 MOST_LANGUAGES = 4
 UNKNOWN = "und"
-SCHEMA = "doc_id bigint, lang_pred string, score double, languages array<string>"
+FOUND = {"lang_pred": "string", "score": "double", "languages": "array<string>"}
 
 #: Bytes as the grams see them: letters lowered, everything else in ASCII a blank.
 FOLD = np.full(256, 32, np.uint8)
@@ -134,16 +134,23 @@ def infer(model: Model, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarr
     return shares, seen
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, languages): the winner, its share, and every language that was selected."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The input with `lang_pred`, `score` (the winner's share) and `languages`, every language that was selected.
+
+    Columns of the input with these names are replaced. No row moves.
+    """
+    names = [c for c in docs.columns if c not in FOUND]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), *(f"{c} {t}" for c, t in FOUND.items())])
+    at_text = names.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = np.array([*model.languages, UNKNOWN], object)
+        labels = np.array([*model.languages, UNKNOWN], object)
         limit = max(1 << 14, (1 << 22) // max(1, len(model.languages)))
         for batch in batches:
-            for first, last, offsets, data in ts.slices(batch.column(1), min(limit, ts.SLICE_BYTES)):
+            for first, last, offsets, data in ts.slices(batch.column(at_text), min(limit, ts.SLICE_BYTES)):
                 n = last - first
                 shares, seen = infer(model, offsets, data) if model.languages else (np.zeros((n, 1)), np.zeros(n, bool))
                 letters = ts.counts_per(ts.owners(np.flatnonzero(FOLD[data] != 32), offsets), n)
@@ -156,15 +163,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     if any(c.isalpha() for c in raw.decode("utf-8", "replace")):  # shorter than a gram: with blanks around
                         padded = np.frombuffer(b" " + raw + b" " * GRAM, np.uint8)
                         shares[i], known[i] = infer(model, np.array([0, len(padded)]), padded)[0][0], True
-                winner = np.where(known, shares.argmax(1), len(names) - 1)
+                winner = np.where(known, shares.argmax(1), len(labels) - 1)
                 score = np.where(known, shares.max(1), 0.0)
-                chosen = [[names[j] for j in np.argsort(-s, kind="stable") if s[j] > 0.005] if k else [] for s, k in zip(shares, known, strict=True)]
+                chosen = [[labels[j] for j in np.argsort(-s, kind="stable") if s[j] > 0.005] if k else [] for s, k in zip(shares, known, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:last], pa.array(list(names[winner]), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(chosen, pa.list_(pa.string()))],
-                    names=["doc_id", "lang_pred", "score", "languages"],
+                    [*(c[first:last] for c in batch.columns), pa.array(list(labels[winner]), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(chosen, pa.list_(pa.string()))],
+                    names=[*names, *FOUND],
                 )
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(*names).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -175,4 +182,4 @@ def held_out(id_col: str = "doc_id"):
 def identified(docs: DataFrame) -> DataFrame:
     """Learns from the rows that are not held out and predicts all."""
     model = train(docs.filter(~held_out()))
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
