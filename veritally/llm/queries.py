@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, cdc, curriculum, embed, langid, minhash, quality, repetition, warc
+from veritally.llm import bpe, cdc, curriculum, embed, langid, maintext, minhash, quality, repetition, warc
 from veritally.plans.registry import registry
 
 QUERIES, SQL, query = registry()
@@ -68,3 +68,8 @@ def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_projection_collisions")
 def op6_projection_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op3_main_text")
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_text(pages(spark, sf_dir))
