@@ -165,6 +165,8 @@ def passage(data: np.ndarray, start: int, end: int, before: bytes, after: bytes)
             start += int(space.argmax())
         if end < len(data) and not space[-1] and not ts.IS_SPACE[data[end]]:
             end -= int(space[::-1].argmax())
+        while 0 < start < end and ts.IS_SPACE[data[start]]:  # what stands before keeps its blank
+            start += 1
     return start, max(start, end)
 
 
