@@ -237,7 +237,8 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int, percent: in
                 kept = part.take(pa.array(good, pa.int64()))
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array([sets[i].tobytes() for i in good], pa.binary())], names=["node", "family", "blocks", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(members, "doc_id").select("node", "family", "blocks", "text")
+    # Members grow with the corpus, so they are merged with the texts at every size, never broadcast.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(members.hint("merge"), "doc_id").select("node", "family", "blocks", "text")
     sets = texts.mapInArrow(build, "node bigint, family bigint, blocks bigint, shingles binary")
     rows = paired_blocks(sets, ["family"], "blocks", "node")
 
