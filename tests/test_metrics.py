@@ -230,8 +230,99 @@ def test_stub_expressions(spark):
 
 
 def test_legs(spark):
-    legs = J.plan_legs(["m1", "m2"], cloud_model="big", ablation_model="m1")
-    assert [(leg["leg"], leg["privacy_mode"]) for leg in legs] == [("slm-m1", "mask"), ("slm-m2", "mask"), ("slm-m1-nomask", "off"), ("cloud", "mask")]
-    rows = spark.createDataFrame([("slm-m1", None), ("slm-m2", "E"), ("slm-m2", None), ("cloud", "E")], "leg string, error string")
+    models = spark.createDataFrame([("here", "a", ["off", "mask"]), ("there", "b", ["mask"]), ("here", "c", ["mask"])], "judge string, model string, privacy_modes array<string>")
+    legs = J.leg_table(models)
+    assert {r.leg for r in legs.collect()} == {"here/a/off", "here/a/mask", "there/b/mask", "here/c/mask"}
+    rows = spark.createDataFrame([("here/a/off", "E"), ("here/a/off", None), ("there/b/mask", None), ("here/c/mask", "E")], "leg string, error string")
     got = {r.leg: r.status for r in J.leg_status(legs, rows).collect()}
-    assert got == {"slm-m1": "ok", "slm-m2": "partial", "slm-m1-nomask": "skipped", "cloud": "failed"}
+    assert got == {"here/a/off": "partial", "here/a/mask": "skipped", "there/b/mask": "ok", "here/c/mask": "failed"}
+
+
+SAMPLE = "sample_id string, dataset string, question string, answer string, contexts array<string>, label_hallucinated boolean"
+
+
+def test_a_leg_that_fails_ends_no_other(spark):
+    models = spark.createDataFrame([("here", "good", ["mask"]), ("here", "bad", ["mask"])], "judge string, model string, privacy_modes array<string>")
+
+    def broken():
+        raise OSError("no such model")
+
+    samples = spark.createDataFrame([("1", "a", "q", "One. Two.", ["c"], True), ("1", "b", "q", "Three.", ["c"], None)], SAMPLE)
+    rows = J.run_legs(samples, J.leg_table(models), {"good": J.stub_judge, "bad": broken}, lambda df, mode: df)
+    status = {r.leg: (r.scored, r.failed, r.status) for r in J.leg_status(J.leg_table(models), rows).collect()}
+    assert status == {"here/good/mask": (2, 0, "ok"), "here/bad/mask": (0, 2, "failed")}
+
+
+def test_ids_may_repeat_between_datasets_but_not_within(spark):
+    rows = [("1", "a", "q", "One. Two.", ["c"], True), ("1", "b", "q", "Three.", ["c"], False), ("x\u001f1", "b", "q", "Four.", ["c"], False)]
+    got = J.score_with_judge(spark.createDataFrame(rows, SAMPLE), J.stub_judge, judge="j", model="m").collect()
+    assert {(r.dataset, r.sample_id): [v.claim for v in r.verdicts] for r in got} == {("a", "1"): ["One.", "Two."], ("b", "1"): ["Three."], ("b", "x\u001f1"): ["Four."]}
+    with pytest.raises(ValueError, match="more than once"):
+        J.score_with_judge(spark.createDataFrame(rows + rows[:1], SAMPLE), J.stub_judge, judge="j", model="m")
+
+
+def test_both_offline_judges_take_the_same_claims(spark):
+    answers = ["One. Two! One. Three? Four. Five. Six.", "first line\nlast. line", "", "no end", "a.\u00a0b."]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, answer string")
+    for r in df.select("i", J.text.stub_claims(F.col("answer")).alias("c")).collect():
+        assert r.c == J.stub_sentences(answers[r.i])
+
+
+def turns(messages):
+    return sum(m["role"] == "assistant" for m in messages)
+
+
+def patient(plan):
+    """A judge that follows a plan per claim: what to say at the n-th time it is asked."""
+
+    def factory():
+        def judge(messages, form):
+            asked = messages[1]["content"]
+            if form == "claims":
+                answer = json.loads(asked.split("\n", 1)[1])
+                if answer == "late":
+                    assert turns(messages) < 2 and (turns(messages) == 0 or "no claim" in messages[-1]["content"])
+                    return {"text": json.dumps({"claims": ["late"] if turns(messages) else []})}
+                return {"text": json.dumps({"claims": [answer]})}
+            claim = json.loads(asked.split("\n\nClaims:\n", 1)[1])[0]["claim"]
+            reminded = any("another claim" in m["content"] for m in messages[2:])
+            step = plan[claim + "!" if reminded and claim + "!" in plan else claim][turns(messages)] if claim in plan else "good"
+            said = {"good": claim, "moved": "another thing", "bad": claim}[step]
+            item = {"claim": said, "verdict": "supported", "reason": 4 if step == "bad" else "so"}
+            return {"text": json.dumps({"verdicts": [item]})}
+
+        return judge
+
+    return factory
+
+
+def test_one_more_ask_for_alignment_and_three_for_json(spark):
+    plan = {
+        "twice": ["moved", "moved", "good"],
+        "once": ["moved", "good"],
+        "json": ["bad", "bad", "good"],
+        "both": ["bad", "bad", "moved"],
+        "both!": [None, "bad", "bad", "good"],
+        "never": ["bad", "bad", "bad"],
+    }
+    rows = [(c, "d", "q", c, ["c"], True) for c in ("twice", "once", "json", "both", "never", "late")]
+    got = {r.sample_id: r for r in J.score_with_judge(spark.createDataFrame(rows, SAMPLE), patient(plan), judge="j", model="m").collect()}
+    assert {k: r.faithfulness for k, r in got.items()} == {"twice": None, "once": 1.0, "json": 1.0, "both": 1.0, "never": None, "late": 1.0}
+    assert "another claim" in got["twice"].error and "valid JSON" in got["never"].error
+
+
+@pytest.mark.parametrize("body, sound", [
+    ({"verdicts": [{"claim": "3", "verdict": "supported", "reason": "r"}]}, True),
+    ({"verdicts": [{"claim": 3, "verdict": "supported", "reason": "r"}]}, False),
+    ({"verdicts": [{"claim": "c", "verdict": "supported", "reason": 4}]}, False),
+    ({"verdicts": ["c"]}, False),
+    ({"ratings": [{"rating": 1, "reason": "r"}] * 3}, True),
+    ({"ratings": [{"rating": 1, "reason": 2}] * 3}, False),
+    ({"ratings": [{"rating": "1", "reason": "r"}] * 3}, False),
+    ({"ratings": [{"rating": 1.5, "reason": "r"}] * 3}, False),
+    ({"ratings": [{"rating": True, "reason": "r"}] * 3}, False),
+])
+def test_kinds_of_every_field(spark, body, sound):
+    form = next(iter(body))
+    df = spark.createDataFrame([(json.dumps(body),)], "t string")
+    assert (df.select(J.text.parse_judge_json(F.col("t"), form).alias("p")).first().p is not None) is sound

@@ -250,16 +250,18 @@ def number_forms(texts: Column, forms: Column) -> Column:
 PLACEHOLDER = r"<[A-Z0-9_]+_[0-9]+>"
 
 
+def _each_placeholder(text: Column, change: Callable[[Column], Column]) -> Column:
+    """The text with every placeholder changed, in one pass; names may be of any length."""
+    between = F.split(text, PLACEHOLDER)
+    found = F.transform(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)), change)
+    return F.array_join(F.zip_with(between, found, lambda t, p: F.concat(t, F.coalesce(p, F.lit("")))), "")
+
+
 def restore_text(text: Column, mapping: Column) -> Column:
     """Placeholders back to their originals in one pass, so replacements never cascade."""
-    tokens = F.split(text, rf"(?={PLACEHOLDER})|(?<=<[A-Z0-9_]{{1,60}}_[0-9]{{1,9}}>)")
-    return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(mapping, t), t)), "")
+    return _each_placeholder(text, lambda p: F.coalesce(F.try_element_at(mapping, p), p))
 
 
 def highlight_placeholders(text: Column, mapping: Column, marker: str = "**") -> Column:
     """Wrap the placeholders of a mapping in a marker."""
-    tokens = F.split(text, rf"(?={PLACEHOLDER})|(?<=<[A-Z0-9_]{{1,60}}_[0-9]{{1,9}}>)")
-    marked = F.transform(
-        tokens, lambda t: F.when(F.map_contains_key(mapping, t), F.concat(F.lit(marker), t, F.lit(marker))).otherwise(t)
-    )
-    return F.array_join(marked, "")
+    return _each_placeholder(text, lambda p: F.when(F.map_contains_key(mapping, p), F.concat(F.lit(marker), p, F.lit(marker))).otherwise(p))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,10 +58,14 @@ def sentences(text: Column, limit: int | None = None) -> Column:
     return F.slice(parts, 1, limit) if limit is not None else parts
 
 
-def stub_claims(prompt: Column) -> Column:
-    """Claims the offline judge extracts: the sentences of the last line, first five."""
+# Fixed value: claims the offline judge takes from an answer.
+STUB_CLAIMS = 5
+
+
+def stub_claims(prompt: Column, most: int = STUB_CLAIMS) -> Column:
+    """Claims the offline judge extracts: the sentences of the last line, `most` of them."""
     lines = F.split(strip(prompt), r"\r\n|\r|\n")
-    parts = sentences(F.element_at(lines, -1), 5)
+    parts = sentences(F.element_at(lines, -1), most)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("placeholder claim")))
 
 
@@ -143,6 +149,15 @@ def parse_judge_json(text: Column, form: str) -> Column:
     node = F.try_variant_get(raw, f"$.{form}", "variant")
     shape = F.schema_of_variant(node)
     parsed = F.from_json(body, _FORMS[form], {"mode": "PERMISSIVE"})[form]
+
+    def kinds(fields: dict[str, str]) -> Column:
+        """Every item is an object whose fields are of these kinds."""
+        items = F.try_variant_get(raw, f"$.{form}", "array<variant>")
+        right = lambda v: reduce(
+            lambda a, b: a & b, [F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")) == k, F.lit(False)) for n, k in fields.items()]
+        )
+        return F.coalesce(shape.startswith("ARRAY<") & F.forall(items, right), F.lit(False))
+
     if form in ("claims", "questions"):
         items = F.transform(parsed, strip)
         sound = all_non_blank(items) & all_distinct(items)
@@ -160,14 +175,14 @@ def parse_judge_json(text: Column, form: str) -> Column:
             & (F.coalesce(v.reason, F.lit("")) != "")
             & F.coalesce(v.verdict.isin(*VERDICTS), F.lit(False)),
         )
-        typed = shape.startswith("ARRAY<")
+        typed = kinds({"claim": "STRING", "verdict": "STRING", "reason": "STRING"})
     else:
         items = F.transform(parsed, lambda r: F.struct(r.rating.alias("rating"), strip(r.reason).alias("reason")))
         sound = F.forall(
             items,
             lambda r: F.coalesce(r.rating.isin(0, 1, 2), F.lit(False)) & (F.coalesce(r.reason, F.lit("")) != ""),
         ) & (F.size(items) == QUESTION_COUNT)
-        typed = shape.startswith("ARRAY<")
+        typed = kinds({"rating": "BIGINT", "reason": "STRING"})
     return F.when(raw.isNotNull() & typed & sound, items)
 
 

@@ -100,9 +100,13 @@ def draw_digest(drawn: DataFrame, order: str = "draw_order") -> DataFrame:
 
 
 def pending_samples(samples: DataFrame, rows: DataFrame) -> DataFrame:
-    """Samples with no row yet. The done ids are made distinct before they move."""
-    done = rows.filter(F.col("sample_id").isNotNull()).select("sample_id").distinct()
-    return samples.join(done, "sample_id", "left_anti")
+    """Samples with no row yet, by dataset and id; the done keys are made distinct before they move.
+
+    Where one side does not record a dataset, the id alone is the key.
+    """
+    keys = ["dataset", "sample_id"] if "dataset" in samples.columns and "dataset" in rows.columns else ["sample_id"]
+    done = rows.filter(F.col("sample_id").isNotNull()).select(*keys).distinct()
+    return samples.join(done, keys, "left_anti")
 
 
 def drop_failed_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

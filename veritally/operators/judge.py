@@ -9,6 +9,7 @@ read again, so no call is repeated when a later stage is recomputed.
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -59,15 +60,19 @@ def ask(requests: DataFrame, factory: JudgeFactory, tasks: int | None = None) ->
     return sent.repartition(tasks, "request_key").mapInPandas(run, schemas.RESPONSE)
 
 
-def ask_until_valid(
-    requests: DataFrame, factory: JudgeFactory, form: str, problem: Column | None = None, attempts: int = M.MAX_ATTEMPTS
-) -> tuple[DataFrame, DataFrame]:
-    """Ask every request, and ask again those whose answer did not hold.
+def _followed_by(said: Column, then: Column) -> Column:
+    """The judge's answer and what is said next, to be added to its messages."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(turn("assistant", F.coalesce(said, F.lit(""))), turn("user", then))
+
+
+def ask_until_valid(requests: DataFrame, factory: JudgeFactory, form: str, attempts: int = M.MAX_ATTEMPTS) -> tuple[DataFrame, DataFrame]:
+    """Ask every request, and ask again those whose answer is not valid JSON of the form.
 
     Each round is one job over the requests still open; its answers are checked and written
     in that job, and everything later reads what was written. `requests` has request_key,
-    messages and, if `problem` needs it, carry; `problem` sees the parsed `items` and `carry`.
-    Returns (settled, calls): items or an error per request, and every call made.
+    messages and optionally carry. Returns (settled, calls): the text and its items, or an
+    error, per request, and every call made.
     """
     if "carry" not in requests.columns:
         requests = requests.withColumn("carry", F.lit(None).cast("string"))
@@ -78,27 +83,45 @@ def ask_until_valid(
         flaw = F.when(F.col("error").isNotNull(), F.col("error")).when(
             F.col("items").isNull(), F.lit(f"the answer is not valid JSON of the form {form}")
         )
-        read = materialize(read.withColumn("problem", F.coalesce(flaw, problem) if problem is not None else flaw), f"{form}-{attempt}")
+        read = materialize(read.withColumn("problem", flaw), f"{form}-{attempt}")
         rounds.append(read.drop("items", "problem", "carry"))
         failed = read.filter(F.col("problem").isNotNull()).select("request_key", "text", "problem")
-        last = attempt == attempts or failed.limit(1).count() == 0
+        last = attempt == attempts or failed.isEmpty()
         done = read if last else read.filter(F.col("problem").isNull())
         settled.append(
-            done.select("request_key", F.when(F.col("problem").isNull(), F.col("items")).alias("items"), F.col("problem").alias("error"), "carry")
+            done.select("request_key", "text", F.when(F.col("problem").isNull(), F.col("items")).alias("items"), F.col("problem").alias("error"), "carry")
         )
         if last:
             break
-        repair = F.array(
-            F.struct(F.lit("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("content")),
-            F.struct(
-                F.lit("user").alias("role"),
-                F.concat(F.lit("That answer cannot be used: "), F.col("problem"), F.lit(". Answer again.")).alias("content"),
-            ),
-        )
+        repair = _followed_by(F.col("text"), F.concat(F.lit("That answer cannot be used: "), F.col("problem"), F.lit(". Answer again.")))
         open_requests = open_requests.join(failed, "request_key").withColumn("messages", F.concat("messages", repair)).select(*requests.columns)
     return _stack(settled), _stack(rounds)
 
 
+def ask_once_more(
+    requests: DataFrame, factory: JudgeFactory, form: str, problem: Column, give_up: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Ask, and ask those whose valid answer has a `problem` (on items and carry) one more time.
+
+    The second question shows the first answer and names the problem; each of the two has its
+    own attempts at valid JSON. A problem that is still there is the error, unless `give_up` is
+    off: then the second answer stands as it is.
+    """
+    settled, calls = ask_until_valid(requests, factory, form)
+    settled = materialize(settled.withColumn("problem", F.when(F.col("error").isNull(), problem)), f"{form}-checked")
+    open_again = settled.filter(F.col("problem").isNotNull()).select("request_key", F.col("text").alias("_said"), F.col("problem").alias("_problem"))
+    if open_again.isEmpty():
+        return settled.drop("problem"), calls
+    note = F.concat(F.lit("That answer was read, but "), F.col("_problem"), F.lit(". Answer the first request once more, in full."))
+    again = requests.join(open_again, "request_key").withColumn("messages", F.concat("messages", _followed_by(F.col("_said"), note))).select(*requests.columns)
+    second, more = ask_until_valid(again, factory, form)
+    second = second.withColumn("_left", F.when(F.col("error").isNull(), problem))
+    if give_up:
+        second = second.withColumn("error", F.coalesce("error", "_left")).withColumn("items", F.when(F.col("_left").isNull(), F.col("items")))
+    sound = settled.filter(F.col("problem").isNull()).drop("problem")
+    return sound.unionByName(second.drop("_left")), calls.unionByName(more)
+
+
 def _stack(parts: list[DataFrame]) -> DataFrame:
     stacked = parts[0]
     for part in parts[1:]:
@@ -119,8 +142,8 @@ def _usage(calls: DataFrame, key: Column) -> DataFrame:
     )
 
 
-def _sample_of(key: Column) -> Column:
-    return F.element_at(F.split(key, "\u001f"), 1)
+#: Key of one verification request; as JSON, so that no id can imitate its parts.
+PART = "sample_key string, batch_idx int, run_idx int"
 
 
 def faithfulness_with_judge(samples: DataFrame, factory: JudgeFactory, *, k: int = 1, strict: bool = True) -> DataFrame:
@@ -132,13 +155,8 @@ def faithfulness_with_judge(samples: DataFrame, factory: JudgeFactory, *, k: int
         raise ValueError(f"k is the number of verification runs, at least one; got {k!r}")
     answered = samples.filter(text.strip(F.coalesce("answer", F.lit(""))) != "")
     asks = answered.select(F.col("sample_key").alias("request_key"), M.extraction_messages(F.col("answer")).alias("messages"))
-    extracted, calls_1 = ask_until_valid(asks, factory, "claims")
-    # An empty claim list is asked for once more.
-    empty = extracted.filter(F.col("error").isNull() & (F.size("items") == 0)).select("request_key")
-    calls_2 = calls_1.limit(0)
-    if empty.limit(1).count():
-        again, calls_2 = ask_until_valid(asks.join(empty, "request_key"), factory, "claims")
-        extracted = extracted.join(empty, "request_key", "left_anti").unionByName(again)
+    # An empty claim list is asked for once more; a second empty one stands.
+    extracted, calls_1 = ask_once_more(asks, factory, "claims", F.when(F.size("items") == 0, F.lit("it lists no claim")), give_up=False)
 
     claims = extracted.filter(F.col("error").isNull()).select(
         F.col("request_key").alias("sample_key"), F.posexplode("items").alias("claim_idx", "claim")
@@ -146,17 +164,17 @@ def faithfulness_with_judge(samples: DataFrame, factory: JudgeFactory, *, k: int
     batches = M.claim_batches(claims).join(samples.select("sample_key", "contexts"), "sample_key")
     runs = batches.withColumn("run_idx", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     verify = runs.select(
-        F.concat_ws("\u001f", "sample_key", "batch_idx", "run_idx").alias("request_key"),
+        F.to_json(F.struct("sample_key", F.col("batch_idx").cast("int").alias("batch_idx"), F.col("run_idx").cast("int").alias("run_idx"))).alias("request_key"),
         M.verification_messages(F.coalesce("contexts", F.array().cast("array<string>")), F.col("claims")).alias("messages"),
         F.to_json("claims").alias("carry"),
     )
     asked = F.from_json("carry", "array<string>")
-    judged, calls_3 = ask_until_valid(verify, factory, "verdicts", problem=M.batch_problem(asked, F.col("items")))
-    parts = F.split(F.col("request_key"), "\u001f")
+    judged, calls_2 = ask_once_more(verify, factory, "verdicts", M.batch_problem(asked, F.col("items")))
+    part = F.from_json("request_key", PART)
     verdicts = judged.filter(F.col("error").isNull()).select(
-        parts[0].alias("sample_key"),
-        parts[1].cast("int").alias("batch_idx"),
-        parts[2].cast("int").alias("run_idx"),
+        part["sample_key"].alias("sample_key"),
+        part["batch_idx"].alias("batch_idx"),
+        part["run_idx"].alias("run_idx"),
         asked.alias("asked"),
         F.posexplode("items").alias("i", "v"),
     ).select(
@@ -176,12 +194,13 @@ def faithfulness_with_judge(samples: DataFrame, factory: JudgeFactory, *, k: int
         ).alias("verdicts")
     )
     errors = (
-        extracted.select("request_key", "error").unionByName(judged.select("request_key", "error"))
+        extracted.select(F.col("request_key").alias("sample_key"), "error").unionByName(judged.select(part["sample_key"].alias("sample_key"), "error"))
         .filter(F.col("error").isNotNull())
-        .groupBy(_sample_of(F.col("request_key")).alias("sample_key"))
+        .groupBy("sample_key")
         .agg(F.min("error").alias("error"))
     )
-    used = _usage(calls_1.unionByName(calls_2).unionByName(calls_3), _sample_of(F.col("request_key")))
+    verifying = calls_2.withColumn("request_key", part["sample_key"])
+    used = _usage(calls_1.unionByName(verifying), F.col("request_key"))
     empty_reason = F.when(text.strip(F.coalesce("answer", F.lit(""))) == "", M.NO_ANSWER).otherwise(M.NO_CLAIMS)
     nothing = F.array(F.struct(F.lit("").alias("claim"), F.lit("uncertain").alias("verdict"), empty_reason.alias("reason")))
     return (
@@ -250,11 +269,17 @@ def score_with_judge(
 ) -> DataFrame:
     """Flat result rows, one per sample, successes and failures alike.
 
-    `samples` has sample_id, dataset, question, answer, contexts and label_hallucinated.
+    `samples` has sample_id, dataset, question, answer, contexts and label_hallucinated, and
+    `leg` where one sample is scored by several. (dataset, sample_id[, leg]) must be unique:
+    a repeated key would have its claims voted on together, so it is an error.
     """
     chosen = M.validate_metrics(metrics)
-    keyed = samples.withColumn("sample_key", F.col("sample_id"))
-    rows = keyed.select("sample_key", "sample_id", "dataset", "label_hallucinated")
+    parts = ["dataset", "sample_id", *(["leg"] if "leg" in samples.columns else [])]
+    keyed = samples.withColumn("sample_key", F.to_json(F.struct(*parts)))
+    twice = keyed.groupBy("sample_key").count().filter("count > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"samples that occur more than once, for one: {twice[0].sample_key}")
+    rows = keyed.select("sample_key", *parts, "label_hallucinated")
     no_verdicts = F.array().cast(schemas.RESULT_ROW["verdicts"].dataType)
     zero = F.lit(0).cast("bigint")
     for name in M.METRICS:
@@ -278,6 +303,7 @@ def score_with_judge(
     return rows.select(
         "sample_id",
         "dataset",
+        *parts[2:],
         F.lit(judge).alias("judge"),
         F.lit(model).alias("model"),
         "label_hallucinated",
@@ -295,13 +321,23 @@ def score_with_judge(
 STUB_MODEL = "offline"
 
 
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+
+
+def stub_sentences(answer: str, most: int = text.STUB_CLAIMS) -> list[str]:
+    """The claims `text.stub_claims` gives, for a judge that is called."""
+    lines = re.split(r"\r\n|\r|\n", answer.strip())
+    found = dict.fromkeys(p for p in (p.strip() for p in SENTENCE_END.split(lines[-1])) if p)
+    return list(found)[:most] or ["placeholder claim"]
+
+
 def stub_judge() -> Callable[[list[dict], str], dict]:
     """A judge that answers every form validly and judges nothing."""
 
     def answer(messages: list[dict], form: str) -> dict:
         asked = messages[1]["content"]
         if form == "claims":
-            body = {"claims": [json.loads(asked.split("\n", 1)[1]).strip().split(". ")[0]]}
+            body = {"claims": stub_sentences(json.loads(asked.split("\n", 1)[1]))}
         elif form == "verdicts":
             claims = json.loads(asked.split("\n\nClaims:\n", 1)[1])
             body = {"verdicts": [{"claim": c["claim"], "verdict": "uncertain", "reason": "not checked"} for c in claims]}
@@ -335,25 +371,54 @@ def stub_scores(samples: DataFrame, strict: bool = True) -> DataFrame:
 # -- matrix of judges -------------------------------------------------------------------------
 
 
-def plan_legs(models: Sequence[str], *, cloud_model: str | None = None, ablation_model: str | None = None) -> list[dict]:
-    """Every local model masked, one of them optionally unmasked, and optionally a cloud one."""
-    legs = [{"leg": f"slm-{m}", "judge": "slm", "model": m, "privacy_mode": "mask"} for m in models]
-    if ablation_model:
-        legs.append({"leg": f"slm-{ablation_model}-nomask", "judge": "slm", "model": ablation_model, "privacy_mode": "off"})
-    if cloud_model:
-        legs.append({"leg": "cloud", "judge": "cloud", "model": cloud_model, "privacy_mode": "mask"})
-    return legs
+LEG = "leg string, judge string, model string, privacy_mode string"
+
+
+def leg_table(models: DataFrame) -> DataFrame:
+    """(leg, judge, model, privacy_mode) from a table of models.
+
+    `models` has judge, model and privacy_modes, the array of modes each model is run under; a leg
+    is one model under one mode and is named after all three.
+    """
+    each = models.select("judge", "model", F.explode("privacy_modes").alias("privacy_mode")).distinct()
+    return each.select(F.concat_ws("/", "judge", "model", "privacy_mode").alias("leg"), "judge", "model", "privacy_mode")
+
 
+def evaluation_matrix(samples: DataFrame, legs: DataFrame) -> DataFrame:
+    """Every sample once per leg, as an array on the row, so no join is needed.
 
-def evaluation_matrix(samples: DataFrame, legs: Sequence[dict]) -> DataFrame:
-    """Every sample once per leg, as an array on the row, so no join is needed."""
-    items = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in leg.items()]) for leg in legs])
+    Legs are a user's list of models: they are collected, and are a literal in the plan.
+    """
+    names = [c.split(" ")[0] for c in LEG.split(", ")]
+    items = F.array(*[F.struct(*[F.lit(row[n]).alias(n) for n in names]) for row in legs.select(*names).orderBy("leg").collect()])
     return samples.withColumn("_leg", F.explode(items)).select("*", "_leg.*").drop("_leg")
 
 
-def leg_status(legs: Sequence[dict], rows: DataFrame) -> DataFrame:
+def run_legs(samples: DataFrame, legs: DataFrame, factories: dict[str, JudgeFactory], mask: Callable[[DataFrame, str], DataFrame], **options) -> DataFrame:
+    """Result rows of every leg; a leg that fails as a whole gives error rows and ends no other.
+
+    `factories` has a judge for each model, `mask(samples, privacy_mode)` what leaves the
+    premises. Legs are run one after another, each written before the next begins.
+    """
+    done = []
+    for leg in legs.orderBy("leg").collect():
+        part = samples.withColumn("leg", F.lit(leg.leg))
+        try:
+            sent = mask(part, leg.privacy_mode)
+            scored = materialize(score_with_judge(sent, factories[leg.model], judge=leg.judge, model=leg.model, **options), "leg")
+        except Exception as exc:  # noqa: BLE001 - the other legs go on
+            failed = part.withColumn("error", F.lit(f"{type(exc).__name__}: {exc}"[:500])).drop("judge", "model")
+            scored = M.failure_rows(failed, F.col("dataset"), leg.judge, leg.model).withColumn("leg", F.lit(leg.leg))
+        done.append(scored.withColumn("privacy_mode", F.lit(leg.privacy_mode)))
+    stacked = done[0]
+    for part in done[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked
+
+
+def leg_status(legs: DataFrame, rows: DataFrame) -> DataFrame:
     """ok, partial or failed per leg; a leg with no rows is skipped."""
-    planned = rows.sparkSession.createDataFrame([(x["leg"],) for x in legs], "leg string")
+    planned = legs.select("leg")
     counted = rows.groupBy("leg").agg(
         F.count_if(F.col("error").isNull()).alias("scored"), F.count_if(F.col("error").isNotNull()).alias("failed")
     )

@@ -267,7 +267,7 @@ def batch_row(rows: DataFrame) -> DataFrame:
     )
 
 
-def failure_rows(samples: DataFrame, dataset: str, judge: str, model: str) -> DataFrame:
+def failure_rows(samples: DataFrame, dataset: str | Column, judge: str, model: str) -> DataFrame:
     """Rows for samples that could not be scored: null scores and latency, the error kept."""
     null = F.lit(None).cast("double")
     return samples.select(
@@ -335,9 +335,9 @@ def verification_messages(contexts: Column, claims: Column) -> Column:
 
 
 def generation_messages(answer: Column) -> Column:
-    return _messages("questions", F.concat(F.lit("Answer:\n"), _quoted(answer)))
+    return _messages("questions", F.concat(F.lit("Text to ask about, as a JSON string:\n"), _quoted(answer)))
 
 
 def rating_messages(question: Column, generated: Column) -> Column:
-    user = F.concat(F.lit("Original question:\n"), _quoted(question), F.lit("\n\nGenerated questions:\n"), _indexed(generated, "question"))
+    user = F.concat(F.lit("Compare with this one, a JSON string:\n"), _quoted(question), F.lit("\n\nTo be rated, in this order:\n"), _indexed(generated, "question"))
     return _messages("ratings", user)

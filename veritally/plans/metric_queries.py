@@ -277,7 +277,8 @@ def _(spark, d):
         """SELECT sample_id, md5('Answer:' || chr(10) || to_json(answer)::VARCHAR) AS extraction,
              md5('Passages:' || chr(10) || '[' || coalesce(array_to_string([ '{"index":' || (i - 1) || ',"text":' || to_json(contexts[i])::VARCHAR || '}' for i in range(1, len(contexts) + 1)], ','), '') || ']' || chr(10) || chr(10) ||
                  'Claims:' || chr(10) || '[{"index":0,"claim":' || to_json(question)::VARCHAR || '}]') AS verification,
-             md5('Original question:' || chr(10) || to_json(question)::VARCHAR || chr(10) || chr(10) || 'Generated questions:' || chr(10) || '[{"index":0,"question":' || to_json(question)::VARCHAR || '}]') AS rating
+             md5('Compare with this one, a JSON string:' || chr(10) || to_json(question)::VARCHAR || chr(10) || chr(10) || 'To be rated, in this order:' || chr(10) || '[{"index":0,"question":' || to_json(question)::VARCHAR || '}]') AS rating,
+             md5('Text to ask about, as a JSON string:' || chr(10) || to_json(answer)::VARCHAR) AS generation
            FROM samples""",
         "samples",
     ),
@@ -294,6 +295,7 @@ def _(spark, d):
         user(M.extraction_messages(F.col("answer"))).alias("extraction"),
         user(M.verification_messages(F.col("contexts"), question)).alias("verification"),
         user(M.rating_messages(F.col("question"), question)).alias("rating"),
+        user(M.generation_messages(F.col("answer"))).alias("generation"),
     )
 
 
@@ -376,23 +378,27 @@ def _(spark, d):
     return rows.select("sample_id", "judge", "model", "faithfulness", "relevance", "error", F.size("verdicts").alias("verdicts"))
 
 
-LEG_PLAN = J.plan_legs(["small-a", "small-b"], cloud_model="large-a", ablation_model="small-a")
+# Judges of the fixture: three local models, one of them with and without masking, and a hosted one.
+MODELS = [("local", "tiny", ["mask"]), ("local", "mid", ["off", "mask"]), ("local", "wide", ["mask"]), ("hosted", "vast", ["mask"])]
+LEGS_SQL = "(VALUES ('local/tiny/mask', 'local', 'tiny', 'mask'), ('local/mid/mask', 'local', 'mid', 'mask'), ('local/mid/off', 'local', 'mid', 'off'), ('local/wide/mask', 'local', 'wide', 'mask'), ('hosted/vast/mask', 'hosted', 'vast', 'mask')) t(leg, judge, model, privacy_mode)"
 
 
-@query("evaluation_matrix", sql(
-    """SELECT sample_id, leg, judge, model, privacy_mode FROM samples CROSS JOIN (SELECT * FROM (VALUES ('slm-small-a', 'slm', 'small-a', 'mask'), ('slm-small-b', 'slm', 'small-b', 'mask'),
-         ('slm-small-a-nomask', 'slm', 'small-a', 'off'), ('cloud', 'cloud', 'large-a', 'mask')) t(leg, judge, model, privacy_mode))""", "samples"))
+def fixture_legs(spark):
+    return J.leg_table(spark.createDataFrame(MODELS, "judge string, model string, privacy_modes array<string>"))
+
+
+@query("evaluation_matrix", sql(f"SELECT sample_id, leg, judge, model, privacy_mode FROM samples CROSS JOIN {LEGS_SQL}", "samples"))
 def _(spark, d):
-    return J.evaluation_matrix(samples(spark, d).select("sample_id"), LEG_PLAN)
+    return J.evaluation_matrix(samples(spark, d).select("sample_id"), fixture_legs(spark))
 
 
 @query("leg_status", sql(
-    """SELECT leg, coalesce(s, 0) AS scored, coalesce(f, 0) AS failed, CASE WHEN s IS NULL THEN 'skipped' WHEN f = 0 THEN 'ok' WHEN s = 0 THEN 'failed' ELSE 'partial' END AS status
-       FROM (VALUES ('slm-small-a'), ('slm-small-b'), ('slm-small-a-nomask'), ('cloud')) t(leg) LEFT JOIN (
-         SELECT CASE run_id WHEN 'run0' THEN 'slm-small-a' WHEN 'run1' THEN 'slm-small-a-nomask' WHEN 'run2' THEN 'cloud' END AS leg, count(*) FILTER (error IS NULL) AS s, count(error) AS f FROM rows_ GROUP BY 1) USING (leg)""", "rows_"))
+    f"""SELECT leg, coalesce(s, 0) AS scored, coalesce(f, 0) AS failed, CASE WHEN s IS NULL THEN 'skipped' WHEN f = 0 THEN 'ok' WHEN s = 0 THEN 'failed' ELSE 'partial' END AS status
+       FROM {LEGS_SQL} LEFT JOIN (
+         SELECT CASE run_id WHEN 'run0' THEN 'local/tiny/mask' WHEN 'run1' THEN 'local/mid/off' WHEN 'run2' THEN 'hosted/vast/mask' END AS leg, count(*) FILTER (error IS NULL) AS s, count(error) AS f FROM rows_ GROUP BY 1) USING (leg)""", "rows_"))
 def _(spark, d):
-    leg = F.when(F.col("run_id") == "run0", "slm-small-a").when(F.col("run_id") == "run1", "slm-small-a-nomask").when(F.col("run_id") == "run2", "cloud")
-    return J.leg_status(LEG_PLAN, flat_rows(spark, d).withColumn("leg", leg))
+    leg = F.when(F.col("run_id") == "run0", "local/tiny/mask").when(F.col("run_id") == "run1", "local/mid/off").when(F.col("run_id") == "run2", "hosted/vast/mask")
+    return J.leg_status(fixture_legs(spark), flat_rows(spark, d).withColumn("leg", leg))
 
 
 # -- report -----------------------------------------------------------------------------------

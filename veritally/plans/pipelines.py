@@ -156,7 +156,8 @@ def _row_schema() -> str:
 
 def _last_rows(rows: DataFrame) -> DataFrame:
     """The newest row per sample, as far as bookkeeping needs it."""
-    return rows.groupBy("sample_id").agg(F.max_by(F.struct("error", "model"), "scored_at").alias("l")).select("sample_id", "l.error", "l.model")
+    newest = F.max_by(F.struct("error", "model"), "scored_at").alias("l")
+    return rows.groupBy("dataset", "sample_id").agg(newest).select("dataset", "sample_id", "l.error", "l.model")
 
 
 def run_rows(spark: SparkSession, out: str) -> DataFrame:

@@ -29,10 +29,13 @@ def get_session(app: str = "veritally", cpus: str = "*", shuffle_partitions: int
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder, from `spark.checkpoint.dir`.
 
-    Only when the setting is absent (tests, a laptop) is a folder made and recorded, so that
-    later calls in the same session agree on it.
+    In local mode alone (tests, a laptop) an absent setting is filled with a new folder, which
+    later calls in the same session agree on. On a cluster it is an error: every executor would
+    write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="veritally-")
         spark.conf.set("spark.checkpoint.dir", configured)

@@ -134,8 +134,10 @@ def select_split(samples: DataFrame, split: str) -> DataFrame:
         return samples
     chosen = samples.filter(F.col("split") == split)
     if chosen.limit(1).count() == 0:
-        present = [r[0] for r in available_splits(samples).orderBy("split").limit(20).collect()]
-        hint = f"available splits: {', '.join(present)}" if present else "this dataset records no split"
+        shown = 20
+        present = [r[0] for r in available_splits(samples).orderBy("split").limit(shown + 1).collect()]
+        more = ", and more" if len(present) > shown else ""
+        hint = f"available splits: {', '.join(present[:shown])}{more}" if present else "this dataset records no split"
         raise ValueError(f"no samples in split {split!r}; {hint}")
     return chosen
 
@@ -163,8 +165,11 @@ def stratified_sample(samples: DataFrame, limit: int, order: str = "seq") -> Dat
     """
     if limit <= 0:
         raise ValueError(f"cannot draw {limit} samples")
-    keyed = samples.withColumn("_task", F.coalesce("task_type", F.lit("")))
-    keys = ["label_hallucinated", "_task"]
+    # Text keys, so that samples without a label are a stratum like any other.
+    keyed = samples.withColumn("_task", F.coalesce("task_type", F.lit(""))).withColumn(
+        "_label", F.coalesce(F.col("label_hallucinated").cast("string"), F.lit("unknown"))
+    )
+    keys = ["_label", "_task"]
     strata = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # Windows over strata: one row per label and task type.
     whole = Window.partitionBy()
@@ -182,7 +187,7 @@ def stratified_sample(samples: DataFrame, limit: int, order: str = "seq") -> Dat
     )
     position = Window.partitionBy(*keys).orderBy(order)
     first = keyed.withColumn("_pos", F.row_number().over(position)).filter(F.col("_pos") <= limit)
-    return attach_small(first, quotas, keys, "inner").filter(F.col("_pos") <= F.col("_quota")).drop("_pos", "_quota", "_task")
+    return attach_small(first, quotas, keys, "inner").filter(F.col("_pos") <= F.col("_quota")).drop("_pos", "_quota", "_task", "_label")
 
 
 def draw(

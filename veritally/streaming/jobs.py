@@ -121,7 +121,8 @@ def incremental_score(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = _existing(spark, rows_path, rows_schema)
-        todo = pending_samples(batch.dropDuplicates(["sample_id"]), done)
+        keys = [c for c in ("dataset", "sample_id") if c in batch.columns]
+        todo = pending_samples(batch.dropDuplicates(keys), done)
         score(todo).write.mode("append").parquet(rows_path)
 
     return (
