@@ -6,7 +6,7 @@ import json
 import pytest
 
 from tests.helpers import by
-from veritally.operators import bookkeeping, quality
+from veritally.operators import agreement, bookkeeping, quality
 from veritally.sources import datasets, files, requests, result_rows
 
 
@@ -37,6 +37,31 @@ def test_rows_with_provenance(spark, rows_dir):
     assert got["a"]["failed_ids"] == ["c"] and got["a"]["git_sha"] == "f00"
 
 
+def test_rows_come_in_the_order_of_the_paths(spark, tmp_path):
+    """Spark reads large files first; the last path given must win all the same."""
+    names = ["b.json", "a.jsonl", "c.ndjson"]
+    for n, name in enumerate(names):
+        padding = "\n".join(line(f"pad-{n}-{i}", True, 0.0) for i in range(3000 if n == 0 else 3))
+        (tmp_path / name).write_text(line("x", True, n / 10) + "\n" + padding + "\n")
+    for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0)):
+        paths = [str(tmp_path / names[n]) for n in order]
+        rows = result_rows.flatten_rows(result_rows.read_result_rows(spark, paths))
+        assert rows.count() == 3009
+        (last,) = agreement.keep_last(rows.filter("sample_id = 'x'"), ["sample_id"], "seq").collect()
+        assert last.faithfulness == order[-1] / 10
+    parts = [result_rows.flatten_rows(result_rows.read_result_rows(spark, str(tmp_path / names[n]))) for n in (1, 0)]
+    both = result_rows.include_rows(*parts)
+    (last,) = agreement.keep_last(both.filter("sample_id = 'x'"), ["sample_id"], "seq").collect()
+    assert last.faithfulness == 0.0
+
+
+def test_strata_without_a_label(spark):
+    pool = labeled(spark, [(f"s{i}", i, None if i % 2 else i % 4 == 0, "QA", "test") for i in range(100)])
+    assert datasets.stratified_sample(pool, 40).count() == 40
+    assert datasets.stratified_sample(pool, 500).count() == 100
+    assert sum(r.label_hallucinated is None for r in datasets.stratified_sample(pool, 40).collect()) == 20
+
+
 def test_missing_or_broken_manifest_is_unknown_provenance(spark, rows_dir):
     (rows_dir / "other_slm.jsonl").write_text(line("z", True, 0.1) + "\n")
     (rows_dir / "bad_slm.jsonl").write_text(line("y", True, 0.1) + "\n")

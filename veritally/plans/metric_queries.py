@@ -370,8 +370,10 @@ def _(spark, d):
 
 
 @query("score_with_judge", sql(
-    """SELECT r.conv_id || '-' || r.turn AS sample_id, 'cli' AS judge, 'offline' AS model, 0::DOUBLE AS faithfulness, 0::DOUBLE AS relevance, NULL::VARCHAR AS error, 1 AS verdicts
-       FROM conversations r JOIN conversations a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1 AND a.role = 'assistant' WHERE r.role = 'user'"""))
+    r"""SELECT sample_id, 'cli' AS judge, 'offline' AS model, 0::DOUBLE AS faithfulness, 0::DOUBLE AS relevance, NULL::VARCHAR AS error,
+         least(5, greatest(1, len(list_distinct(list_filter(list_transform(string_split(regexp_replace(lines[len(lines)], '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')))))::INT AS verdicts
+       FROM (SELECT r.conv_id || '-' || r.turn AS sample_id, string_split_regex(regexp_replace(a.text, '^\s+|\s+$', '', 'g'), '\r\n|\r|\n') AS lines
+         FROM conversations r JOIN conversations a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1 AND a.role = 'assistant' WHERE r.role = 'user')"""))
 def _(spark, d):
     asked = conversation_requests(spark, d).select("*", F.lit("chat").alias("dataset"), F.lit(None).cast("boolean").alias("label_hallucinated"))
     rows = J.score_with_judge(asked, J.stub_judge, judge="cli", model=J.STUB_MODEL, metrics=["faithfulness", "relevance"], k=3)

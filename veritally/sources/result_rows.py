@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from veritally import schemas
 from veritally.scale import attach_small
 
-# Rows files as they are named by a run or by Spark; the manifests beside them are left out.
-ROW_FILES = "{*.jsonl,part-*.json}"
+# What lies beside rows files and is read apart from them.
+MANIFESTS = r"\.manifest\.json$"
+
+# Where a row stands: the path it was asked for by, its file, its block, its place in the block.
+SEQ = "struct<source: int, path: string, block: bigint, row: bigint>"
 
 TOKENS = ("prompt_tokens", "completion_tokens", "total_tokens")
 
@@ -22,14 +26,27 @@ FLAT_COLUMNS = (
 
 
 def _read(spark: SparkSession, paths: str | Sequence[str], mode: str) -> DataFrame:
+    """Rows of files and folders with `seq`, their order: paths as given, files by name, then lines.
+
+    Every file of a folder is read whatever it is called, but for manifests. The place in a
+    block is the order of the scan, which keeps lines in order; Spark reads files by size, so
+    the scan says nothing about the order of files.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return (
-        spark.read.schema(schemas.RESULT_ROW)
-        .option("mode", mode)
-        .option("pathGlobFilter", ROW_FILES)
-        .json(paths)
-        .select("*", F.col("_metadata.file_path").alias("source_path"), F.monotonically_increasing_id().alias("seq"))
-    )
+
+    def one(number: int, path: str) -> DataFrame:
+        rows = spark.read.schema(schemas.RESULT_ROW).option("mode", mode).json(path)
+        rows = rows.select("*", "_metadata").filter(~F.col("_metadata.file_path").rlike(MANIFESTS))
+        place = F.struct(
+            F.lit(number).alias("source"),
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+        return rows.select("*", F.col("_metadata.file_path").alias("source_path"), place.alias("seq")).drop("_metadata")
+
+    found = [one(n, p) for n, p in enumerate(paths)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def read_result_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -68,7 +85,7 @@ def flatten_rows(rows: DataFrame) -> DataFrame:
         optional("run_id", "string"),
         optional("privacy_mode", "string"),
         optional("source_path", "string"),
-        optional("seq", "bigint"),
+        optional("seq", SEQ),
     )
 
 
@@ -104,10 +121,16 @@ def attach_provenance(rows: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def include_rows(rows: DataFrame, *others: DataFrame) -> DataFrame:
-    """Fold rows scored elsewhere into the same analysis, duplicates kept."""
-    for other in others:
-        rows = rows.unionByName(other, allowMissingColumns=True)
-    return rows
+    """Fold rows scored elsewhere into the same analysis, duplicates kept.
+
+    Where `seq` is a place in files, sources are numbered on, so that the rows of a later input
+    come after those of an earlier one.
+    """
+    inputs = [rows, *others]
+    placed = all("seq" in df.columns and df.schema["seq"].dataType.simpleString().startswith("struct") for df in inputs)
+    if placed:
+        inputs = [df.withColumn("seq", F.col("seq").withField("source", F.lit(n << 16) + F.col("seq.source"))) for n, df in enumerate(inputs)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), inputs)
 
 
 def to_result_rows(flat: DataFrame) -> DataFrame:
