@@ -215,3 +215,36 @@ def test_many_matches_are_placed_like_few(spark):
     df = spark.createDataFrame([(text,)], "t string")
     found = df.select(S.pattern_spans(F.col("t"), "EMAIL_ADDRESS").alias("s")).first().s
     assert [text[s.start : s.end] for s in found] == text.split()
+
+
+def test_a_type_that_nothing_recognises_is_refused(spark):
+    df = spark.createDataFrame([("k", "Ann Smith", "a", ["c"])], REQUEST)
+    with pytest.raises(ValueError, match="PERSON"):
+        P.sanitize_requests(df, entities=["PERSON", "EMAIL_ADDRESS"])
+    names = spark.createDataFrame([("Ann Smith", "PERSON"), ("Bank of New York", "LOCATION"), ("New York", "LOCATION")], "surface string, entity_type string")
+    df = spark.createDataFrame([("k", "Ann Smith of Bank of New York, not Ann Smithson", "New York", ["Ann  Smith"])], REQUEST)
+    row = P.sanitize_requests(P.with_names(df, names), entities=["PERSON", "LOCATION"]).first()
+    assert row.question == "<PERSON_1> of <LOCATION_1>, not Ann Smithson"
+    assert (row.answer, row.contexts, len(row.mapping)) == ("<LOCATION_2>", ["Ann  Smith"], 3)
+    only = P.sanitize_requests(P.with_names(df, names), entities=["LOCATION"]).first()
+    assert only.question.startswith("Ann Smith of <LOCATION_1>")
+    off = P.sanitize_requests(P.with_names(df, names), "off")
+    assert off.columns == [*df.columns, "mapping"]
+    with pytest.raises(ValueError, match="over 2 names"):
+        P.with_names(df, names, max_rows=2)
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("2001:db8:0:0:0:ff00:42:8329", "IP_ADDRESS"), ("2001:db8::ff00:42:8329", "IP_ADDRESS"), ("10.0.0.1", "IP_ADDRESS"), ("123 45 6789", "US_SSN"), ("123-45-6789", "US_SSN"),
+    ("3782 822463 10005", "CREDIT_CARD"), ("378282246310005", "CREDIT_CARD"), ("+44 20 7946 0958", "PHONE_NUMBER"), ("+49 30 1234 5678", "PHONE_NUMBER"), ("(202) 555-0143", "PHONE_NUMBER"),
+])
+def test_standard_forms(spark, text, kind):
+    (row,) = P.sanitize_requests(spark.createDataFrame([("k", f"see {text} here", "", [])], REQUEST)).collect()
+    assert row.question == f"see <{kind}_1> here"
+
+
+def test_long_type_names_come_back(spark):
+    token = f"<{'A' * 90}_7>"
+    df = spark.createDataFrame([(f"x {token} y {token}z", {token: "value"})], "t string, m map<string,string>")
+    assert df.select(S.restore_text(F.col("t"), F.col("m")).alias("r")).first().r == "x value y valuez"
+    assert df.select(S.highlight_placeholders(F.col("t"), F.col("m")).alias("r")).first().r == f"x **{token}** y **{token}**z"

@@ -26,7 +26,9 @@ def test_nothing_unmasked_is_stored_and_bad_submissions_are_refused(spark, tmp_p
     spark.createDataFrame(rows, SUBMISSION).write.json(inbox)
     jobs.stream_sanitize(spark.readStream.schema(SUBMISSION).json(inbox), sink, str(tmp_path / "check")).awaitTermination()
     stored = by(spark.read.parquet(sink), "job_id")
-    assert set(stored) == {"j1", "j3"}
+    assert {k: r["status"] for k, r in stored.items()} == {"j1": "queued", "j3": "queued", **dict.fromkeys(("j2", "j4", "j5", "j6"), "rejected")}
+    assert stored["j2"]["error"] == "unknown metric" and stored["j6"]["error"] == "unknown privacy mode" and stored["j1"]["error"] is None
+    assert all(stored[k]["question"] == stored[k]["answer"] == "" and stored[k]["contexts"] == [] for k in ("j2", "j4", "j5", "j6"))
     assert stored["j1"]["question"] == "Ask <EMAIL_ADDRESS_1>" and stored["j1"]["contexts"] == ["<EMAIL_ADDRESS_1>"]
     assert stored["j1"]["k"] == 1 and stored["j1"]["strict"] is True and stored["j1"]["metrics"] == ["faithfulness"]
     assert stored["j3"]["question"] == "Ask a@b.org" and stored["j3"]["k"] == 2

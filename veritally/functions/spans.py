@@ -18,10 +18,14 @@ SCORE_THRESHOLD = 0.4
 # Patterns keep to what Java's and RE2's dialects share. Scores order overlapping finds.
 PATTERNS: dict[str, tuple[str, float]] = {
     "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
-    "CREDIT_CARD": (r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", 0.9),
-    "IP_ADDRESS": (r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b", 0.6),
-    "US_SSN": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85),
-    "PHONE_NUMBER": (r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\b", 0.75),
+    "CREDIT_CARD": (r"\b(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})\b", 0.9),
+    "IP_ADDRESS": (
+        r"\b(?:(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+        r"|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})\b",
+        0.6,
+    ),
+    "US_SSN": (r"\b[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}\b", 0.85),
+    "PHONE_NUMBER": (r"(?:(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4})\b", 0.75),
 }
 
 # What a text must contain before a pattern is tried on it.

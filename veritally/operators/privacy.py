@@ -48,7 +48,7 @@ NGRAMS = "doc_id bigint, start int, end int, surface string"
 FLUSH_ROWS = 100_000
 
 
-def word_ngrams(docs: DataFrame, longest: int = 3, names: frozenset[str] | None = None) -> DataFrame:
+def word_ngrams(docs: DataFrame, longest: int, names: frozenset[str] | None = None) -> DataFrame:
     """(doc_id, start, end, surface) of every run of 1 to `longest` words in a text.
 
     With `names` only the listed surfaces leave the task. Offsets are a running sum over all
@@ -85,14 +85,17 @@ def word_ngrams(docs: DataFrame, longest: int = 3, names: frozenset[str] | None
 def detect_gazetteer(
     docs: DataFrame,
     gazetteer: DataFrame,
-    longest: int = 3,
+    longest: int | None = None,
     score: float = 0.85,
     max_rows: int = SMALL_SIDE_ROWS,
     keep_surface: bool = False,
 ) -> DataFrame:
     """Spans of listed names. A list that is small enough goes to every task, and only its
-    hits leave the task; a larger one is joined by surface, hot words salted."""
+    hits leave the task; a larger one is joined by surface, hot words salted. Names may have
+    any number of words: unless given, `longest` is that of the list."""
     names = gazetteer.select("surface", "entity_type").distinct()
+    if longest is None:
+        longest = names.agg(F.coalesce(F.max(F.regexp_count("surface", F.lit(WORD))), F.lit(0))).first()[0]
     head = names.limit(max_rows + 1).collect()
     if len(head) <= max_rows:
         local = docs.sparkSession.createDataFrame(head, names.schema)
@@ -311,26 +314,113 @@ def number_placeholders(spans: DataFrame, texts: DataFrame) -> DataFrame:
 # -- requests ---------------------------------------------------------------------------------
 
 
+Detector = Callable[[str], Sequence[tuple[int, int, str, float]]]
+
+DETECTED, NAMED = "_detected_spans", "_named_spans"
+FIELD_SPANS = f"array<array<{S.SPAN_SQL}>>"
+
+
+def request_fields() -> Column:
+    """The texts of a request: question, answer, then contexts."""
+    contexts = F.coalesce("contexts", F.array().cast("array<string>"))
+    return F.concat(F.array(F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))), contexts)
+
+
+def _with_spans(requests: DataFrame, factory: Callable[[], Detector], column: str) -> DataFrame:
+    @F.pandas_udf(FIELD_SPANS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = factory()
+        for fields in batches:
+            yield pd.Series(
+                [[[{"start": int(a), "end": int(b), "entity_type": str(t), "score": float(p)} for a, b, t, p in find(text or "")] for text in row] for row in fields]
+            )
+
+    return requests.withColumn(column, run(request_fields()))
+
+
+def with_detector(requests: DataFrame, factory: Callable[[], Detector]) -> DataFrame:
+    """Spans of a user's detector for every field, ready for `sanitize_requests`.
+
+    The factory runs once per task, so a model loads once; requests arrive in Arrow batches.
+    """
+    return _with_spans(requests, factory, DETECTED)
+
+
+def name_finder(names: dict[str, str], score: float = 0.85) -> Callable[[], Detector]:
+    """A detector of listed names of any number of words; `names` gives each one's type."""
+    longest = max((len(re.findall(WORD, n)) for n in names), default=0)
+
+    def factory() -> Detector:
+        word = re.compile(WORD)
+
+        def find(text: str) -> list[tuple[int, int, str, float]]:
+            found, starts = [], []
+            for m in word.finditer(text):
+                starts = [*starts[-(longest - 1) :], m.start()] if longest > 1 else [m.start()]
+                found += [(a, m.end(), names[text[a : m.end()]], score) for a in starts if text[a : m.end()] in names]
+            return found
+
+        return find
+
+    return factory
+
+
+def with_names(requests: DataFrame, gazetteer: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+    """Spans of a list (surface, entity_type) for every field, ready for `sanitize_requests`.
+
+    The list goes to every task, so its size is checked; a larger one is an error. Of a surface
+    with several types the first in order counts.
+    """
+    rows = gazetteer.groupBy("surface").agg(F.min("entity_type").alias("entity_type")).limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"the list has over {max_rows} names; use detect_gazetteer, which joins them")
+    return _with_spans(requests, name_finder({r.surface: r.entity_type for r in rows if r.surface}), NAMED)
+
+
+def entities_to_mask(entities: Sequence[str] | None, others: bool) -> list[str]:
+    """The types to mask: those asked for, by default all of ENTITIES that something here recognises.
+
+    Asking for a type without anything that finds it is an error: what was promised to be
+    masked would go out as it is.
+    """
+    known = [*S.ENTITIES] if others else [e for e in S.ENTITIES if e in S.PATTERNS]
+    if entities is None:
+        return known
+    lost = [e for e in entities if e not in S.PATTERNS] if not others else []
+    if lost:
+        raise ValueError(f"nothing here recognises {', '.join(lost)}; add a detector or a list of names, or leave them out")
+    return list(entities)
+
+
 def sanitize_requests(
     requests: DataFrame,
     privacy_mode: str = "mask",
-    entities: Sequence[str] = S.ENTITIES,
+    entities: Sequence[str] | None = None,
     score_threshold: float = S.SCORE_THRESHOLD,
     detect: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Mask question, answer and contexts of each request as one batch.
 
-    Adds `mapping` (placeholder to original), which the caller must drop before any sink.
-    No shuffle: a request is one row. Any mode other than mask or off is an error, because a
-    misspelt one must not unmask.
+    Spans come from the patterns, or from `detect` instead, and from what `with_detector` and
+    `with_names` have added to the requests before. Adds `mapping` (placeholder to original),
+    which the caller must drop before any sink. No shuffle: a request is one row. Any mode
+    other than mask or off is an error, because a misspelt one must not unmask.
     """
+    added = [c for c in (DETECTED, NAMED) if c in requests.columns]
     if privacy_mode not in ("mask", "off"):
         raise ValueError(f"privacy_mode must be 'mask' or 'off', got {privacy_mode!r}")
     if privacy_mode == "off":
-        return requests.withColumn("mapping", F.create_map().cast("map<string,string>"))
-    finder = detect or (lambda t: S.detect_patterns(t, entities, score_threshold))
-    contexts = F.coalesce("contexts", F.array().cast("array<string>"))
-    fields = F.concat(F.array(F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))), contexts)
+        return requests.drop(*added).withColumn("mapping", F.create_map().cast("map<string,string>"))
+    wanted = entities_to_mask(entities, bool(added) or detect is not None)
+    finder = detect or (lambda t: S.detect_patterns(t, [e for e in wanted if e in S.PATTERNS], score_threshold))
+    fields = request_fields()
+
+    def others(t: Column, i: Column) -> list[Column]:
+        def sound(c: str) -> Column:
+            typed = F.transform(F.get(F.col(c), i), lambda s: s.withField("entity_type", safe_entity_type(s["entity_type"])))
+            return F.filter(S.keep_in_range(t, typed), lambda s: s["entity_type"].isin(*wanted) & (s["score"] >= score_threshold))
+
+        return [F.coalesce(sound(c), F.array().cast(f"array<{S.SPAN_SQL}>")) for c in added]
 
     def masked(texts: Column, cuts: Column) -> Column:
         def with_numbers(numbers: Column) -> Column:
@@ -348,10 +438,11 @@ def sanitize_requests(
     result = S.let(
         fields,
         lambda texts: S.let(
-            F.transform(texts, lambda t: S.cut_at(t, S.merge_spans(finder(t)))), lambda cuts: masked(texts, cuts)
+            F.transform(texts, lambda t, i: S.cut_at(t, S.merge_spans(F.concat(finder(t), *others(t, i)) if added else finder(t)))),
+            lambda cuts: masked(texts, cuts),
         ),
     )
-    kept = [c for c in requests.columns if c not in ("question", "answer", "contexts")]
+    kept = [c for c in requests.columns if c not in ("question", "answer", "contexts", *added)]
     return requests.select(*kept, result.alias("_r")).select(
         *kept,
         F.col("_r.texts")[0].alias("question"),

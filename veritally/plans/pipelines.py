@@ -33,7 +33,8 @@ class RunConfig:
     privacy_mode: str = "mask"
     base_url: str = ""
     max_tokens: int = 1024
-    entities: Sequence[str] = S.ENTITIES
+    # PERSON and LOCATION need a detector or a list of names (`add_spans`); ask for them with it.
+    entities: Sequence[str] = tuple(e for e in S.ENTITIES if e in S.PATTERNS)
     score_threshold: float = S.SCORE_THRESHOLD
     sampling: dict[str, str] = field(default_factory=dict)
 
@@ -87,11 +88,13 @@ def run_benchmark(
     *,
     retry_failed: bool = False,
     detect: Callable[[Column], Column] | None = None,
+    add_spans: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Score the samples that have no row yet, append their rows, and record the run.
 
     Rows go to `<out>/rows` (a version per call when failed ones are retried), runs to
-    `<out>/runs`. Returns the run's row. `samples` has sample_id, question, answer, contexts
+    `<out>/runs`. `add_spans` adds a detector's or a name list's spans before masking
+    (privacy.with_detector, privacy.with_names). Returns the run's row. `samples` has sample_id, question, answer, contexts
     and label_hallucinated.
     """
     spark = samples.sparkSession
@@ -118,7 +121,7 @@ def run_benchmark(
     if retry_failed:
         done, failed_ids = bookkeeping.drop_failed_rows(latest)
     todo = bookkeeping.pending_samples(samples.withColumn("dataset", F.lit(config.dataset)), done)
-    masked = privacy.sanitize_requests(todo, config.privacy_mode, config.entities, config.score_threshold, detect)
+    masked = privacy.sanitize_requests(add_spans(todo) if add_spans else todo, config.privacy_mode, config.entities, config.score_threshold, detect)
     scored = judge.score_with_judge(
         masked.drop("mapping"), factory, judge=config.judge, model=config.model, metrics=chosen, k=config.k, strict=config.strict
     )

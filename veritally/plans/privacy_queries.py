@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from veritally.functions import spans as S
@@ -368,6 +370,53 @@ def _(spark, d):
     return shown(P.sanitize_requests(pii_requests(spark, d)))
 
 
+PERSON = ("Ann ", " de la Cruz")
+PLACE = "Republic of "
+
+
+def supplier_requests(spark, d):
+    """Questions about people and countries whose names have three and five words."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    person = F.concat(F.lit(PERSON[0]), "s_name", F.lit(PERSON[1]))
+    place = F.concat(F.lit(PLACE), "n_name")
+    return table(spark, d, "supplier").join(nations, "s_nationkey").select(
+        F.col("s_suppkey").cast("string").alias("sample_id"),
+        F.concat(F.lit("Who runs "), person, F.lit(" near "), place, F.lit("?")).alias("question"),
+        F.concat(place, F.lit(": mail s"), F.col("s_suppkey").cast("string"), F.lit("@x.org, not "), person, F.lit(".")).alias("answer"),
+        F.array("s_name", F.concat(person, F.lit("s are many"))).alias("contexts"),
+    )
+
+
+SUPPLIER_SQL = """SELECT s_suppkey::VARCHAR AS sample_id, 'Who runs <PERSON_1> near ' || {place} || '?' AS question,
+  {place} || ': mail <EMAIL_ADDRESS_1>, not <PERSON_1>.' AS answer, s_name AS context_1, {plural} || 's are many' AS context_2, {found}::INT AS found
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey"""
+
+
+def shown_suppliers(masked):
+    fields = ("sample_id", "question", "answer", F.get("contexts", F.lit(0)).alias("context_1"), F.get("contexts", F.lit(1)).alias("context_2"))
+    return masked.select(*fields, F.size("mapping").alias("found"))
+
+
+@query("sanitize_with_names", sql(SUPPLIER_SQL.format(place="'<LOCATION_1>'", plural=f"'{PERSON[0]}' || s_name || '{PERSON[1]}'", found=3)))
+def _(spark, d):
+    """A listed name that is only part of a longer word is none."""
+    person = F.concat(F.lit(PERSON[0]), "s_name", F.lit(PERSON[1]))
+    people = table(spark, d, "supplier").select(person.alias("surface"), F.lit("PERSON").alias("entity_type"))
+    places = table(spark, d, "nation").select(F.concat(F.lit(PLACE), "n_name").alias("surface"), F.lit("LOCATION").alias("entity_type"))
+    return shown_suppliers(P.sanitize_requests(P.with_names(supplier_requests(spark, d), people.unionByName(places))))
+
+
+def supplier_detector():
+    """A user's own detector: whatever looks like such a name."""
+    pattern = re.compile(rf"{PERSON[0]}Supplier#[0-9]+{PERSON[1]}")
+    return lambda text: [(m.start(), m.end(), "person", 0.9) for m in pattern.finditer(text)]
+
+
+@query("sanitize_with_detector", sql(SUPPLIER_SQL.format(place=f"'{PLACE}' || n_name", plural="'<PERSON_1>'", found=2)))
+def _(spark, d):
+    return shown_suppliers(P.sanitize_requests(P.with_detector(supplier_requests(spark, d), supplier_detector)))
+
+
 @query("sanitize_off", sql("SELECT doc_id::VARCHAR AS sample_id, md5(text) AS answer FROM pii_docs", "pii_docs"))
 def _(spark, d):
     return P.sanitize_requests(pii_requests(spark, d), "off").select("sample_id", F.md5("answer").alias("answer"))

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from veritally.functions import spans as S
 from veritally.operators.bookkeeping import pending_samples
 from veritally.operators.metrics import distinct_metrics
-from veritally.operators.privacy import sanitize_requests
+from veritally.operators.privacy import DETECTED, NAMED, entities_to_mask, sanitize_requests
 
 # Fixed value: attempts per job.
 ATTEMPTS_PER_JOB = 2
@@ -46,24 +46,44 @@ def resolve_options(submissions: DataFrame, defaults: dict = DEFAULTS) -> DataFr
     )
 
 
-def masked_submissions(submissions: DataFrame, entities: Sequence[str] = S.ENTITIES) -> DataFrame:
-    """Accepted submissions as the judge will see them; the mapping is discarded here.
+Spans = Callable[[DataFrame], DataFrame]
 
+
+def masked_submissions(submissions: DataFrame, entities: Sequence[str] | None = None, add_spans: Spans | None = None) -> DataFrame:
+    """Submissions as the judge will see them; the mapping is discarded here.
+
+    A refused one is kept as a row with its reason and no text at all, so the submitter can be
+    told. `add_spans` adds a detector's or a list's spans (privacy.with_detector, with_names).
     Row-local, so the same code runs on a stream and on a table.
     """
-    accepted = resolve_options(submissions).filter(F.col("rejected").isNull()).drop("rejected")
+    resolved = resolve_options(submissions)
+    refused = F.col("rejected").isNotNull()
+    blank = F.array().cast("array<string>")
+    resolved = resolved.select(
+        *[c for c in resolved.columns if c not in ("question", "answer", "contexts")],
+        F.when(~refused, F.col("question")).alias("question"),
+        F.when(~refused, F.col("answer")).alias("answer"),
+        F.when(~refused, F.col("contexts")).otherwise(blank).alias("contexts"),
+    )
+    seen = add_spans(resolved) if add_spans else resolved
     off = F.col("privacy_mode") == "off"
+    wanted = entities_to_mask(entities, add_spans is not None)
+    nothing = F.array().cast(f"array<{S.SPAN_SQL}>")
+    for c in (DETECTED, NAMED):
+        if c in seen.columns:
+            seen = seen.withColumn(c, F.when(~off, F.col(c)))
 
     def guarded(t: Column) -> Column:
-        return F.when(~off, S.detect_patterns(t, entities)).otherwise(F.array().cast(f"array<{S.SPAN_SQL}>"))
+        return F.when(~off, S.detect_patterns(t, [e for e in wanted if e in S.PATTERNS])).otherwise(nothing)
 
-    return sanitize_requests(accepted, "mask", entities, detect=guarded).drop("mapping").withColumn("status", F.lit("queued"))
+    masked = sanitize_requests(seen, "mask", wanted, detect=guarded).drop("mapping")
+    return masked.withColumn("status", F.when(F.col("rejected").isNull(), "queued").otherwise("rejected")).withColumnRenamed("rejected", "error")
 
 
-def stream_sanitize(submissions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Masked submissions to a columnar sink; raw text is never written."""
+def stream_sanitize(submissions: DataFrame, path: str, checkpoint: str, add_spans: Spans | None = None) -> StreamingQuery:
+    """Masked submissions, and refused ones with their reasons, to a columnar sink; raw text is never written."""
     return (
-        masked_submissions(submissions)
+        masked_submissions(submissions, add_spans=add_spans)
         .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
