@@ -58,6 +58,41 @@ def test_a_run_resumes_retries_and_refuses_to_mix(spark, tmp_path):
         P.run_benchmark(samples, factory, P.RunConfig("lab", "slm", "m", metrics=["speed"]), out)
 
 
+def test_a_lost_run_goes_on_where_it_was(spark, tmp_path, monkeypatch):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def factory():
+        inner = J.stub_judge()
+
+        def judge(messages, form):
+            if form == "claims":
+                name = json.loads(messages[1]["content"].split("\n", 1)[1]).split(".")[0]
+                (calls / f"{name}-{len(os.listdir(calls))}-{os.getpid()}").write_text("")
+            return inner(messages, form)
+
+        return judge
+
+    samples = spark.createDataFrame([(f"s{i}", "Who?", f"Fact {i}.", ["ctx"], True) for i in range(12)], SAMPLES)
+    config, whole, parts = P.RunConfig("lab", "slm", J.STUB_MODEL), P._score_part, []
+
+    def breaks(todo, *rest):
+        if len(parts) == 2:
+            raise OSError("the driver is lost")
+        parts.append(1)
+        return whole(todo, *rest)
+
+    monkeypatch.setattr(P, "_score_part", breaks)
+    with pytest.raises(OSError):
+        P.run_benchmark(samples, factory, config, str(tmp_path / "run"), part_rows=3)
+    before = P.run_rows(spark, str(tmp_path / "run")).count()
+    assert 0 < before < 12 and len(os.listdir(calls)) == before
+    monkeypatch.setattr(P, "_score_part", whole)
+    record = P.run_benchmark(samples, factory, config, str(tmp_path / "run"), part_rows=3).first()
+    assert (record.samples_written, record.samples_skipped) == (12 - before, before)
+    assert P.run_rows(spark, str(tmp_path / "run")).count() == 12 and len(os.listdir(calls)) == 12
+
+
 def test_offline_run_to_report(spark, tmp_path):
     samples = spark.createDataFrame([(f"s{i}", "Who?", f"Fact {i}. More.", ["ctx"], i % 2 == 0) for i in range(12)], SAMPLES)
     P.run_benchmark(samples, J.stub_judge, P.RunConfig("lab", "slm", J.STUB_MODEL, metrics=["faithfulness", "relevance"]), str(tmp_path))

@@ -66,7 +66,7 @@ def _weighted_correlation(x: Column, y: Column, n: Column) -> Column:
     vx = F.sum(w * x * x) - sx * sx / sw
     vy = F.sum(w * y * y) - sy * sy / sw
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(varies, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
+    return F.when(varies, F.try_divide(cov, F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))))
 
 
 def pearson(counts: DataFrame) -> DataFrame:

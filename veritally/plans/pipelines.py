@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,11 @@ class RunConfig:
         return flat | {f"sampling.{n}": str(v) for n, v in self.sampling.items() if n != "limit"}
 
 
+#: Samples whose rows are appended together.
+PART_ROWS = 50_000
+
+BEGUN = "run_id string, config map<string,string>, begun_at timestamp"
+
 RUNS = (
     "run_id string, config map<string,string>, samples_seen bigint, hallucinated bigint, not_hallucinated bigint, samples_skipped bigint, "
     "samples_written bigint, failure_count bigint, models_returned string, samples_retried bigint, recorded_at timestamp"
@@ -89,9 +95,13 @@ def run_benchmark(
     retry_failed: bool = False,
     detect: Callable[[Column], Column] | None = None,
     add_spans: Callable[[DataFrame], DataFrame] | None = None,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Score the samples that have no row yet, append their rows, and record the run.
 
+    Samples are scored in parts of about `part_rows`, whose rows are appended before the next
+    part begins: a run that is lost goes on from there, and repeats one part at most.
+
     Rows go to `<out>/rows` (a version per call when failed ones are retried), runs to
     `<out>/runs`. `add_spans` adds a detector's or a name list's spans before masking
     (privacy.with_detector, privacy.with_names). Returns the run's row. `samples` has sample_id, question, answer, contexts
@@ -105,13 +115,17 @@ def run_benchmark(
     runs = _stored(spark, runs_path, RUNS)
     current = spark.createDataFrame([(config.as_map(),)], "config map<string,string>")
     before = _stored(spark, rows_path, _row_schema())
-    if runs.limit(1).count() == 0 and before.limit(1).count() > 0:
+    # A run that was lost midway has begun and left rows, but no record.
+    known = runs.select("config", F.col("recorded_at").alias("at")).unionByName(
+        _stored(spark, f"{out}/begun", BEGUN).select("config", F.col("begun_at").alias("at"))
+    )
+    if known.isEmpty() and not before.isEmpty():
         raise IncompatibleRunError(f"{rows_path} has rows but no run is recorded for them; use another folder")
-    previous = runs.orderBy(F.col("recorded_at").desc()).limit(1).select("config")
+    previous = known.orderBy(F.col("at").desc()).limit(1).select("config")
     stored, now = (df.withColumn("run_id", F.lit("run")) for df in (previous, current))
-    different = bookkeeping.diff_config(stored, now).orderBy("name").limit(50).collect() if previous.count() else []
+    different = bookkeeping.diff_config(stored, now).orderBy("name").limit(51).collect() if previous.count() else []
     if different:
-        shown = "; ".join(f"{r.name}: {r.stored!r} -> {r.current!r}" for r in different)
+        shown = "; ".join(f"{r.name}: {r.stored!r} -> {r.current!r}" for r in different[:50]) + ("; and more" if len(different) > 50 else "")
         raise IncompatibleRunError(f"rows were scored under another configuration ({shown}); use another folder")
 
     failed_ids = spark.createDataFrame([], "sample_id string")
@@ -120,7 +134,32 @@ def run_benchmark(
     done = latest
     if retry_failed:
         done, failed_ids = bookkeeping.drop_failed_rows(latest)
-    todo = bookkeeping.pending_samples(samples.withColumn("dataset", F.lit(config.dataset)), done)
+    todo = materialize(bookkeeping.pending_samples(samples.withColumn("dataset", F.lit(config.dataset)), done), "todo")
+    identity = run_id(spark, config)
+    # Recorded before the first row, so that what a lost run has written can be gone on with.
+    begun = current.select(F.lit(identity).alias("run_id"), "config", F.current_timestamp().alias("begun_at"))
+    begun.write.mode("append").parquet(f"{out}/begun")
+    parts = max(1, -(-todo.count() // part_rows))
+    written = [
+        _score_part(todo.filter(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == n), factory, config, chosen, detect, add_spans, identity, rows_path)
+        for n in range(parts)
+    ]
+    new = reduce(DataFrame.unionByName, written)
+    stamp = dt.datetime.now(dt.timezone.utc)
+    counters = bookkeeping.run_counters(samples, done, new, failed_ids)
+    record = materialize(
+        counters.select(
+            F.lit(identity).alias("run_id"), F.create_map(*[F.lit(x) for pair in config.as_map().items() for x in pair]).alias("config"), "samples_seen", "hallucinated", "not_hallucinated", "samples_skipped",
+            "samples_written", "failure_count", "models_returned", "samples_retried", F.lit(stamp).alias("recorded_at"),
+        ),
+        "run",
+    )
+    record.write.mode("append").parquet(runs_path)
+    return record
+
+
+def _score_part(todo, factory, config, chosen, detect, add_spans, identity, rows_path) -> DataFrame:
+    """Mask, score and append one part of the samples; its rows are durable before the next part begins."""
     masked = privacy.sanitize_requests(add_spans(todo) if add_spans else todo, config.privacy_mode, config.entities, config.score_threshold, detect)
     scored = judge.score_with_judge(
         masked.drop("mapping"), factory, judge=config.judge, model=config.model, metrics=chosen, k=config.k, strict=config.strict
@@ -129,23 +168,13 @@ def run_benchmark(
     restored = scored.join(masked.select("sample_id", "mapping"), "sample_id").withColumn(
         "verdicts", privacy.restore_verdicts(F.col("verdicts"), F.col("mapping"))
     ).drop("mapping")
-    identity = run_id(spark, config)
     stamp = dt.datetime.now(dt.timezone.utc)
     new = materialize(
         restored.select("*", F.lit(identity).alias("run_id"), F.lit(config.privacy_mode).alias("privacy_mode"), F.lit(stamp).alias("scored_at")),
         "new-rows",
     )
-    counters = bookkeeping.run_counters(samples, done, new, failed_ids)
-    record = materialize(
-        counters.select(
-            F.lit(identity).alias("run_id"), F.create_map(*[F.lit(x) for pair in config.as_map().items() for x in pair]).alias("config"), "samples_seen", "hallucinated", "not_hallucinated", "samples_skipped",
-            "samples_written", "failure_count", "models_returned", "samples_retried", F.lit(stamp).alias("recorded_at"),
-        ),
-        "run",
-    )
     result_rows.write_result_rows(new, rows_path)
-    record.write.mode("append").parquet(runs_path)
-    return record
+    return new
 
 
 def _row_schema() -> str:
