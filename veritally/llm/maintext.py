@@ -8,7 +8,7 @@ ones, so no text is kept under a node that was cut and none inside is skipped be
 choices the one with the largest sum of log-odds is taken, in one pass up and one down the tree.
 
 The trees are fitted here, on layouts written from the paragraphs of at most `TRAIN_PAGES` pages
-of the table (the smallest ids), because tables do not say where their articles are. Every page is
+of the table (those with the smallest ids), because tables do not say where their articles are. Every page is
 extracted whole, inside its task; nothing is shuffled.
 
 Null and empty pages, and pages without an article, have an empty text. Repeated rows give equal
@@ -86,7 +86,10 @@ def truth_of(page: Page) -> np.ndarray:
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, layouts: int = LAYOUTS, html_col: str = "html", id_col: str = "page_id") -> Boosted:
     """Trees fitted on layouts of the paragraphs of a bounded number of pages."""
     usable = pages.filter(F.length(html_col).between(1, MOST_TRAIN_CHARS))
-    rows = usable.select(id_col, F.col(html_col).alias("html")).orderBy(id_col, "html").limit(train_pages).collect()
+    # Only ids are ordered; the pages of the ids that were drawn, a fixed number, are all that is collected.
+    drawn = usable.select(F.col(id_col).alias("_id")).orderBy("_id").limit(train_pages).distinct()
+    rows = usable.join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).select(id_col, F.col(html_col).alias("html")).limit(2 * train_pages).collect()
+    rows.sort(key=lambda r: (r[0], r["html"]))
     paragraphs = []
     for r in rows:
         for _, _, linked, text in Page(r["html"]).pieces:
