@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Unicode white space, as the vocabulary's normaliser takes it.
 SPACE = r"\p{White_Space}"
 #: Pieces kept in a worker's cache before it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 PAIR_BITS = 24
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, decoded string"
