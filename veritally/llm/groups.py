@@ -67,7 +67,9 @@ def in_groups(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Re
             if found is not None and found.num_rows:
                 yield found
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    # A fixed number of partitions: the work is far larger than the bytes by which Spark would merge them.
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
