@@ -28,7 +28,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Unicode white space, as the vocabulary's normaliser takes it.
@@ -182,7 +181,7 @@ def _vocabulary(definition: str) -> Vocabulary:
 def _shared(spark: SparkSession, path: str):
     """The file's text as a broadcast: executors may lack the driver's files. Its size is that of a public vocabulary."""
     with open(path, encoding="utf-8") as f:
-        return SparkContext.getOrCreate().broadcast(f.read())
+        return spark.sparkContext.broadcast(f.read())
 
 
 def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str, finish) -> DataFrame:
