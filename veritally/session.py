@@ -34,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not configured and master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="veritally-")
