@@ -62,6 +62,13 @@ def test_strata_without_a_label(spark):
     assert sum(r.label_hallucinated is None for r in datasets.stratified_sample(pool, 40).collect()) == 20
 
 
+def test_large_draws_take_the_first_of_each_stratum(spark):
+    pool = labeled(spark, [(f"s{i}", i, None if i % 3 == 0 else i % 3 == 1, "QA", "test") for i in range(9000)])
+    drawn = [(r.label_hallucinated, r.seq) for r in datasets.stratified_sample(pool, 4500).collect()]
+    assert sorted(i for y, i in drawn if y is None) == [3 * i for i in range(1500)]
+    assert sorted(i for y, i in drawn if y) == [3 * i + 1 for i in range(1500)] and len(drawn) == 4500
+
+
 def test_missing_or_broken_manifest_is_unknown_provenance(spark, rows_dir):
     (rows_dir / "other_slm.jsonl").write_text(line("z", True, 0.1) + "\n")
     (rows_dir / "bad_slm.jsonl").write_text(line("y", True, 0.1) + "\n")

@@ -157,6 +157,10 @@ def seeded_shuffle(samples: DataFrame, seed: int) -> DataFrame:
     return samples.orderBy(seeded_key(seed, F.col("sample_id")), F.col("sample_id"))
 
 
+#: Parts in which a stratum is ordered and cut before its first rows are.
+STRATUM_PIECES = 64
+
+
 def stratified_sample(samples: DataFrame, limit: int, order: str = "seq") -> DataFrame:
     """`limit` samples keeping the share of every (label, task type) stratum.
 
@@ -185,8 +189,12 @@ def stratified_sample(samples: DataFrame, limit: int, order: str = "seq") -> Dat
         .otherwise(F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("int"))
         .alias("_quota"),
     )
+    # A stratum is cut in many places first: what is then ordered in one is `limit` rows of each.
+    piece = Window.partitionBy(*keys, "_piece").orderBy(order)
+    pieces = keyed.withColumn("_piece", F.pmod(F.xxhash64(order), F.lit(STRATUM_PIECES)))
+    cut = pieces.withColumn("_in_piece", F.row_number().over(piece)).filter(F.col("_in_piece") <= limit).drop("_in_piece", "_piece")
     position = Window.partitionBy(*keys).orderBy(order)
-    first = keyed.withColumn("_pos", F.row_number().over(position)).filter(F.col("_pos") <= limit)
+    first = cut.withColumn("_pos", F.row_number().over(position)).filter(F.col("_pos") <= limit)
     return attach_small(first, quotas, keys, "inner").filter(F.col("_pos") <= F.col("_quota")).drop("_pos", "_quota", "_task", "_label")
 
 
