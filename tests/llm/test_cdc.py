@@ -84,3 +84,39 @@ def test_a_repeat_within_a_text(spark):
 def test_rows_equal_in_id_and_text_are_one_document(spark):
     text = prose(random.Random(6), 120)
     assert [r.text for r in cleaned(spark, [(1, text), (1, text)])] == [text, text]
+
+
+def left_twice(rows, n=50):
+    """Windows of n words that stand in two of the texts."""
+    seen = {}
+    for i, text in rows:
+        words = text.split()
+        for k in range(len(words) - n + 1):
+            seen.setdefault(" ".join(words[k : k + n]), set()).add(i)
+    return [w for w, ids in seen.items() if len(ids) > 1]
+
+
+def test_a_passage_of_frequent_lines_is_cut(spark):
+    draw = random.Random(7)
+    lines = [prose(draw, 15) for _ in range(40)]
+    rows = []
+    for i in range(300):
+        a, b = draw.sample(lines, 2)
+        rows.append((i, " ".join([prose(draw, 30), a, prose(draw, 30), b, prose(draw, 30)])))
+    parts = {i: (prose(draw, 40), prose(draw, 40)) for i in (900, 901)}
+    passage = " ".join(lines[3:8])
+    rows += [(i, f"{a} {passage} {b}") for i, (a, b) in parts.items()]
+    got = {r.doc_id: r.text for r in cleaned(spark, rows)}
+    assert all(got[i] == text for i, text in rows if i != 901)
+    assert got[901] == " ".join(parts[901])
+
+
+def test_groups_of_near_copies_keep_no_passage_twice(spark):
+    draw = random.Random(8)
+    rows = []
+    for copies in (4, 30):
+        base = prose(draw, 600).split()
+        for _ in range(copies):
+            rows.append((len(rows), " ".join(w if draw.random() > 0.03 else prose(draw, 1) for w in base)))
+    assert left_twice(rows)
+    assert not left_twice([(r.doc_id, r.text) for r in cleaned(spark, rows)])
