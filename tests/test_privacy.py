@@ -248,3 +248,17 @@ def test_long_type_names_come_back(spark):
     df = spark.createDataFrame([(f"x {token} y {token}z", {token: "value"})], "t string, m map<string,string>")
     assert df.select(S.restore_text(F.col("t"), F.col("m")).alias("r")).first().r == "x value y valuez"
     assert df.select(S.highlight_placeholders(F.col("t"), F.col("m")).alias("r")).first().r == f"x **{token}** y **{token}**z"
+
+
+def test_a_list_too_large_to_send_is_joined(spark, monkeypatch):
+    rows = [("k", "Ann Smith of Bank of New York, not Ann Smithson", "New York", ["Ann  Smith", None, ""]), ("k", None, "no name", None), ("m", "Ann Smith", "Ann", ["x", "x"]), ("m", "Ann Smith", "Ann", ["x", "x"])]
+    df = spark.createDataFrame(rows, REQUEST)
+    surfaces = [("Ann Smith", "PERSON"), ("Ann Smith", "LOCATION"), ("Ann", "PERSON"), ("Bank of New York", "LOCATION"), ("New York", "LOCATION"), ("new\u00a0york", "LOCATION"), (None, "PERSON"), ("", "PERSON")]
+    names = spark.createDataFrame(surfaces, "surface string, entity_type string")
+    key = lambda r: str(r)
+    small = P.with_names(df, names)
+    monkeypatch.setattr(P, "SMALL_SIDE_ROWS", 2)
+    large = P.with_names(df, names)
+    assert large.columns == small.columns
+    assert sorted(large.collect(), key=key) == sorted(small.collect(), key=key)
+    assert sorted(P.sanitize_requests(large).collect(), key=key) == sorted(P.sanitize_requests(small).collect(), key=key)

@@ -44,11 +44,11 @@ def detect_pii(
 # Fixed value: what separates words.
 WORD = r"[^\s.,;:!?()\[\]{}\"]+"
 
-NGRAMS = "doc_id bigint, start int, end int, surface string"
+NGRAMS = "start int, end int, surface string"
 FLUSH_ROWS = 100_000
 
 
-def word_ngrams(docs: DataFrame, longest: int, names: frozenset[str] | None = None) -> DataFrame:
+def word_ngrams(docs: DataFrame, longest: int, names: frozenset[str] | None = None, id_type: str = "bigint") -> DataFrame:
     """(doc_id, start, end, surface) of every run of 1 to `longest` words in a text.
 
     With `names` only the listed surfaces leave the task. Offsets are a running sum over all
@@ -58,7 +58,7 @@ def word_ngrams(docs: DataFrame, longest: int, names: frozenset[str] | None = No
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(WORD)
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string())])
+        schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string())])
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -79,7 +79,7 @@ def word_ngrams(docs: DataFrame, longest: int, names: frozenset[str] | None = No
                         yield flush()
         yield flush()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, NGRAMS)
+    return docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").mapInArrow(cut, f"doc_id {id_type}, {NGRAMS}")
 
 
 def detect_gazetteer(
@@ -365,16 +365,53 @@ def name_finder(names: dict[str, str], score: float = 0.85) -> Callable[[], Dete
     return factory
 
 
-def with_names(requests: DataFrame, gazetteer: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+def with_names(requests: DataFrame, gazetteer: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Spans of a list (surface, entity_type) for every field, ready for `sanitize_requests`.
 
-    The list goes to every task, so its size is checked; a larger one is an error. Of a surface
-    with several types the first in order counts.
+    A list of up to SMALL_SIDE_ROWS names goes to every task; a larger one is joined by surface.
+    A bound that is given is kept: a larger list is an error then, and on a stream, where nothing
+    can be gathered per request. Of a surface with several types the first in order counts.
     """
-    rows = gazetteer.groupBy("surface").agg(F.min("entity_type").alias("entity_type")).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"the list has over {max_rows} names; use detect_gazetteer, which joins them")
-    return _with_spans(requests, name_finder({r.surface: r.entity_type for r in rows if r.surface}), NAMED)
+    bound = SMALL_SIDE_ROWS if max_rows is None else max_rows
+    names = gazetteer.groupBy("surface").agg(F.min("entity_type").alias("entity_type"))
+    rows = names.limit(bound + 1).collect()
+    if len(rows) <= bound:
+        return _with_spans(requests, name_finder({r.surface: r.entity_type for r in rows if r.surface}), NAMED)
+    if max_rows is not None or requests.isStreaming:
+        raise ValueError(f"the list has over {bound} names; without a bound, and on a table, they are joined")
+    return _with_joined_names(requests, names.filter(F.length("surface") > 0))
+
+
+def longest_surface(names: DataFrame) -> int:
+    """The most words in a surface, by the same rule that cuts the texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(WORD)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max((len(word.findall(s)) for s in batch.column(0).to_pylist()), default=0)], pa.int32())], names=["words"])
+
+    return names.select("surface").mapInArrow(count, "words int").agg(F.coalesce(F.max("words"), F.lit(0))).first()[0]
+
+
+def _with_joined_names(requests: DataFrame, names: DataFrame, score: float = 0.85) -> DataFrame:
+    """What `_with_spans` adds, for a list of any size: runs of words are joined to it, hot ones salted.
+
+    Requests are known by a digest of their fields, since equal fields have equal spans.
+    """
+    fields = F.transform(request_fields(), lambda t: F.coalesce(t, F.lit("")))
+    keyed = requests.withColumn("_fields", F.sha2(F.concat_ws(",", F.transform(fields, lambda t: F.sha2(t, 256))), 256))
+    texts = keyed.select("_fields", F.posexplode(fields).alias("_field", "text")).dropDuplicates(["_fields", "_field"])
+    texts = texts.select(F.concat_ws(":", "_fields", "_field").alias("doc_id"), "text")
+    hits = salted_join(word_ngrams(texts, longest_surface(names), id_type="string"), names, ["surface"], "inner")
+    # In the order in which `name_finder` finds them.
+    found = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("end", "start", "entity_type"))).alias("_s"))
+    spans = F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), F.lit(score).alias("score")))
+    parts = F.split("doc_id", ":")
+    by_field = found.select(parts[0].alias("_fields"), parts[1].cast("int").alias("_field"), spans.alias("_spans"))
+    by_request = by_field.groupBy("_fields").agg(F.map_from_entries(F.collect_list(F.struct("_field", "_spans"))).alias("_found"))
+    nothing = F.array().cast(f"array<{S.SPAN_SQL}>")
+    placed = F.transform(request_fields(), lambda t, i: F.coalesce(F.try_element_at("_found", i), nothing)).cast(FIELD_SPANS)
+    return skew_join(keyed, by_request, ["_fields"], "left").withColumn(NAMED, placed).drop("_fields", "_found")
 
 
 def entities_to_mask(entities: Sequence[str] | None, others: bool) -> list[str]:
