@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from veritally.llm import langid
@@ -48,3 +50,19 @@ def test_nothing_to_learn_from(spark):
 def test_nothing_is_learned_from_held_out_rows(spark):
     docs = documents(spark, SF).withColumn("lang", langid.F.when(langid.held_out(), "xx").otherwise(langid.F.col("lang")))
     assert "xx" not in {r.lang_pred for r in langid.identified(docs).select("lang_pred").distinct().collect()}
+
+
+def test_a_text_in_more_than_four_languages():
+    draw = random.Random(11)
+    names = [f"l{i}" for i in range(7)]
+    texts = {}
+    for i, name in enumerate(names):
+        vocabulary = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz"[3 * i : 3 * i + 6], k=draw.randint(4, 9))) for _ in range(60)]
+        texts[name] = " ".join(draw.choices(vocabulary, k=3000)).encode()
+    counts = np.array([np.bincount(langid.gram_buckets(np.array([0, len(t)]), np.frombuffer(t, np.uint8))[0], minlength=langid.BUCKETS) for t in texts.values()])
+    model = langid.Model(names, counts)
+    docs = [b" ".join(texts[name][:1500] for name in names[:6]), texts["l6"][:1500]]
+    offsets = np.cumsum([0, *map(len, docs)])
+    shares, _ = langid.infer(model, offsets, np.frombuffer(b"".join(docs), np.uint8))
+    assert (np.abs(shares[0, :6] - 1 / 6) < 0.02).all() and shares[0, 6] < 0.005
+    assert shares[1].argmax() == 6 and shares[1, 6] > 0.99

@@ -3,7 +3,7 @@
 Training counts hashed 4-grams of bytes per language over all training rows. A document is cut
 into blocks of consecutive grams, each taken to be of one language; expectation-maximisation
 estimates the languages' shares from the blocks' likelihoods. This is done with the best 1, 2, 3
-... languages, and the number kept is the one with the largest likelihood less a penalty of
+... languages, up to all of them, and the number kept is the one with the largest likelihood less a penalty of
 half the log of the number of blocks for each language. The language with the largest share wins.
 
 What is gathered on the driver is one number per language and bucket, whatever the corpus.
@@ -28,7 +28,6 @@ GRAM = 4
 BUCKETS = 1 << 15
 BLOCK = 24
 EM_STEPS = 10
-MOST_LANGUAGES = 4
 UNKNOWN = "und"
 FOUND = {"lang_pred": "string", "score": "double", "languages": "array<string>"}
 
@@ -126,11 +125,19 @@ def infer(model: Model, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarr
     order = np.argsort(-everything, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     best = np.full(n, -np.inf)
-    for size in range(1, min(k, MOST_LANGUAGES) + 1):
-        fitted, total = _expectation(blocks, block_owner, n, rank < size)
-        total -= size * 0.5 * np.log(n_blocks + 1)
-        better = total > best
-        shares[better], best[better] = fitted[better], total[better]
+    # No mixture explains a block better than its best language does, so larger sets are tried only where they can still win.
+    most = np.bincount(block_owner, blocks.max(1), minlength=n)
+    for size in range(1, k + 1):
+        penalty = size * 0.5 * np.log(n_blocks + 1)
+        growing = most - penalty > best
+        if not growing.any():
+            break
+        among = growing[block_owner]
+        if among.any():
+            fitted, total = _expectation(blocks[among], block_owner[among], n, rank < size)
+            total -= penalty
+            better = growing & (total > best)
+            shares[better], best[better] = fitted[better], total[better]
     return shares, seen
 
 
