@@ -1,9 +1,10 @@
 """Near-duplicate vectors by collision counting on one-dimensional projections.
 
 Vectors are scaled to length 1 and projected on 512 random lines; each line, with its reverse,
-is a list sorted by projection. A vector is entered in the `tail` lists in which it lies farthest
-out, where few others are. Two vectors collide in a list when both are entered and lie within a
-window of each other, and a pair that collides twice is verified by its cosine in double
+is a list. No list is sorted: a vector is entered only in the `tail` lists in which it lies farthest
+out, where few others are, and the entries of a list are compared in blocks. Two vectors collide in
+a list when both are entered and lie within a window of each other, and a pair that collides twice
+(a fixed count; `tail` is what is calibrated) is verified by its cosine in double
 precision. For a pair with a given cosine the projections are jointly normal whatever the data,
 so the recall at the threshold can be computed: `tail` is the smallest number that finds at least
 98.5 % of such pairs.
