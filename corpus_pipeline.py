@@ -14,15 +14,13 @@ from veritally.llm.queries import vocabulary_path
 from veritally.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document's main language must have this share of it.
-LEAST_SHARE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no learned language, or without a language that has half of the text, go."""
+    """Documents of no learned language go; those in several languages stay."""
     model = langid.train(docs.filter(~langid.held_out()))
     found = langid.predict(docs.select(*COLUMNS), model)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,19 @@ def test_language_stage(spark, planted):
     assert {r.doc_id for r in left} >= {r[0] for r in rows if r[0] is not None and r[0] < 500} and not {501, 502, 503} & {r.doc_id for r in left}
 
 
+def test_language_stage_keeps_a_text_in_three_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*COLUMNS)
+    texts = {}
+    for r in docs.filter("lang is not null and length(text) > 2500").orderBy("doc_id").collect():
+        texts.setdefault(r.lang, r.text)
+    parts = [texts[lang][:n] for lang, n in zip(sorted(texts), (1000, 750, 750))]
+    added = frame(spark, [(10**6 + 2, " ".join(parts), None, "a", 2502)])
+    both = docs.union(added)
+    model = langid.train(both.filter(~langid.held_out()))
+    assert langid.predict(added, model).first().score < 0.5
+    assert pipeline.known_language(spark, both, SF).filter(f"doc_id = {10**6 + 2}").count() == 1
+
+
 def test_near_copies_stage(spark, planted):
     rows, _, _ = planted
     left = [r.doc_id for r in pipeline.without_near_copies(spark, frame(spark, rows), SF).collect()]
