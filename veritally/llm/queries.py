@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, cdc, curriculum, embed, langid, maintext, minhash, quality, repetition, warc
+from veritally.llm import bpe, cdc, curriculum, embed, langid, maintext, minhash, quality, repetition, tokenfile, warc
 from veritally.plans.registry import registry
+from veritally.session import scratch_path
 
 QUERIES, SQL, query = registry()
 
@@ -18,11 +19,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def vocabulary_path() -> str:
-    """The public vocabulary's place on the driver; only here is it a fixed choice."""
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary's place on the driver; only here is it a fixed choice."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op2_bpe_encode_decode")
@@ -73,3 +74,10 @@ def op6_projection_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_main_text")
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.main_text(pages(spark, sf_dir))
+
+
+@query("op11_token_parquet")
+def op11_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token_ids")
+    tokenfile.write_tokens(documents(spark, sf_dir), path, vocabulary_path("byte_bpe_50k.json"))
+    return tokenfile.token_digests(spark, path)
