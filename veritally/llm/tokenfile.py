@@ -35,10 +35,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veritally.llm.bpe import byte_characters
+from veritally.llm.textscan import slices
+
 END_ID = 2
 ROW_GROUP_ROWS = 50_000
 ROW_GROUP_BYTES = 64 << 20
@@ -51,7 +55,7 @@ DIGESTS = "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 big
 
 #: Equal rows are spread over so many numbers, so no id is too large for a range.
 SPREAD = 1 << 16
-ROWS_AT_ONCE = 256
+BYTES_AT_ONCE = 8 << 20
 CACHE_CUTS = 200_000
 LONGEST_CACHED = 48
 #: Stops that begin a piece after a letter or digit; letters and digits below this character are the same in every Unicode version.
@@ -80,6 +84,10 @@ class Encoder:
         pieces = spec.get("pre_tokenizer") or {}
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.line_break = self._library(["\n"])[0]
+        self.model = self.library.model
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(1 + max([0, *self.library.get_vocab(with_added_tokens=True).values()]))]
+        self.visible = {b: ord(c) for b, c in byte_characters().items()}
+        self.blank = chr(self.visible[32])
         self.cuts_are_safe = (
             spec.get("normalizer") is None
             and spec["model"]["type"] == "BPE"
@@ -138,15 +146,33 @@ class Encoder:
             at = end + 4
         return found
 
+    def _word(self, word: str, blank: str) -> bytes:
+        """The ids of one piece, behind a blank or not: a run of letters or of stops. It goes to the library's merges at once."""
+        seen = blank + (word if word.isascii() else word.encode().decode("latin-1").translate(self.visible))
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.model.tokenize(seen)])
+
     def _learn(self, cuts: set[str]) -> None:
         """Puts the ids of these cuts among the young."""
-        young, old = self.young, self.old
+        young, old, blank = self.young, self.old, self.blank
+        known = old.get
         young[" \n"] = self.line_break
         made: dict[str, list[str]] = {}
         words, others = set(), []
         for c in cuts - young.keys():
-            if c in old:
-                young[c] = old[c]
+            found = known(c)
+            if found is not None:
+                young[c] = found
+                continue
+            base = c.rstrip(STOPS)
+            if base.isalpha() and (base.isascii() or max(base) < LATIN_ENDS):
+                ids = young.get(base) or known(base) or self._word(base, blank)
+                young[base] = ids
+                if len(base) < len(c):
+                    stops = " " + c[len(base) :]
+                    if stops not in young:
+                        young[stops] = self._word(stops[1:], "")
+                    young[c] = ids + young[stops]
                 continue
             finer = self._finer(c)
             if finer is None:
@@ -155,8 +181,11 @@ class Encoder:
             made[c] = finer
             for w in finer:
                 if w not in young:
-                    if w in old:
-                        young[w] = old[w]
+                    found = known(w)
+                    if found is not None:
+                        young[w] = found
+                    elif w[:1] == " " and (word := w[1:]).isalpha() and (word.isascii() or max(word) < LATIN_ENDS):
+                        young[w] = self._word(word, "")
                     else:
                         words.add(w)
         if words:
@@ -166,24 +195,51 @@ class Encoder:
                 young[c] = b"".join([young[w] for w in finer])
         young.update(zip(others, self._library([c[1:] if c[:1] == " " else " " + c for c in others]), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if not self.cuts_are_safe or any(s in t for s in self.specials)]
-        apart = set(whole)
-        cuts = [[] if i in apart else self._cuts(t) for i, t in enumerate(texts)]
-        wanted = set().union(*cuts)
-        wanted.discard(" ")  # an empty text
-        self._learn(wanted)
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> pa.ListArray:
+        """The ids of each text, with `end_id` after them if there is one, as a list column.
+
+        Arrow splits the texts and finds the distinct cuts; Python sees each of those once.
+        """
+        strings = texts.fill_null("").to_pylist()
+        apart: dict[int, bytes] = {}
+        for i, text in enumerate(strings):
+            if not self.cuts_are_safe or any(s in text for s in self.specials):
+                apart[i] = self._library([text])[0]
+            elif BLANK_BEFORE_WHITE.search(text) is not None:
+                cuts = self._cuts(text)
+                self._learn(set(cuts))
+                apart[i] = b"".join([self.young[c] for c in cuts])
+        plain = pa.array(["" if i in apart else t for i, t in enumerate(strings)], pa.large_string())
+        cut = pc.split_pattern(plain, " ")
+        coded = cut.flatten().dictionary_encode()
+        first, codes = cut.offsets.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+        keys = coded.dictionary.to_pylist()
+        heads = [" " if i in apart else " " + t.split(" ", 1)[0] for i, t in enumerate(strings)]
+        self.young[" "] = b""
+        self._learn({*keys, *heads})
         young = self.young
-        young[" "] = b""
-        out = [b"".join([young[c] for c in c_of]) for c_of in cuts]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        for c in wanted:
+        # Every row's first cut has an entry of its own, since no blank is before it; a row that was encoded apart is that entry whole.
+        table = [young[k] for k in keys]
+        table += [apart[i] if i in apart else young[h] for i, h in enumerate(heads)]
+        table.append(b"" if end_id is None else int(end_id).to_bytes(4, "little"))
+        codes[first[:-1]] = len(keys) + np.arange(len(strings))
+        codes = np.insert(codes, first[1:], len(table) - 1)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) >> 2
+        begins = np.cumsum(sizes) - sizes
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        narrow = np.int32 if total < 1 << 31 else np.int64
+        at = np.repeat((begins[codes] - (ends - counts)).astype(narrow), counts)
+        at += np.arange(total, dtype=narrow)
+        ids = np.frombuffer(b"".join(table), "<i4")[at]
+        rows = np.concatenate([[0], ends[first[1:] + np.arange(len(strings))]]) if len(strings) else np.zeros(1, np.int64)
+        for c in {*keys, *heads}:
             if len(c) > LONGEST_CACHED:
-                del young[c]
+                young.pop(c, None)
         if len(young) > CACHE_CUTS:
             self.old, self.young = young, {}
-        return out
+        return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids, pa.int32()))
 
 
 @lru_cache(maxsize=2)
@@ -191,13 +247,6 @@ def _encoder(definition: str) -> Encoder:
     return Encoder(definition)
 
 
-def list_column(rows: list[bytes]) -> pa.ListArray:
-    """A list column from the bytes of its rows; nothing is turned into Python numbers."""
-    ends = np.cumsum([0, *[len(r) // 4 for r in rows]]).astype(np.int32)
-    values = pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32())
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-
-
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -212,20 +261,19 @@ def write_tokens(
     spark = docs.sparkSession
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a public vocabulary: some MB, whatever the corpus
-    end = int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                rows = batch.slice(at, ROWS_AT_ONCE)
-                found = [ids + end for ids in encoder.encode([t or "" for t in rows.column(1).to_pylist()])]
-                sizes = np.array([len(ids) // 4 for ids in found], np.int64)
+            for first, last, _, _ in slices(batch.column(1), BYTES_AT_ONCE):
+                rows = batch.slice(first, last - first)
+                ids = encoder.encode(rows.column(1), end_id)
+                sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
                 starts = start + np.concatenate([[0], np.cumsum(sizes)])
                 start = int(starts[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.full(len(found), part, np.int32)), pa.array(starts[:-1]), pa.array(sizes), list_column(found)],
+                    [rows.column(0), pa.array(np.full(len(sizes), part, np.int32)), pa.array(starts[:-1]), pa.array(sizes), ids],
                     names=["doc_id", "part", "start", "n_tokens", "ids"],
                 )
 
