@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, cdc, curriculum, embed, langid, maintext, minhash, quality, repetition, tokenfile, warc
+from veritally.llm import bpe, cdc, curriculum, embed, langid, maintext, minhash, periodic, quality, repetition, tokenfile, warc
 from veritally.plans.registry import registry
 from veritally.session import scratch_path
 
@@ -81,3 +81,9 @@ def op11_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_ids")
     tokenfile.write_tokens(documents(spark, sf_dir), path, vocabulary_path("byte_bpe_50k.json"))
     return tokenfile.token_digests(spark, path)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", periodic.planted().alias("text"))
+    return periodic.run_report(periodic.periodic_runs(docs))
