@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veritally.llm import bpe, cdc, curriculum, embed, langid, maintext, minhash, periodic, quality, repetition, tokenfile, warc
+from veritally.llm import bpe, cdc, curriculum, embed, langid, maintext, minhash, periodic, quality, repetition, tokenfile, warc, whitening
 from veritally.plans.registry import registry
 from veritally.session import scratch_path
 
@@ -87,3 +88,10 @@ def op11_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", periodic.planted().alias("text"))
     return periodic.run_report(periodic.periodic_runs(docs))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
+    # The contract wants a long; a deviation beyond it is null here and whole in the operator's own decimal.
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("bigint"))
