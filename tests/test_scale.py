@@ -75,3 +75,25 @@ def test_dense_numbers(spark):
     df = spark.createDataFrame([(v,) for v in values], "seq bigint")
     got = {r.seq: r.n for r in scale.dense_row_number(df, "seq", "n", 65536).collect()}
     assert got == {v: i for i, v in enumerate(sorted(values))}
+
+
+def test_numbers_of_sparse_keys_need_no_window(spark):
+    """Hashed 63-bit ids: a bin of values would hold about one of them."""
+    df = spark.range(5000).select((F.xxhash64("id").bitwiseAND(F.lit((1 << 63) - 1))).alias("key"), F.col("id").alias("_id")).repartition(5)
+    got = scale.dense_row_number(df, "key", "n")
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and got.columns == ["key", "_id", "n"]
+    rows = got.collect()
+    assert {r.key: r.n for r in rows} == {k: i for i, k in enumerate(sorted(r.key for r in rows))}
+    assert scale.dense_row_number(df.limit(0), "key", "n").count() == 0
+
+
+def test_prefix_sums_along_two_columns(spark):
+    rows = [(f"f{i % 7}", i // 7, (i * 37) % 11) for i in range(300)]
+    df = spark.createDataFrame(rows, "path string, at long, n long").repartition(6)
+    got = {(r.path, r.at): r.before for r in scale.prefix_sums(df, ["path", "at"], "n", "before").collect()}
+    total, want = 0, {}
+    for path, at, n in sorted(rows):
+        want[path, at] = total
+        total += n
+    assert got == want

@@ -262,6 +262,14 @@ def _(spark, d):
     return datasets.dense_index(turns).drop("seq")
 
 
+@query("dense_row_index_hashed", sql("SELECT doc_id, row_number() OVER (ORDER BY key, doc_id) - 1 AS row_index FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS key FROM documents)"))
+def _(spark, d):
+    """Sparse numbers of sixty bits, as ids made by hashing are."""
+    key = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("bigint")
+    docs = table(spark, d, "documents").select("doc_id", key.alias("key"))
+    return datasets.dense_row_number(docs, ["key", "doc_id"], "row_index").drop("key")
+
+
 # -- drawing ----------------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ from veritally.plans.registry import registry
 from veritally.schemas import SUBMISSION
 from veritally.session import materialize, scratch_path
 from veritally.sources import corpus
-from veritally.streaming import jobs
+from veritally.streaming import flow, jobs
 
 QUERIES, SQL, query = registry()
 
@@ -546,6 +546,71 @@ def _(spark, d):
     return spark.read.parquet(rows_path).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("incremental_score_waves", sql("SELECT doc_id::VARCHAR AS sample_id, source AS dataset, 1::BIGINT AS n FROM documents", "rows_"))
+def _(spark, d):
+    """Arrivals in four waves, each with samples that came before: by state if they are young, by the rows of their day if old."""
+    inbox, rows_path, check = (scratch_path(spark, n) for n in ("inbox", "rows", "check"))
+    number = F.col("doc_id")
+    old = F.expr("timestamp'2024-03-01 00:00:00'") + F.make_interval(hours=(number % 500).cast("int"))
+    young = F.current_timestamp() + F.expr("interval 1 day")
+    arrivals = table(spark, d, "documents").select(
+        number.cast("string").alias("sample_id"), F.col("source").alias("dataset"), F.when(number % 2 == 0, young).otherwise(old).alias("submitted_at"), (number % 4).alias("wave"), number
+    )
+    schema = "sample_id string, dataset string, submitted_at timestamp"
+    for wave in range(4):
+        again = (F.col("wave") < wave) & (number % 3 == 0)
+        arrivals.filter((F.col("wave") == wave) | again).drop("wave", "doc_id").write.mode("append").json(inbox)
+        arriving = spark.readStream.schema(schema).json(inbox)
+        jobs.incremental_score(arriving, rows_path, check, lambda todo: todo, schema, "submitted_at", "2 days").awaitTermination()
+    return spark.read.parquet(rows_path).groupBy("sample_id", "dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+JOB_FLOW = f"""
+    , tries AS (SELECT doc_id, a AS attempt, {hq('doc_id', "'load'")} % 9 = 0 AS unreadable, {hq('doc_id', 'a', "'job'")} AS hv FROM documents CROSS JOIN (SELECT UNNEST([1, 2, 3]) AS a)),
+    counted AS (SELECT *, unreadable OR hv % 3 <> 0 AS bad FROM tries WHERE attempt <= 2 AND hv % 7 <> 6 AND hv % 11 <> 3 AND (NOT unreadable OR attempt = 1)),
+    ended AS (
+      SELECT d.doc_id, d.doc_id % 13 = 5 AS refused, coalesce(bool_or(unreadable), false) AS broken, coalesce(bool_or(NOT bad), false) AS won,
+        arg_min('result ' || hv, attempt) FILTER (NOT bad) AS result, arg_max('failed ' || hv, attempt) AS said, min(attempt) FILTER (NOT bad) AS first, max(attempt) AS last
+      FROM documents d LEFT JOIN counted c ON c.doc_id = d.doc_id GROUP BY d.doc_id)
+    SELECT s.sample_id AS job_id, CASE WHEN refused THEN '' ELSE question END AS question, CASE WHEN refused THEN md5('') ELSE answer END AS answer,
+      CASE WHEN refused THEN 'rejected' WHEN NOT broken AND won THEN 'done' ELSE 'error' END AS status,
+      CASE WHEN NOT refused AND NOT broken AND won THEN result END AS result_json,
+      CASE WHEN refused THEN 'k must be at least 1' WHEN broken THEN 'unreadable' WHEN NOT won THEN coalesce(said, 'never attempted') END AS error,
+      CASE WHEN refused THEN 0 WHEN broken THEN 1 WHEN won THEN first ELSE coalesce(last, 0) END AS attempts
+    FROM ({SANITIZED}) s JOIN ended e ON e.doc_id::VARCHAR = s.sample_id"""
+
+
+@query("job_flow", sql(JOB_FLOW, "req_masked"))
+def _(spark, d):
+    """Submitted, masked, attempted, retried, settled: two streams, one after the other, over files."""
+    inbox, sink, tried, ended = (scratch_path(spark, n) for n in ("inbox", "masked", "attempts", "ended"))
+    number = F.col("job_id").cast("bigint")
+    submitted = F.expr("timestamp'2024-03-01 00:00:00'") + F.make_interval(secs=(number % 3600).cast("int"))
+    k = F.when(number % 13 == 5, 0).otherwise(1)
+    options = F.struct(F.lit(None).cast("array<string>").alias("metrics"), k.alias("k"), F.lit(None).cast("boolean").alias("strict"), F.lit(None).cast("string").alias("privacy_mode"))
+    requests = pii_requests(spark, d).withColumnRenamed("sample_id", "job_id")
+    # The last event of each stream is a day later: it moves the clock on, so all jobs before it are closed.
+    clock = spark.range(1).select(F.lit("clock").alias("job_id"), F.lit("").alias("question"), F.lit("").alias("answer"), F.expr("timestamp'2024-03-02 12:00:00'").alias("submitted_at"))
+    requests.select("job_id", "question", "answer", "contexts", options.alias("options"), submitted.alias("submitted_at")).unionByName(clock, allowMissingColumns=True).write.json(inbox)
+    jobs.stream_sanitize(spark.readStream.schema(SUBMISSION).json(inbox), sink, scratch_path(spark, "check")).awaitTermination()
+
+    tries = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt"))
+    hv, unreadable = h(number, F.col("attempt"), "job"), h(number, "load") % 9 == 0
+    won = ~unreadable & (hv % 3 == 0)
+    in_time = F.when(hv % 11 == 3, F.make_interval(hours=F.lit(2))).otherwise(F.make_interval(mins=F.col("attempt")))
+    tries.filter(hv % 7 != 6).select(
+        "job_id", "attempt", unreadable.alias("unreadable"), F.when(won, F.concat(F.lit("result "), hv.cast("string"))).alias("result_json"),
+        F.when(unreadable, "unreadable").when(~won, F.concat(F.lit("failed "), hv.cast("string"))).alias("error"), (submitted + in_time).alias("attempted_at"),
+    ).unionByName(clock.select("job_id", F.lit(1).alias("attempt"), F.lit(False).alias("unreadable"), F.col("submitted_at").alias("attempted_at")), allowMissingColumns=True).write.json(tried)
+
+    stored = spark.readStream.schema(spark.read.parquet(sink).schema).parquet(sink)
+    attempts = spark.readStream.schema(flow.ATTEMPT).json(tried)
+    run = flow.job_flow(stored, attempts, "1 hour").writeStream.format("parquet").option("path", ended).option("checkpointLocation", scratch_path(spark, "check"))
+    run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    masked = spark.read.parquet(sink).filter("job_id <> 'clock'").select("job_id", "question", F.md5("answer").alias("answer"))
+    return masked.join(spark.read.parquet(ended), "job_id")
+
+
 @query("conversation_sanitize", sql(
     """SELECT r.conv_id || '-' || r.turn AS sample_id, md5(r.text) AS question, md5(a.text) AS answer
        FROM conversations r JOIN conversations a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1 AND a.role = 'assistant' WHERE r.role = 'user'"""))

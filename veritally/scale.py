@@ -267,7 +267,44 @@ def running_max(
     )
 
 
-def dense_row_number(df: DataFrame, order: str, out: str, bin_width: int = 65536) -> DataFrame:
-    """0-based position along a numeric column with distinct values, with no one-task window."""
-    numbered = running_totals(df.withColumn("_one", F.lit(1).cast("long")), [], order, ["_one"], 1.0 / bin_width)
-    return numbered.withColumn(out, F.col("_one_before")).drop("_one", "_one_before", "_one_total")
+def _in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """`df` stored in ranges along `order`, with `_part`, the number of the range, and `_at`, the position inside it.
+
+    One shuffle and one write. The numbers come from the order of the stored rows themselves, so no
+    window sorts anything, and they are stored, so a lost executor cannot change them.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    row = F.monotonically_increasing_id()  # the partition above 33 bits that count its rows
+    return materialize(ranged.withColumn("_at", row).select("*", F.shiftright("_at", 33).alias("_part")).withColumn("_at", F.expr("_at & 8589934591")), "ranges")
+
+
+def _range_totals(stored: DataFrame, value: Column) -> DataFrame:
+    """(_part, _base): the total of `value` in the ranges before each. A row per shuffle partition, whatever the table."""
+    totals = sorted((r._part, int(r._sum or 0)) for r in stored.groupBy("_part").agg(F.sum(value).alias("_sum")).collect())
+    carried, rows = 0, []
+    for part, total in totals:
+        rows.append((part, carried))
+        carried += total
+    return stored.sparkSession.createDataFrame(rows, "_part long, _base long")
+
+
+def dense_row_number(df: DataFrame, order: str | Sequence[str], out: str, bin_width: int | None = None) -> DataFrame:
+    """0-based position along columns that name a row (ties are numbered in any order), however sparse their values.
+
+    Two passes: the rows of every range are counted, and a row's number is its place
+    in its range after the counts of the ranges before. Nothing is sorted in one task. `bin_width` has
+    no effect any more: ranges follow the rows, not the values.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    stored = _in_ranges(df, order)
+    carry = _range_totals(stored, F.lit(1).cast("long"))
+    return stored.join(carry, "_part").withColumn(out, F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
+
+
+def prefix_sums(df: DataFrame, order: Sequence[str], weight: str, out: str) -> DataFrame:
+    """Adds the total of `weight` over the rows that come earlier in `order`; a window holds one range only."""
+    stored = _in_ranges(df, order)
+    carry = _range_totals(stored, F.col(weight))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(weight).over(inside), F.lit(0).cast("long"))
+    return stored.withColumn(out, before).join(carry, "_part").withColumn(out, F.col(out) + F.col("_base")).drop("_part", "_at", "_base")

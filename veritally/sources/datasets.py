@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from veritally import schemas
 from veritally.functions import text
 from veritally.operators.agreement import keep_last
-from veritally.scale import HOT_KEY_ROWS, attach_small, beside, dense_row_number, exact_percentiles, skew_join
+from veritally.scale import HOT_KEY_ROWS, attach_small, beside, dense_row_number, exact_percentiles, prefix_sums, skew_join
+from veritally.session import materialize
 
 FILE_ORDER = ("source_path", "block_start", "row_in_scan")
 
@@ -29,17 +30,18 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def file_row_index(df: DataFrame, out: str) -> DataFrame:
-    """0-based row number over files in path order, numbered block by block."""
-    inside = Window.partitionBy("source_path", "block_start").orderBy("row_in_scan")
-    sizes = df.groupBy("source_path", "block_start").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per file block: about a million of them in 128 TB.
-    carry = sizes.select(
-        "source_path", "block_start",
-        (F.sum("_n").over(Window.orderBy("source_path", "block_start")) - F.col("_n")).alias("_carry"),
-    )
-    return attach_small(df, carry, ["source_path", "block_start"], "inner", max_rows=2_000_000).withColumn(
-        out, F.col("_carry") + F.row_number().over(inside) - 1
-    ).drop("_carry", *FILE_ORDER)
+    """0-based row number over files in path order, numbered block by block.
+
+    A task reads the rows of a file block in order and numbers them without gaps, so a row's place in its
+    block is its number less the block's first. What is summed along the files is a row per block.
+    `df` must not have lost rows since the scan. It is stored first: the numbers of a scan hold for that scan only.
+    """
+    block = ["source_path", "block_start"]
+    stored = materialize(df, "scan")
+    sizes = stored.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("row_in_scan").alias("_first"))
+    blocks = materialize(prefix_sums(sizes, block, "_n", "_carry").drop("_n"), "blocks")
+    # The planner knows the bytes of the stored table of blocks and broadcasts it only when it is small.
+    return stored.join(blocks, block).withColumn(out, F.col("_carry") + F.col("row_in_scan") - F.col("_first")).drop("_carry", "_first", *FILE_ORDER)
 
 
 # -- response / source pairs ------------------------------------------------------------------
