@@ -50,3 +50,11 @@ def test_strata_are_cut_before_the_shuffle(spark):
     pool = derive.samples(spark, SF_DIR).filter("label_hallucinated is not null")
     text = plan(datasets.stratified_sample(pool, 20))
     assert "WindowGroupLimit" in text and text.index("WindowGroupLimit") < text.rindex("WindowGroupLimit")
+
+
+def test_spans_are_merged_in_one_read_and_two_shuffles(spark):
+    spans = spark.createDataFrame([(1, 0, 4, "A", 0.5)], "doc_id long, start int, end int, entity_type string, score double").repartition(2, "start")
+    base = plan(spans).count("Exchange")
+    assert plan(privacy.merge_overlapping_spans(spans)).count("Exchange hashpartitioning") == base + 2
+    text = plan(entry.queries()["merge_overlapping_spans"](spark, SF_DIR))
+    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") <= 3  # one of them spreads the documents

@@ -112,7 +112,7 @@ def test_a_batch_reads_as_much_as_it_brings_however_many_came_before(spark, tmp_
     # Another stream over the same folder knows nothing by state; all that is old, or was there before it, is compared.
     scoring(spark, folder, plans, "other")
     assert "2024-05-04" in plans[10] and "2024-05-01" in plans[11] and "2024-05-04" not in plans[11]
-    assert any("day_part" in part[:300] for part in plans[11].split("PartitionFilters")[1:])
+    assert any("_part" in part[:300] for part in plans[11].split("PartitionFilters")[1:])
     ids = sorted(str(r.sample_id) for r in spark.read.parquet(f"{folder}/rows").collect())
     assert [i for i in ids if not i.startswith("s")] == ["None", "None", "old1", "old2", "old3", "untimed"]
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from veritally.functions import spans as S
 from veritally.functions.stats import f1_score, ratio_or_one
 from veritally.functions.text import safe_entity_type
-from veritally.scale import HOT_KEY_ROWS, SMALL_SIDE_ROWS, running_max, salted_join, skew_join
+from veritally.scale import HOT_KEY_ROWS, SMALL_SIDE_ROWS, salted_join, skew_join
 
 CHUNK_CHARS = 32_768
-"""Width of the stretches of text that running maxima are computed over."""
+"""Width of the stretches of text in which overlapping runs are found first."""
 
 
 # -- detection --------------------------------------------------------------------------------
@@ -137,32 +137,61 @@ def detect_with(
 # -- merging and matching span tables ---------------------------------------------------------
 
 
+def _local_runs(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds `_chunk`, the stretch of text in which a span begins, and `_run`, the start of its overlapping run as far as the stretch alone tells."""
+    chunk = spans.withColumn("_chunk", F.floor(F.col("start") / CHUNK_CHARS))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("start", "end")
+    reach = F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    opens = chunk.withColumn("_opens", F.when(reach.isNull() | (F.col("start") >= reach), F.col("start")))
+    return opens.withColumn("_run", F.max("_opens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_opens")
+
+
+def _joined_runs(runs: DataFrame, keys: Sequence[str], out: str, payload: Sequence[str]) -> DataFrame:
+    """Runs of stretches as runs of whole texts: `out` is the start of the run that each one belongs to.
+
+    A stretch hands on two numbers, where its last run begins and ends; what it makes of the open run
+    before it follows from those, so one scan over the stretches of a text is enough. A run that begins
+    before the reach of what came earlier belongs to the run that was open. The runs of a stretch travel as one array,
+    of at most as many entries as the stretch has characters.
+    """
+    packed = runs.groupBy(*keys, "_chunk").agg(
+        F.collect_list(F.struct("_run", "_end", *payload)).alias("_runs"), F.max("_run").alias("_last"), F.max("_end").alias("_top")
+    )
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    reached = packed.withColumn("_reach", F.max("_top").over(before))
+    opened = F.when(F.col("_reach").isNull() | (F.col("_last") >= F.col("_reach")), F.col("_last"))
+    carried = reached.withColumn("_opened", opened).withColumn("_open", F.max("_opened").over(before))
+    each = carried.select(*keys, "_reach", "_open", F.explode("_runs").alias("_r"))
+    own = F.col("_reach").isNull() | (F.col("_r._run") >= F.col("_reach"))
+    return each.select(*keys, F.when(own, F.col("_r._run")).otherwise(F.col("_open")).alias(out), F.col("_r._end").alias("_end"), *[F.col(f"_r.{c}").alias(c) for c in payload])
+
+
 def span_islands(spans: DataFrame, keys: Sequence[str] = ("doc_id",), out: str = "island") -> DataFrame:
     """Number overlapping runs of spans by the start of the run.
 
-    Two running maxima along the text: the furthest end so far tells where a run starts, and
-    the last such start names the run. Both are computed in stretches of text, so one
-    document with very many spans does not end up in one task.
+    Runs are found within stretches of text first and then joined across them: one read, one shuffle by
+    (text, stretch) and one by text. The spans of a run travel together, as the matching that follows needs them.
     """
     keys = list(keys)
-    chunked = spans.withColumn("_chunk", F.floor(F.col("start") / CHUNK_CHARS))
-    order = ["start", "end"]
-    reached = running_max(chunked, keys, "_chunk", order, F.col("end"), "_reach", inclusive=False)
-    opens = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start"))
-    return running_max(reached, keys, "_chunk", order, opens, out, inclusive=True).drop("_reach", "_chunk")
+    others = [c for c in spans.columns if c not in keys]
+    runs = _local_runs(spans, keys).groupBy(*keys, "_chunk", "_run").agg(F.max("end").alias("_end"), F.collect_list(F.struct(*others)).alias("_spans"))
+    joined = _joined_runs(runs, keys, out, ["_spans"])
+    return joined.select(*keys, out, F.explode("_spans").alias("_s")).select(*keys, *[F.col(f"_s.{c}").alias(c) for c in others], out)
 
 
 def merge_overlapping_spans(spans: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Merge overlapping span rows; the best score names the type, the earliest on a tie."""
     keys = list(keys)
+    best = F.struct((-F.col("score")).alias("minus"), "start", "end", "entity_type")
+    # A run is one row from here on, however many spans it holds.
+    runs = _local_runs(spans, keys).groupBy(*keys, "_chunk", "_run").agg(
+        F.max("end").alias("_end"), F.min(best).alias("_best"), F.max("score").alias("score")
+    )
     return (
-        span_islands(spans, keys)
-        .groupBy(*keys, F.col("island").alias("start"))
-        .agg(
-            F.max("end").alias("end"),
-            F.min_by("entity_type", F.struct(-F.col("score"), "start", "end", "entity_type")).alias("entity_type"),
-            F.max("score").alias("score"),
-        )
+        _joined_runs(runs, keys, "start", ["_best", "score"])
+        .groupBy(*keys, "start")
+        .agg(F.max("_end").alias("end"), F.min("_best").alias("_best"), F.max("score").alias("score"))
+        .select(*keys, "start", "end", F.col("_best.entity_type").alias("entity_type"), "score")
     )
 
 

@@ -148,13 +148,15 @@ register_cte("noisy_merged", merge_sql("noisy", "doc_id", "noisy_merged").strip(
 
 
 def noisy_spans(spark, d):
-    found = materialize(P.detect_pii(pii_docs(spark, d)), "spans")
+    """Every span with a moved copy of itself beside it."""
+    found = P.detect_pii(pii_docs(spark, d))
     shift = h(F.col("doc_id"), F.col("start"))
-    moved = found.select(
-        "doc_id", (F.col("start") + shift % 9).cast("int").alias("start"), (F.col("end") + shift % 12).cast("int").alias("end"),
+    moved = F.struct(
+        (F.col("start") + shift % 9).cast("int").alias("start"), (F.col("end") + shift % 12).cast("int").alias("end"),
         F.lit("SHIFTED").alias("entity_type"), (0.3 + (h(F.col("doc_id"), F.col("end")) % 7) / F.lit(10.0)).alias("score"),
     )
-    return found.unionByName(moved)
+    both = F.explode(F.array(F.struct("start", "end", "entity_type", "score"), moved)).alias("s")
+    return found.select("doc_id", both).select("doc_id", "s.*")
 
 
 @query("merge_overlapping_spans", sql("SELECT doc_id, s::INT AS start, e::INT AS \"end\", entity_type, round(score, 9) AS score FROM noisy_merged", "noisy_merged"))
@@ -164,7 +166,7 @@ def _(spark, d):
 
 @query("overlap_join", sql("SELECT a.doc_id, a.s::INT AS ls, a.e::INT AS le, b.s::INT AS rs, b.e::INT AS re FROM doc_spans a JOIN noisy b ON a.doc_id = b.doc_id AND a.s < b.e AND b.s < a.e WHERE b.entity_type = 'SHIFTED'", "noisy"))
 def _(spark, d):
-    both = noisy_spans(spark, d)
+    both = materialize(noisy_spans(spark, d), "spans")
     joined = P.overlap_join(both.filter("entity_type <> 'SHIFTED'"), both.filter("entity_type = 'SHIFTED'"))
     return joined.select("doc_id", F.col("l.start").alias("ls"), F.col("l.end").alias("le"), F.col("r.start").alias("rs"), F.col("r.end").alias("re"))
 
