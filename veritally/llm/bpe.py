@@ -32,8 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Unicode white space, as the vocabulary's normaliser takes it.
 SPACE = r"\p{White_Space}"
-#: Pieces kept in a worker's cache before it starts anew.
-CACHE_PIECES = 200_000
+#: Entries in the young half of a worker's cache. When it is full it becomes the old half, and what is still used moves back.
+CACHE_PIECES = 150_000
+LONGEST_CACHED = 64
+#: Stops that are a piece of their own after letters.
+STOPS = ".,;:!?"
 PAIR_BITS = 24
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, decoded string"
@@ -63,6 +66,14 @@ class Vocabulary:
             left, right = m.split(" ") if isinstance(m, str) else m
             self.ranks[self.ids[left] << PAIR_BITS | self.ids[right]] = rank
             self.merged.append(self.ids[left + right])
+        #: The same by left id: its partners and their ranks.
+        none: dict[int, int] = {}
+        self.partners = [none] * (1 + max([0, *self.ids.values()]))
+        for pair, rank in self.ranks.items():
+            left = pair >> PAIR_BITS
+            if not self.partners[left]:
+                self.partners[left] = {}
+            self.partners[left][pair & ((1 << PAIR_BITS) - 1)] = rank
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.specials.items()}
         visible = byte_characters()
@@ -72,8 +83,10 @@ class Vocabulary:
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.space = regex.compile(f"{SPACE}+")
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.piece_cache: dict[str, list[int]] = {}
+        self.packed = {i: struct.pack("<I", i) for i in self.strings}
+        # Pieces, and runs of text without blanks, with their packed ids and the text these decode to.
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge the symbols (ids) of one piece until no adjacent pair has a rank.
@@ -82,8 +95,8 @@ class Vocabulary:
         that now begins at that place has that very rank.
         """
         n = len(symbols)
-        find, merged = self.ranks.get, self.merged
-        ranks = [find(a << PAIR_BITS | b, -1) for a, b in zip(symbols, symbols[1:], strict=False)]
+        partners, merged = self.partners, self.merged
+        ranks = [partners[a].get(b, -1) for a, b in zip(symbols, symbols[1:], strict=False)]
         ranks.append(-1)
         place_bits = n.bit_length()
         place = (1 << place_bits) - 1
@@ -106,41 +119,59 @@ class Vocabulary:
             after[i] = k
             if k < n:
                 before[k] = i
-                r = find(symbol << PAIR_BITS | symbols[k], -1)
+                r = partners[symbol].get(symbols[k], -1)
                 if r >= 0:
                     ranks[i] = r
                     heapq.heappush(heap, r << place_bits | i)
             h = before[i]
             if h >= 0:
-                r = ranks[h] = find(symbols[h] << PAIR_BITS | symbol, -1)
+                r = ranks[h] = partners[symbols[h]].get(symbol, -1)
                 if r >= 0:
                     heapq.heappush(heap, r << place_bits | h)
         return [s for s in symbols if s >= 0]
 
-    def _piece_ids(self, piece: str) -> list[int]:
-        found = self.piece_cache.get(piece)
+    def decode(self, ids: list[int]) -> str:
+        strings = self.strings
+        return " ".join([strings[i] for i in ids if i in strings])
+
+    def _known(self, key: str) -> tuple[bytes, str] | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+    def _keep(self, key: str, found: tuple[bytes, str]) -> tuple[bytes, str]:
+        if len(key) <= LONGEST_CACHED:
+            if len(self.young) >= CACHE_PIECES:
+                self.old, self.young = self.young, {}
+            self.young[key] = found
+        return found
+
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        """Ids (little-endian, 32 bits) and decoded text of one piece."""
+        found = self._known(piece)
         if found is None:
             raw = piece.encode()
-            symbols = [self.byte_ids[b] for b in raw]
+            byte_ids = self.byte_ids
+            symbols = [byte_ids[b] for b in raw]
             symbols[-1] = self.last_ids[raw[-1]]
-            found = self.merge([s for s in symbols if s is not None])
-            if len(piece) <= 64:
-                if len(self.piece_cache) >= CACHE_PIECES:
-                    self.piece_cache.clear()
-                self.piece_cache[piece] = found
+            ids = self.merge([s for s in symbols if s is not None])
+            packed = self.packed
+            found = self._keep(piece, (b"".join([packed[i] for i in ids]), self.decode(ids)))
         return found
 
-    def decode(self, ids: list[int]) -> str:
-        strings = self.strings
-        return " ".join([strings[i] for i in ids if i in strings])
-
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (little-endian, 32 bits) and decoded text of a run of text without blanks."""
-        if chunk.isascii() and chunk.isalpha():
-            ids = self._piece_ids(chunk)
+        """The same of a run of text without blanks."""
+        base = chunk.rstrip(STOPS)
+        if base.isascii() and base.isalpha():
+            if len(base) == len(chunk):
+                return self._piece(chunk)
+            parts = [self._piece(base), self._piece(chunk[len(base) :])]
         else:
-            ids = [i for piece in self.pieces.findall(chunk) for i in self._piece_ids(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+            parts = [self._piece(piece) for piece in self.pieces.findall(chunk)]
+            if len(parts) == 1:
+                return parts[0]
+        return self._keep(chunk, (b"".join([a for a, _ in parts]), " ".join([b for a, b in parts if a])))
 
     def _plain(self, text: str, out: list[tuple[bytes, str]]) -> None:
         if text.isascii():
@@ -148,17 +179,13 @@ class Vocabulary:
         else:
             # Letters are lowered one by one, so a capital sigma never depends on its place.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        cache = self.cache
-        for chunk in self.space.sub(" ", text).split(" "):
-            if chunk:
-                found = cache.get(chunk)
-                if found is None:
-                    found = self._chunk(chunk)
-                    if len(chunk) <= 64:
-                        if len(cache) >= CACHE_PIECES:
-                            cache.clear()
-                        cache[chunk] = found
-                out.append(found)
+        chunks = self.space.sub(" ", text).split(" ")
+        known = self.young.get
+        found = [known(c) for c in chunks]
+        for i, c in enumerate(chunks):
+            if found[i] is None and c:
+                found[i] = self._known(c) or self._chunk(c)
+        out += [f for f in found if f]
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the text they decode to."""
