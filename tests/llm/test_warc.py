@@ -50,6 +50,10 @@ def test_small_payloads_may_be_kept(spark):
 def test_repeated_rows_and_an_empty_table(spark):
     rows = spark.createDataFrame([PAGES[0], PAGES[0], PAGES[3]], SCHEMA)
     assert sorted((r.page_id, r.record_type) for r in warc.archive_pages(rows).collect()) == [(1, "revisit"), (1, "revisit"), (4, "response")]
+    # The row that holds the largest page twice: one response, the other revisits it.
+    twice = warc.archive_pages(spark.createDataFrame([PAGES[0], PAGES[3], PAGES[3], PAGES[3]], SCHEMA).repartition(3)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in twice if r.record_type == "revisit") == [(1, "revisit", 4), (4, "revisit", 4), (4, "revisit", 4)]
+    assert [(r.page_id, r.refers_to) for r in twice if r.record_type == "response"] == [(4, None)] and len({r.record_id for r in twice}) == 4
     assert warc.archive_pages(rows.limit(0)).count() == 0
 
 

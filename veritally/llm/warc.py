@@ -3,7 +3,7 @@
 An ARC file begins with a `filedesc:` record whose body names the version; that fixes the fields
 of every later header line (five in version 1, ten in version 2). The body length is always the
 last field, so records are cut by length and never by what their bodies look like. Each record
-becomes a WARC record: an identifier derived from its URL, date and digest, an ISO timestamp,
+becomes a WARC record: an identifier derived from its place, URL, date and digest, an ISO timestamp,
 a type (`response` for HTTP, `resource` else, `revisit` for a payload that another record holds),
 and SHA-1 digests of block and payload.
 
@@ -12,8 +12,8 @@ system that Spark reaches, and are read back file by file as a stream of records
 one compressed file and one record. Input partitions bound the size of a file.
 
 Defined cases: a null page is an empty payload; a row without a URL gets `unknown:`; blanks in
-a URL are escaped; repeated rows give records with the same identifier, one of which (any, they
-are equal) is the response; an empty table gives no archive. A file whose declared length runs
+a URL are escaped; repeated rows give records of their own, and of rows that are alike in page and
+payload one is the response; an empty table gives no archive. A file whose declared length runs
 past its end fails with its name, because what follows cannot be told apart.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.session import scratch_path
+from veritally.session import materialize, scratch_path
 
 #: Fields of an ARC header line, by version. Fixed by the format.
 ARC_FIELDS = {
@@ -40,7 +40,7 @@ ORIGIN = "veritally"
 DEFAULT_DATE = "19960101000000"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-ARC_RECORD = "file string, version int, url string, ip string, arc_date string, content_type string, result_code string, block binary"
+ARC_RECORD = "file string, place bigint, version int, url string, ip string, arc_date string, content_type string, result_code string, block binary"
 WARC_RECORD = "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, refers_to_id string, headers map<string,string>, block binary"
 
 
@@ -185,13 +185,13 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, limit: int = 4 << 20) -> I
 
 def read_arc(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per ARC record."""
-    schema = pa.schema([("file", pa.string()), ("version", pa.int32()), *((n, pa.string()) for n in ("url", "ip", "arc_date", "content_type", "result_code")), ("block", pa.binary())])
+    schema = pa.schema([("file", pa.string()), ("place", pa.int64()), ("version", pa.int32()), *((n, pa.string()) for n in ("url", "ip", "arc_date", "content_type", "result_code")), ("block", pa.binary())])
 
     def read(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 records = parse_arc(Bytes(content.as_buffer(), name))
-                yield from _batches(({"file": name, **r} for r in records), schema)
+                yield from _batches(({"file": name, "place": i, **r} for i, r in enumerate(records)), schema)
 
     return files(spark, path).mapInArrow(read, ARC_RECORD)
 
@@ -245,6 +245,8 @@ def iso_date(arc_date: str | None) -> str:
 
 CONVERTED = "record_id string, rank string, url string, ip string, warc_date string, payload_digest string, payload_bytes bigint, content_type string, head binary, payload binary"
 _CONVERTED = pa.schema([*((n, pa.string()) for n in ("record_id", "rank", "url", "ip", "warc_date", "payload_digest")), ("payload_bytes", pa.int64()), ("content_type", pa.string()), ("head", pa.binary()), ("payload", pa.binary())])
+FACTS_ONLY = "record_id string, rank string, payload_digest string, payload_bytes bigint"
+_FACTS_ONLY = pa.schema([("record_id", pa.string()), ("rank", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())])
 
 
 def http_header(head: bytes, name: str) -> str | None:
@@ -256,11 +258,15 @@ def http_header(head: bytes, name: str) -> str | None:
     return None
 
 
-def converted(arc: DataFrame, rank_header: str = "") -> DataFrame:
+def converted(arc: DataFrame, rank_header: str = "", facts_only: bool = False) -> DataFrame:
     """ARC records with what WARC needs: identifier, timestamp, digest, and the HTTP header apart from the payload.
 
-    `rank` is the value of the named HTTP header, by which one of several equal payloads is chosen.
+    The identifier is made from the record and its place in its archive, so equal records have different ones. `rank` is the
+    value of the named HTTP header, by which one of several equal payloads is chosen. With `facts_only` neither headers nor
+    payloads leave the task.
     """
+    schema = _FACTS_ONLY if facts_only else _CONVERTED
+    names = schema.names
 
     def convert(batches):
         for batch in batches:
@@ -270,21 +276,25 @@ def converted(arc: DataFrame, rank_header: str = "") -> DataFrame:
                     head, payload = http_parts(r["block"])
                     digest = sha1(payload)
                     rank = http_header(head, rank_header) if rank_header else None
-                    seed = "\n".join((r["url"], r["arc_date"], digest, rank or ""))
+                    seed = "\n".join((r["file"].rsplit("/", 1)[-1], str(r["place"]), r["url"], r["arc_date"], digest, rank or ""))
                     record_id = f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(seed.encode()).digest()[:16], version=4)}>"
-                    out.append((record_id, rank, r["url"], r["ip"], iso_date(r["arc_date"]), digest, len(payload), r["content_type"], head, payload))
-                columns = zip(*out, strict=True) if out else [()] * len(_CONVERTED)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONVERTED, strict=True)], schema=_CONVERTED)
+                    facts = {"record_id": record_id, "rank": rank, "payload_digest": digest, "payload_bytes": len(payload)}
+                    if not facts_only:
+                        facts |= {"url": r["url"], "ip": r["ip"], "warc_date": iso_date(r["arc_date"]), "content_type": r["content_type"], "head": head, "payload": payload}
+                    out.append(facts)
+                yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in out], schema.field(n).type) for n in names], schema=schema)
 
-    return arc.select("url", "ip", "arc_date", "content_type", "block").mapInArrow(convert, CONVERTED)
+    return arc.select("file", "place", "url", "ip", "arc_date", "content_type", "block").mapInArrow(convert, FACTS_ONLY if facts_only else CONVERTED)
 
 
-def with_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
+def with_revisits(records: DataFrame, facts: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Adds `refers_to_id`: the record that holds the same payload and has the largest rank; null for that record itself.
 
-    Payloads under `least_bytes` are always kept. Ranks are whole numbers; a null rank is the smallest.
+    `facts` has the identifiers, ranks, digests and sizes of the same records, stored, so their payloads need not be read for
+    it. Payloads under `least_bytes` are always kept. Ranks are whole numbers; a null rank is the smallest, and of
+    equal ranks the largest identifier counts.
     """
-    shared = records.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
+    shared = facts.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
     top = F.max(F.struct(F.col("rank").cast("bigint").alias("rank"), F.col("record_id").alias("top_id")))
     holders = shared.agg(top.alias("top"), F.count("*").alias("n")).filter("n > 1").select(F.col("payload_digest").alias("same"), "top.top_id")
     joined = records.join(holders, F.col("payload_digest") == F.col("same"), "left")
@@ -332,7 +342,9 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 def convert_archives(spark: SparkSession, arc_path: str | list[str], warc_path: str, rank_header: str = "", least_bytes: int = 0) -> None:
     """ARC archives to WARC archives, equal payloads stored once."""
-    write_warc(with_revisits(converted(read_arc(spark, arc_path), rank_header), least_bytes), warc_path)
+    arc = read_arc(spark, arc_path)
+    facts = materialize(converted(arc, rank_header, facts_only=True), "arc_facts")
+    write_warc(with_revisits(converted(arc, rank_header), facts, least_bytes), warc_path)
 
 
 # ---- pages ----------------------------------------------------------------------------------
@@ -381,7 +393,8 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, version: int = 2) -> D
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     write_arc(page_records(pages), arc, version)
     convert_archives(spark, arc, warc, PAGE_HEADER, least_bytes)
-    facts = page_facts(read_warc(spark, warc))
-    holders = facts.filter("record_type != 'revisit'").select(F.col("record_id").alias("held_id"), F.col("page_id").alias("refers_to")).dropDuplicates(["held_id"])
+    # Stored: both sides of the join below need them, and the archives are to be read once.
+    facts = materialize(page_facts(read_warc(spark, warc)), "page_facts")
+    holders = facts.filter("record_type != 'revisit'").select(F.col("record_id").alias("held_id"), F.col("page_id").alias("refers_to"))
     joined = facts.join(holders, F.col("refers_to_id") == F.col("held_id"), "left")
     return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri", "warc_date")
