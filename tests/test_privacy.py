@@ -1,12 +1,14 @@
 """Spans, masking and detection quality, against plain Python where the rule is sequential."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import by
 from veritally.functions import spans as S
+from veritally.operators import names as names_module
 from veritally.operators import privacy as P
 from veritally.sources import corpus
 
@@ -262,3 +264,32 @@ def test_a_list_too_large_to_send_is_joined(spark, monkeypatch):
     assert large.columns == small.columns
     assert sorted(large.collect(), key=key) == sorted(small.collect(), key=key)
     assert sorted(P.sanitize_requests(large).collect(), key=key) == sorted(P.sanitize_requests(small).collect(), key=key)
+
+
+def plain_hits(text, names):
+    """By the definition: every run of words, compared with the list."""
+    places = [(m.start(), m.end()) for m in re.finditer(names_module.WORD, text or "")]
+    return sorted((a, e, text[a:e], t) for i, (a, _) in enumerate(places) for _, e in places[i:] for s, t in names if s == text[a:e])
+
+
+@pytest.mark.parametrize("bound", [1000, 7])
+def test_the_automaton_finds_what_comparing_every_run_of_words_does(spark, bound):
+    rng = random.Random(4)
+    words = ["a", "b", "ab", "ba", "São", "🎈", "o'neil", "x-y"]
+    names = {(" ".join(rng.choices(words, k=rng.randrange(1, 5))), rng.choice(["PERSON", "LOCATION"])) for _ in range(40)}
+    names |= {("a.", "PERSON"), ("(b", "PERSON"), ("", "PERSON"), ("a, b", "LOCATION"), ("ab  ba", "PERSON")}
+    texts = [(str(i), "".join(rng.choice(words) + rng.choice([" ", " ", "  ", ", ", ".", "\n", " "]) for _ in range(rng.randrange(0, 40)))) for i in range(40)]
+    texts += [("none", None), ("same", texts[3][1]), ("same", texts[3][1])]
+    docs = spark.createDataFrame(texts, "doc_id string, text string").repartition(3)
+    listed = spark.createDataFrame(sorted(names) + [(None, "PERSON")], "surface string, entity_type string")
+    got = sorted((r.doc_id, r.start, r.end, r.surface, r.entity_type) for r in names_module.find_names(docs, listed, bound).collect())
+    assert got == sorted((d, *h) for d, t in texts for h in plain_hits(t, names)) and len(got) > 100
+
+
+def test_a_long_list_is_never_in_one_task_nor_on_the_driver(spark):
+    docs = spark.createDataFrame([(i, f"n{i} n{i + 1}") for i in range(50)], "doc_id long, text string")
+    listed = spark.range(5000).selectExpr("concat('n', id) surface", "'PERSON' entity_type")
+    found = names_module.find_names(docs, listed, 500)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in text and "Join" not in text
+    assert found.count() == 100

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.functions import spans as S
 from veritally.functions.stats import f1_score, ratio_or_one
 from veritally.functions.text import safe_entity_type
-from veritally.scale import HOT_KEY_ROWS, SMALL_SIDE_ROWS, salted_join, skew_join
+from veritally.operators.names import find_names, name_finder
+from veritally.scale import HOT_KEY_ROWS, SMALL_SIDE_ROWS, skew_join
 
 CHUNK_CHARS = 32_768
 """Width of the stretches of text in which overlapping runs are found first."""
@@ -41,70 +40,10 @@ def detect_pii(
     return found.unionByName(detect_gazetteer(docs, gazetteer.filter(F.col("entity_type").isin(*entities))))
 
 
-# Fixed value: what separates words.
-WORD = r"[^\s.,;:!?()\[\]{}\"]+"
-
-NGRAMS = "start int, end int, surface string"
-FLUSH_ROWS = 100_000
-
-
-def word_ngrams(docs: DataFrame, longest: int, names: frozenset[str] | None = None, id_type: str = "bigint") -> DataFrame:
-    """(doc_id, start, end, surface) of every run of 1 to `longest` words in a text.
-
-    With `names` only the listed surfaces leave the task. Offsets are a running sum over all
-    words of a text; array functions would copy the array at every word, so the words are
-    cut in Arrow batches and sent on in pieces of bounded size.
-    """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = re.compile(WORD)
-        schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string())])
-        rows: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*rows)) if rows else [(), (), (), ()]
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-        for batch in batches:
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                starts: list[int] = []
-                for found in word.finditer(body or ""):
-                    starts.append(found.start())
-                    for first in starts[-longest:]:
-                        surface = body[first : found.end()]
-                        if names is None or surface in names:
-                            rows.append((doc, first, found.end(), surface))
-                    if len(rows) >= FLUSH_ROWS:
-                        yield flush()
-        yield flush()
-
-    return docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").mapInArrow(cut, f"doc_id {id_type}, {NGRAMS}")
-
-
-def detect_gazetteer(
-    docs: DataFrame,
-    gazetteer: DataFrame,
-    longest: int | None = None,
-    score: float = 0.85,
-    max_rows: int = SMALL_SIDE_ROWS,
-    keep_surface: bool = False,
-) -> DataFrame:
-    """Spans of listed names. A list that is small enough goes to every task, and only its
-    hits leave the task; a larger one is joined by surface, hot words salted. Names may have
-    any number of words: unless given, `longest` is that of the list."""
-    names = gazetteer.select("surface", "entity_type").distinct()
-    if longest is None:
-        longest = names.agg(F.coalesce(F.max(F.regexp_count("surface", F.lit(WORD))), F.lit(0))).first()[0]
-    head = names.limit(max_rows + 1).collect()
-    if len(head) <= max_rows:
-        local = docs.sparkSession.createDataFrame(head, names.schema)
-        listed = frozenset(row.surface for row in head)
-        hits = word_ngrams(docs, longest, listed).join(F.broadcast(local), "surface")
-    else:
-        hits = salted_join(word_ngrams(docs, longest), names, ["surface"], "inner")
+def detect_gazetteer(docs: DataFrame, gazetteer: DataFrame, score: float = 0.85, max_rows: int = SMALL_SIDE_ROWS, keep_surface: bool = False) -> DataFrame:
+    """Spans of listed names, of any number of words; a list over `max_rows` is cut in shards."""
     kept = ["surface"] if keep_surface else []
-    return hits.select("doc_id", "start", "end", "entity_type", F.lit(score).alias("score"), *kept)
+    return find_names(docs, gazetteer, max_rows).select("doc_id", "start", "end", "entity_type", F.lit(score).alias("score"), *kept)
 
 
 def detect_with(
@@ -375,31 +314,12 @@ def with_detector(requests: DataFrame, factory: Callable[[], Detector]) -> DataF
     return _with_spans(requests, factory, DETECTED)
 
 
-def name_finder(names: dict[str, str], score: float = 0.85) -> Callable[[], Detector]:
-    """A detector of listed names of any number of words; `names` gives each one's type."""
-    longest = max((len(re.findall(WORD, n)) for n in names), default=0)
-
-    def factory() -> Detector:
-        word = re.compile(WORD)
-
-        def find(text: str) -> list[tuple[int, int, str, float]]:
-            found, starts = [], []
-            for m in word.finditer(text):
-                starts = [*starts[-(longest - 1) :], m.start()] if longest > 1 else [m.start()]
-                found += [(a, m.end(), names[text[a : m.end()]], score) for a in starts if text[a : m.end()] in names]
-            return found
-
-        return find
-
-    return factory
-
-
 def with_names(requests: DataFrame, gazetteer: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Spans of a list (surface, entity_type) for every field, ready for `sanitize_requests`.
 
-    A list of up to SMALL_SIDE_ROWS names goes to every task; a larger one is joined by surface.
-    A bound that is given is kept: a larger list is an error then, and on a stream, where nothing
-    can be gathered per request. Of a surface with several types the first in order counts.
+    A list of up to SMALL_SIDE_ROWS names goes to every task; a larger one is cut in shards of that size, which the
+    fields pass one by one. A bound that is given is kept: a larger list is an error then, and on a stream, where
+    nothing can be gathered per request. Of a surface with several types the first in order counts.
     """
     bound = SMALL_SIDE_ROWS if max_rows is None else max_rows
     names = gazetteer.groupBy("surface").agg(F.min("entity_type").alias("entity_type"))
@@ -407,23 +327,12 @@ def with_names(requests: DataFrame, gazetteer: DataFrame, max_rows: int | None =
     if len(rows) <= bound:
         return _with_spans(requests, name_finder({r.surface: r.entity_type for r in rows if r.surface}), NAMED)
     if max_rows is not None or requests.isStreaming:
-        raise ValueError(f"the list has over {bound} names; without a bound, and on a table, they are joined")
-    return _with_joined_names(requests, names.filter(F.length("surface") > 0))
-
-
-def longest_surface(names: DataFrame) -> int:
-    """The most words in a surface, by the same rule that cuts the texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = re.compile(WORD)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([max((len(word.findall(s)) for s in batch.column(0).to_pylist()), default=0)], pa.int32())], names=["words"])
-
-    return names.select("surface").mapInArrow(count, "words int").agg(F.coalesce(F.max("words"), F.lit(0))).first()[0]
+        raise ValueError(f"the list has over {bound} names; without a bound, and on a table, they are searched in shards")
+    return _with_sharded_names(requests, names.filter(F.length("surface") > 0), bound)
 
 
-def _with_joined_names(requests: DataFrame, names: DataFrame, score: float = 0.85) -> DataFrame:
-    """What `_with_spans` adds, for a list of any size: runs of words are joined to it, hot ones salted.
+def _with_sharded_names(requests: DataFrame, names: DataFrame, bound: int, score: float = 0.85) -> DataFrame:
+    """What `_with_spans` adds, for a list of any size.
 
     Requests are known by a digest of their fields, since equal fields have equal spans.
     """
@@ -431,7 +340,7 @@ def _with_joined_names(requests: DataFrame, names: DataFrame, score: float = 0.8
     keyed = requests.withColumn("_fields", F.sha2(F.concat_ws(",", F.transform(fields, lambda t: F.sha2(t, 256))), 256))
     texts = keyed.select("_fields", F.posexplode(fields).alias("_field", "text")).dropDuplicates(["_fields", "_field"])
     texts = texts.select(F.concat_ws(":", "_fields", "_field").alias("doc_id"), "text")
-    hits = salted_join(word_ngrams(texts, longest_surface(names), id_type="string"), names, ["surface"], "inner")
+    hits = find_names(texts, names, bound)
     # In the order in which `name_finder` finds them.
     found = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("end", "start", "entity_type"))).alias("_s"))
     spans = F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), F.lit(score).alias("score")))
