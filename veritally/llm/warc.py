@@ -77,7 +77,7 @@ def arc_records(records: DataFrame, version: int = 2) -> DataFrame:
 def write_binary(records: DataFrame, path: str, separator: str) -> None:
     """Each partition's `record` bytes, with a separator after each, as one gzip file."""
     # A string column is written byte for byte, so the cast carries any payload.
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "gzip").text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 # ---- reading --------------------------------------------------------------------------------
@@ -297,7 +297,8 @@ def with_revisits(records: DataFrame, facts: DataFrame, least_bytes: int = 0) ->
     shared = facts.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
     top = F.max(F.struct(F.col("rank").cast("bigint").alias("rank"), F.col("record_id").alias("top_id")))
     holders = shared.agg(top.alias("top"), F.count("*").alias("n")).filter("n > 1").select(F.col("payload_digest").alias("same"), "top.top_id")
-    joined = records.join(holders, F.col("payload_digest") == F.col("same"), "left")
+    # Records carry their payloads: hashed holders, a narrow row per repeated payload, spare sorting those.
+    joined = records.join(holders.hint("shuffle_hash"), F.col("payload_digest") == F.col("same"), "left")
     return joined.withColumn("refers_to_id", F.when(F.col("top_id") != F.col("record_id"), F.col("top_id"))).drop("same", "top_id")
 
 
