@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from veritally.llm import maintext
+from veritally.llm import maintext, pagetree
 from veritally.llm.layouts import Writer
 from veritally.llm.pagetree import Page, features
 from veritally.llm.queries import pages
@@ -96,3 +96,16 @@ def test_trees_learn_a_rule():
     y = ((x[:, 0] > 0) & (x[:, 1] < 0.5)).astype(float)
     model = Boosted(x[:1500], y[:1500], np.ones(1500), rounds=30)
     assert ((model.logits(x[1500:]) > 0) == y[1500:]).mean() > 0.95
+
+
+@pytest.mark.parametrize("tag", sorted(pagetree.RAW - pagetree.RUNS_ON))
+def test_an_element_without_an_end_tag_takes_no_text_with_it(tag):
+    article = "<article><p>" + "One plain sentence of the article, long enough. " * 8 + "</p></article>"
+    pieces = lambda html: [text for *_, text in pagetree.Page(html).pieces]
+    assert pieces(f"<body><{tag} src=z>{article}</body>") == pieces(f"<body>{article}</body>")
+    assert pieces(f"<body><{tag} src=z>{'<' + tag + '>'}{article}</{tag}>{article}</body>") == pieces(f"<body>{article}</body>")
+
+
+def test_elements_that_run_on_to_the_end_of_the_page():
+    for tag in pagetree.RUNS_ON:
+        assert [text for *_, text in pagetree.Page(f"<body><p>before</p><{tag}><p>after</p>").pieces if text.strip()] == ["before"]

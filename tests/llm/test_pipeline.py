@@ -86,7 +86,11 @@ def test_mix_stage(spark, planted):
     for r in mixed:
         words[r.source] = words.get(r.source, 0) + len(r.text.split())
     total = sum(len((r[1] or "").split()) for r in rows)
-    assert abs(sum(words.values()) - total) <= 2
+    longest = {source: max(len((r[1] or "").split()) for r in rows if r[3] == source) for source in {r[3] for r in rows}}
+    assert abs(sum(words.values()) - total) <= sum(longest.values()) / 2 + 2
+    # Every text that comes out is one that went in, whole.
+    whole = {(r[0], r[1]) for r in rows}
+    assert all((r.doc_id, r.text) in whole for r in mixed)
 
 
 def test_an_empty_table(spark):

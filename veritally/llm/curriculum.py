@@ -6,8 +6,9 @@ what a full source cannot take is shared anew by weight among the others. That i
 over the sources, of which there is one row each.
 
 Inside a source the documents stand in the order of the md5 of their ids, pass after pass, and
-the mix takes words from the front until the target is met, so the document at the cut gives only
-the words that still fit and every source meets its target to the word. Offsets come from
+the mix takes documents from the front until the target is met. Documents are taken whole: the one at the
+cut is taken if at least half of it fits, so a source misses its target by half of that document at
+most. A document longer than its source's whole target follows the same rule: all of it or nothing. Offsets come from
 prefix sums in two levels: over 4,096 slices of the md5 within a source, then over the rows of
 one slice, so the rows of a hot source are summed and sorted in as many places.
 
@@ -93,45 +94,46 @@ def mix(
 ) -> DataFrame:
     """The input with `source_size`, `target`, `taken` and `uses`.
 
-    `uses` holds, for every pass in which the document is used, the words taken and the training
-    position (0..1) at which they stand. Columns of the input with these names are replaced.
+    `uses` holds, for every pass in which the document is used, the words taken (all it has) and the training
+    position (0..1) at which they stand. Columns of the input with these names are replaced; names that begin with
+    `_mix_` are this function's own, and an input that has one is refused.
     """
+    if clash := [c for c in sized.columns if c.startswith("_mix_")]:
+        raise ValueError(f"columns named {', '.join(clash)} are used inside the mix; rename them")
     key = order_key(F.col(id_col))
-    rows = sized.drop("source_size", "target", "taken", "uses").withColumn("_key", key).withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS))
-    slices = materialize(rows.groupBy(F.col(source_col).alias("source"), "_slice").agg(F.sum(size_col).alias("slice_size")), "slices")
-    within = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.drop("source_size", "target", "taken", "uses").withColumn("_mix_key", key).withColumn("_mix_slice", F.substring("_mix_key", 1, SLICE_DIGITS))
+    slices = materialize(rows.groupBy(F.col(source_col).alias("source"), "_mix_slice").agg(F.sum(size_col).alias("slice_size")), "slices")
+    within = Window.partitionBy("source").orderBy("_mix_slice").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, max_repeats)
-    starts = slices.withColumn("_start", F.coalesce(F.sum("slice_size").over(within), F.lit(0))).alias("a")
+    starts = slices.withColumn("_mix_start", F.coalesce(F.sum("slice_size").over(within), F.lit(0))).alias("a")
     starts = starts.join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(
-        F.col("a.source").alias("_source"), F.col("_slice").alias("_slice_of"), "_start", "source_size", "target", "turn"
+        F.col("a.source").alias("_mix_source"), F.col("_mix_slice").alias("_mix_slice_of"), "_mix_start", "source_size", "target", F.col("turn").alias("_mix_turn")
     )
-    rows = rows.join(starts, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_slice_of")))
-    before = Window.partitionBy("_source", "_slice_of").orderBy("_key", size_col).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_start", F.col("_start") + F.coalesce(F.sum(size_col).over(before), F.lit(0)))
+    rows = rows.join(starts, F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_slice") == F.col("_mix_slice_of")))
+    before = Window.partitionBy("_mix_source", "_mix_slice_of").orderBy("_mix_key", size_col).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_mix_start", F.col("_mix_start") + F.coalesce(F.sum(size_col).over(before), F.lit(0)))
 
     goal = F.round("target").cast("bigint")
     uses = []
     for turn in range(max_repeats):
-        start = F.col("_start") + turn * F.col("source_size")
+        start = F.col("_mix_start") + turn * F.col("source_size")
         share = F.coalesce(F.try_divide(start.cast("double"), goal.cast("double")), F.lit(0.0))
         position = F.lit(0.0)
         for n, knots in enumerate(schedules):
-            position = F.when(F.col("turn") % len(schedules) == n, invert_schedule(knots, share)).otherwise(position)
-        words = F.greatest(F.lit(0), F.least(F.col(size_col), goal - start)).cast("bigint")
+            position = F.when(F.col("_mix_turn") % len(schedules) == n, invert_schedule(knots, share)).otherwise(position)
+        # Whole or not at all: the document at the cut is taken when at least half of it fits.
+        fits = (F.col(size_col) > 0) & (2 * (goal - start) >= F.col(size_col))
+        words = F.when(fits, F.col(size_col)).otherwise(F.lit(0)).cast("bigint")
         uses.append(F.struct(words.alias("words"), position.alias("position")))
     rows = rows.withColumn("uses", F.filter(F.array(*uses), lambda u: u["words"] > 0))
     rows = rows.withColumn("taken", F.aggregate("uses", F.lit(0).cast("bigint"), lambda a, u: a + u["words"]))
-    return rows.drop("_key", "_slice", "_source", "_slice_of", "_start", "turn")
+    return rows.drop("_mix_key", "_mix_slice", "_mix_source", "_mix_slice_of", "_mix_start", "_mix_turn")
 
 
-def training_order(mixed: DataFrame, columns: list[str], text_col: str = "text", size_col: str = "size") -> DataFrame:
-    """One row per use of a document, range-sorted by training position; a cut use keeps its first words."""
-    rows = mixed.select(*columns, F.col(size_col).alias("_size"), F.explode("uses").alias("_use"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), 1, F.col("_use.words").cast("int")), " ")
-    rows = rows.withColumn(text_col, F.when(F.col("_use.words") < F.col("_size"), cut).otherwise(F.col(text_col)))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast("bigint"))
-    return rows.orderBy("_use.position", *[c for c in columns if c == "doc_id"]).select(*columns)
+def training_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per use of a document, whole, range-sorted by training position."""
+    rows = mixed.select(*columns, F.explode("uses").alias("_mix_use"))
+    return rows.orderBy("_mix_use.position", *[c for c in columns if c == "doc_id"]).select(*columns)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -158,7 +160,7 @@ rows AS (
     coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 taken AS (
-  SELECT *, (greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - source_size)) + greatest(0, least(size, goal - start - 2 * source_size)))::BIGINT AS taken,
+  SELECT *, (CASE WHEN size = 0 THEN 0 ELSE size * ((2 * (goal - start) >= size)::INT + (2 * (goal - start - source_size) >= size)::INT + (2 * (goal - start - 2 * source_size) >= size)::INT) END)::BIGINT AS taken,
     CASE WHEN goal > 0 THEN start / goal::DOUBLE ELSE 0 END AS share
   FROM rows)
 SELECT doc_id, size, source_size, target, taken,

@@ -30,7 +30,7 @@ from veritally.llm.pagetree import Page, features
 from veritally.llm.trees import Boosted
 
 TRAIN_PAGES = 200
-#: Longer pages are not among those that lend paragraphs, so the sample is bounded in bytes too.
+#: Of a longer page this many characters lend paragraphs, so the sample is bounded in bytes too.
 MOST_TRAIN_CHARS = 50_000
 LAYOUTS = 900
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint, n_nodes bigint, n_inside bigint"
@@ -85,10 +85,10 @@ def truth_of(page: Page) -> np.ndarray:
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, layouts: int = LAYOUTS, html_col: str = "html", id_col: str = "page_id") -> Boosted:
     """Trees fitted on layouts of the paragraphs of a bounded number of pages."""
-    usable = pages.filter(F.length(html_col).between(1, MOST_TRAIN_CHARS))
+    usable = pages.filter(F.length(html_col) > 0)
     # Only ids are ordered; the pages of the ids that were drawn, a fixed number, are all that is collected.
     drawn = usable.select(F.col(id_col).alias("_id")).orderBy("_id").limit(train_pages).distinct()
-    rows = usable.join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).select(id_col, F.col(html_col).alias("html")).limit(2 * train_pages).collect()
+    rows = usable.join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).select(id_col, F.substring(html_col, 1, MOST_TRAIN_CHARS).alias("html")).limit(2 * train_pages).collect()
     rows.sort(key=lambda r: (r[0], r["html"]))
     paragraphs = []
     for r in rows:

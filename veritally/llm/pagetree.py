@@ -16,6 +16,8 @@ import numpy as np
 # Element names of HTML, by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp template noscript svg math object canvas audio video select".split())
+# Of these, an element without an end tag takes in the rest of the page; of the others above, only its start tag goes.
+RUNS_ON = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
@@ -149,6 +151,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
+        never_closed: set[str] = set()
         while at < n:
             m = MARKUP.search(source, at)
             if m is None:
@@ -161,9 +164,14 @@ class Page:
             if m[1]:
                 self._end(tag)
             elif tag in RAW:
-                if not m[3].endswith("/"):
+                if not m[3].endswith("/") and tag not in never_closed:
                     close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
-                    at = close.end() if close else n
+                    if close:
+                        at = close.end()
+                    elif tag in RUNS_ON:
+                        at = n
+                    else:
+                        never_closed.add(tag)
                 if tag not in ("svg", "math", "script"):
                     self._block += 1
             elif tag == "head":
