@@ -41,9 +41,9 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each use of a document in the mix, in training order."""
+    """A row for each use of a document in the mix, whole, in training order."""
     sized = docs.select(*COLUMNS).withColumn("_size", curriculum.word_count(F.col("text")))
-    return curriculum.training_order(curriculum.mix(sized, size_col="_size"), COLUMNS, size_col="_size")
+    return curriculum.training_order(curriculum.mix(sized, size_col="_size"), COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
