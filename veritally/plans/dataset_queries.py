@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veritally import schemas
 from veritally.functions import text
-from veritally.operators import bookkeeping
+from veritally.operators import bookkeeping, locks
 from veritally.operators.agreement import keep_last
 from veritally.operators.metrics import failure_rows
 from veritally.plans.derive import (
@@ -98,6 +98,19 @@ def _(spark, d):
     return files.file_digests(spark, d, "*.parquet").drop("path")
 
 
+@query("file_digests_of_texts", sql(
+    """SELECT 'bucket=' || doc_id % 97 AS folder, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS sha256,
+         sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, sum(strlen(coalesce(text, '')) - strlen(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS lines
+       FROM documents GROUP BY doc_id % 97"""))
+def _(spark, d):
+    """The texts written as plain files, some of many, and the digests of those."""
+    path = scratch_path(spark, "texts")
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 97).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "value").write.partitionBy("bucket").text(path)
+    found = files.file_digests(spark, path, "part-*")
+    return found.select(F.regexp_extract("path", "(bucket=[0-9]+)/[^/]*$", 1).alias("folder"), "sha256", "bytes", "lines")
+
+
 @query("artifact_inventory", sql(
     """
     , listing AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN 'summary.md' WHEN 1 THEN 'results.json' WHEN 2 THEN 'notes/' || source || '.md' ELSE 'errors/error_analysis.md' END AS relative_path FROM documents),
@@ -451,6 +464,44 @@ def _(spark, d):
     return bookkeeping.verify_lock(lock(False), lock(True).filter("item <> 'file src2'"))
 
 
+def _lockable(spark, d):
+    return samples(spark, d).select("sample_id", "label_hallucinated", "task_type", F.col("sample_id").cast("bigint").alias("draw_order"))
+
+
+@query("lock_tree", sql(
+    """, placed AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id::BIGINT) - 1 AS n FROM samples),
+    leaves AS (SELECT n // 64 AS node, min(n) AS first, max(n) AS last, sha256(string_agg(sample_id, chr(10) ORDER BY n)) AS digest FROM placed GROUP BY n // 64)
+    SELECT 0 AS level, * FROM leaves UNION ALL SELECT 1, node // 8, min(first), max(last), sha256(string_agg(digest, '' ORDER BY node)) FROM leaves GROUP BY node // 8""", "samples"))
+def _(spark, d):
+    """The two lowest levels of the tree over all ids."""
+    return locks.hash_tree(_lockable(spark, d), "draw_order", leaf=64, fanout=8).filter("level < 2")
+
+
+@query("build_lock", sql(
+    """SELECT item, kind, value FROM (
+         SELECT 'total_samples' AS item, count(*)::VARCHAR AS value FROM samples UNION ALL SELECT 'drawn_samples', count(*)::VARCHAR FROM samples
+         UNION ALL SELECT 'drawn_hallucinated', (count(*) FILTER (label_hallucinated))::VARCHAR FROM samples UNION ALL SELECT 'sampling.seed', '7'
+         UNION ALL SELECT 'task.' || coalesce(task_type, 'unspecified'), count(*)::VARCHAR FROM samples GROUP BY task_type), (SELECT 'draw' AS kind)""", "samples"))
+def _(spark, d):
+    """A lock of all samples; the root of its tree is held against lock_tree's rule in the tests."""
+    drawn = _lockable(spark, d)
+    lock, _ = locks.build_lock(drawn, drawn, sampling={"seed": 7}, leaf=64, fanout=8)
+    return lock.filter("item not like 'drawn_ids%'")
+
+
+@query("diff_trees", sql(
+    """, placed AS (SELECT sample_id::BIGINT AS id, (row_number() OVER (ORDER BY sample_id::BIGINT) - 1) // 16 AS run, row_number() OVER (ORDER BY sample_id::BIGINT) - 1 AS n FROM samples)
+    SELECT min(n) AS first, max(n) AS last, 'changed' AS problem FROM placed GROUP BY run HAVING bool_or(id % 50 = 3)""", "samples"))
+def _(spark, d):
+    """Runs of ids that differ where one id in fifty was changed."""
+    kept = _lockable(spark, d)
+    changed = kept.withColumn("sample_id", F.when(F.col("draw_order") % 50 == 3, F.concat("sample_id", F.lit("x"))).otherwise(F.col("sample_id")))
+    a, b = (scratch_path(spark, "tree") for _ in range(2))
+    for path, rows in ((a, kept), (b, changed)):
+        locks.write_tree(locks.hash_tree(rows, "draw_order", leaf=16, fanout=4), path)
+    return locks.diff_trees(locks.read_tree(spark, a), locks.read_tree(spark, b), fanout=4)[0]
+
+
 @query("pending_samples", sql("SELECT sample_id, dataset FROM samples WHERE sample_id NOT IN (SELECT sample_id FROM rows_ WHERE faithfulness < 0.3::DOUBLE)", "rows_"))
 def _(spark, d):
     done = flat_rows(spark, d).filter("faithfulness < 0.3D")

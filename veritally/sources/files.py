@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import fnmatch
+import hashlib
+import os
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # The files a complete report folder holds, and whether each is required.
 EXPECTED_ARTIFACTS: tuple[tuple[str, bool], ...] = (
@@ -33,26 +37,81 @@ EXPECTED_ARTIFACTS: tuple[tuple[str, bool], ...] = (
 )
 
 
+DIGEST = "name string, path string, sha256 string, bytes bigint, lines bigint"
+READ_BYTES = 1 << 20
+#: Files are put together in tasks of about so many bytes; a larger file has a task of its own.
+TASK_BYTES = 128 << 20
+
+
+def _filesystem(root: str):
+    """The file system of a path or address, and the path in it."""
+    from pyarrow import fs
+
+    scheme, rest = root.split(":", 1) if ":" in root.split("/", 1)[0] else ("file", root)
+    if scheme == "file":
+        return fs.LocalFileSystem(), os.path.abspath("/" + rest.lstrip("/") if root != rest else rest)
+    return fs.FileSystem.from_uri(root)
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+class _DigestReader(DataSourceReader):
+    def __init__(self, root: str, glob: str):
+        self.root, self.glob = root, glob
+
+    def partitions(self) -> list[_Files]:
+        from pyarrow import fs
+
+        system, base = _filesystem(self.root)
+        listed = system.get_file_info(fs.FileSelector(base, recursive=True))
+        found = sorted((i.path, i.size or 0) for i in listed if i.type == fs.FileType.File and fnmatch.fnmatchcase(i.base_name, self.glob))
+        tasks: list[_Files] = []
+        held = TASK_BYTES
+        for path, size in found:
+            if held + size > TASK_BYTES:
+                tasks.append(_Files([]))
+                held = 0
+            tasks[-1].paths.append(path)
+            held += size
+        return tasks or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        system, _ = _filesystem(self.root)
+        for path in partition.paths:
+            digest, size, lines = hashlib.sha256(), 0, 0
+            with system.open_input_stream(path, compression=None) as stream:
+                while block := stream.read(READ_BYTES):
+                    digest.update(block)
+                    size += len(block)
+                    lines += block.count(b"\n")
+            yield path.rsplit("/", 1)[-1], path, digest.hexdigest(), size, lines
+
+
+class FileDigests(DataSource):
+    """A file is read block by block in one task, so its size does not matter; what is listed is whole."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_digests"
+
+    def schema(self) -> str:
+        return DIGEST
+
+    def reader(self, schema) -> DataSourceReader:
+        return _DigestReader(self.options["path"], self.options.get("glob", "*"))
+
+
 def file_digests(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Digest, size and newline count of every file below a folder, one task per few files.
+    """Digest, size and newline count of every file below a folder, empty ones and those of any size too.
 
-    A file is one binary cell, so files of 2 GB or more have to be listed in parts; an empty
-    file has no split and is not listed.
+    The folder is a local path or an address that pyarrow's file systems know (file, hdfs, s3, gs). Small files share a
+    task. `glob` is matched with the name of a file.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(root)
-    )
-    body = F.decode("content", "ISO-8859-1")
-    return files.select(
-        F.regexp_replace("path", r"^.*/", "").alias("name"),
-        F.col("path"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("bytes"),
-        F.length(F.regexp_replace(body, r"[^\n]", "")).cast("bigint").alias("lines"),
-    )
+    spark.dataSource.register(FileDigests)
+    return spark.read.format("file_digests").option("glob", glob).load(root)
 
 
 def artifact_inventory(
