@@ -326,3 +326,42 @@ def test_kinds_of_every_field(spark, body, sound):
     form = next(iter(body))
     df = spark.createDataFrame([(json.dumps(body),)], "t string")
     assert (df.select(J.text.parse_judge_json(F.col("t"), form).alias("p")).first().p is not None) is sound
+
+
+def test_legs_share_their_jobs_and_fail_alone(spark, monkeypatch):
+    """One request for masking a mode, one run of questions for all legs, errors only where they belong."""
+    models = spark.createDataFrame([("here", "good", ["mask", "off"]), ("here", "flaky", ["mask"]), ("there", "bad", ["mask"]), ("there", "none", ["off"]), ("here", "good2", ["odd"])], "judge string, model string, privacy_modes array<string>")
+
+    def flaky():
+        stub = J.stub_judge()
+
+        def answer(messages, form):
+            if "Three" in messages[1]["content"]:
+                raise TimeoutError("slow")
+            return stub(messages, form)
+
+        return answer
+
+    def broken():
+        raise OSError("no such model")
+
+    def mask(df, mode):
+        if mode == "odd":
+            raise ValueError("odd mode")
+        return df
+
+    rounds = []
+    real = J.ask
+    monkeypatch.setattr(J, "ask", lambda requests, factory, tasks=None: rounds.append(1) or real(requests, factory, tasks))
+    samples = spark.createDataFrame([("1", "a", "q", "One. Two.", ["c"], True), ("1", "b", "q", "Three.", ["c"], None), ("2", "a", "q", " ", [], True)], SAMPLE)
+    legs = J.leg_table(models)
+    rows = J.run_legs(samples, legs, {"good": J.stub_judge, "good2": J.stub_judge, "flaky": flaky, "bad": broken}, mask).collect()
+    got = {(r.leg, r.dataset, r.sample_id): (r.judge, r.model, r.privacy_mode, r.faithfulness, r.error) for r in rows}
+    assert len(got) == len(rows) == 18
+    assert got["here/good/off", "a", "1"] == ("here", "good", "off", 0.0, None) and got["here/good/mask", "a", "2"][3:] == (None, None)
+    assert got["here/flaky/mask", "b", "1"][3:] == (None, "TimeoutError: slow") and got["here/flaky/mask", "a", "1"][3:] == (0.0, None)
+    assert {r.error for r in rows if r.leg == "there/bad/mask"} == {"OSError: no such model"} and {r.error for r in rows if r.model == "good2"} == {"ValueError: odd mode"}
+    assert all("no judge" in r.error for r in rows if r.model == "none")
+    assert len(rounds) == 4  # claims with two repeats for the flaky one, verdicts: as many as one leg alone has
+    with_none = J.run_legs(samples, legs.filter("model = 'bad'"), {"bad": broken}, mask)
+    assert with_none.count() == 3

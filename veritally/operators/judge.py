@@ -28,12 +28,36 @@ JudgeFactory = Callable[[], Callable[[list[dict], str], dict]]
 # -- calls ------------------------------------------------------------------------------------
 
 
+class LegJudges:
+    """The judges of several legs in one job; a request says by its key which leg it is of.
+
+    A judge is built when a task meets the first request of its leg. One that cannot be built, or fails, makes error rows of
+    its own leg's requests and touches no other.
+    """
+
+    def __init__(self, factories: dict[str, JudgeFactory]):
+        self.factories = factories
+
+    def __call__(self) -> Callable[[str], Callable[[list[dict], str], dict]]:
+        built: dict[str, Callable[[list[dict], str], dict]] = {}
+
+        def judge_of(key: str) -> Callable[[list[dict], str], dict]:
+            parts = json.loads(key)
+            leg = (json.loads(parts["sample_key"]) if "sample_key" in parts else parts)["leg"]
+            if leg not in built:
+                built[leg] = self.factories[leg]()
+            return built[leg]
+
+        return judge_of
+
+
 def ask(requests: DataFrame, factory: JudgeFactory, tasks: int | None = None) -> DataFrame:
     """One call per row of (request_key, attempt, form, messages, carry); a failing call is a
     row with its error and ends nothing else. `carry` comes back unchanged."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = factory()
+        made = factory()
+        judge_of = made if isinstance(factory, LegJudges) else lambda key: made
         for batch in batches:
             out = []
             for key, attempt, form, messages, carry in batch.itertuples(index=False):
@@ -41,7 +65,7 @@ def ask(requests: DataFrame, factory: JudgeFactory, tasks: int | None = None) ->
                        "prompt_tokens": 0, "completion_tokens": 0, "error": None, "carry": carry}
                 started = time.perf_counter()
                 try:
-                    answer = judge(json.loads(messages), form)
+                    answer = judge_of(key)(json.loads(messages), form)
                     row["text"] = answer["text"]
                     row["model"] = answer.get("model", "unknown")
                     row["prompt_tokens"] = int(answer.get("prompt_tokens", 0))
@@ -57,7 +81,12 @@ def ask(requests: DataFrame, factory: JudgeFactory, tasks: int | None = None) ->
     )
     # Calls take seconds: spread them evenly, however few bytes they are.
     tasks = tasks or 2 * requests.sparkSession.sparkContext.defaultParallelism
-    return sent.repartition(tasks, "request_key").mapInPandas(run, schemas.RESPONSE)
+    if not isinstance(factory, LegJudges):
+        return sent.repartition(tasks, "request_key").mapInPandas(run, schemas.RESPONSE)
+    # Requests of a leg share tasks, so that a task builds few judges.
+    whose = F.coalesce(F.get_json_object("request_key", "$.leg"), F.get_json_object(F.get_json_object("request_key", "$.sample_key"), "$.leg"))
+    slot = F.pmod(F.xxhash64("request_key"), F.lit(max(1, tasks // max(1, len(factory.factories)))))
+    return sent.repartition(tasks, whose, slot).mapInPandas(run, schemas.RESPONSE)
 
 
 def _followed_by(said: Column, then: Column) -> Column:
@@ -394,26 +423,68 @@ def evaluation_matrix(samples: DataFrame, legs: DataFrame) -> DataFrame:
     return samples.withColumn("_leg", F.explode(items)).select("*", "_leg.*").drop("_leg")
 
 
+def _unbuildable(spark, factories: dict[str, JudgeFactory]) -> dict[str, str]:
+    """The legs whose judge cannot be built, with the reason; each is tried once, on an executor."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            errors = []
+            for leg in batch["leg"]:
+                try:
+                    factories[leg]()
+                    errors.append(None)
+                except Exception as exc:  # noqa: BLE001 - the other legs go on
+                    errors.append(f"{type(exc).__name__}: {exc}"[:500])
+            yield pd.DataFrame({"leg": batch["leg"], "error": errors})
+
+    names = spark.createDataFrame([(n,) for n in sorted(factories)], "leg string").repartition(max(1, len(factories)), "leg")
+    return {r.leg: r.error for r in names.mapInPandas(build, "leg string, error string").filter("error is not null").collect()} if factories else {}
+
+
 def run_legs(samples: DataFrame, legs: DataFrame, factories: dict[str, JudgeFactory], mask: Callable[[DataFrame, str], DataFrame], **options) -> DataFrame:
     """Result rows of every leg; a leg that fails as a whole gives error rows and ends no other.
 
-    `factories` has a judge for each model, `mask(samples, privacy_mode)` what leaves the
-    premises. Legs are run one after another, each written before the next begins.
+    `factories` has a judge for each model, `mask(samples, privacy_mode)` what leaves the premises. Samples are masked once per
+    mode; then all legs are scored together, each round of questions one job. `legs` is a user's list, a handful of rows.
     """
-    done = []
-    for leg in legs.orderBy("leg").collect():
-        part = samples.withColumn("leg", F.lit(leg.leg))
+    spark = samples.sparkSession
+    listed = legs.orderBy("leg").collect()
+    dead: dict[str, str] = {leg.leg: f"KeyError: no judge for the model {leg.model!r}" for leg in listed if leg.model not in factories}
+    by_leg = {leg.leg: factories[leg.model] for leg in listed if leg.leg not in dead}
+    dead |= _unbuildable(spark, by_leg)
+
+    sent, masked = None, {}
+    for leg in listed:
+        if leg.leg in dead:
+            continue
+        if leg.privacy_mode not in masked:
+            try:
+                masked[leg.privacy_mode] = materialize(mask(samples, leg.privacy_mode), "masked")
+            except Exception as exc:  # noqa: BLE001 - legs of another mode go on
+                masked[leg.privacy_mode] = f"{type(exc).__name__}: {exc}"[:500]
+        if isinstance(masked[leg.privacy_mode], str):
+            dead[leg.leg] = masked[leg.privacy_mode]
+    for mode, rows in masked.items():
+        names = [leg.leg for leg in listed if leg.privacy_mode == mode and leg.leg not in dead]
+        if names:
+            part = rows.withColumn("leg", F.explode(F.array(*[F.lit(n) for n in names])))
+            sent = part if sent is None else sent.unionByName(part)
+
+    done = None
+    if sent is not None:
+        alive = [leg for leg in listed if leg.leg not in dead]
         try:
-            sent = mask(part, leg.privacy_mode)
-            scored = materialize(score_with_judge(sent, factories[leg.model], judge=leg.judge, model=leg.model, **options), "leg")
-        except Exception as exc:  # noqa: BLE001 - the other legs go on
-            failed = part.withColumn("error", F.lit(f"{type(exc).__name__}: {exc}"[:500])).drop("judge", "model")
-            scored = M.failure_rows(failed, F.col("dataset"), leg.judge, leg.model).withColumn("leg", F.lit(leg.leg))
-        done.append(scored.withColumn("privacy_mode", F.lit(leg.privacy_mode)))
-    stacked = done[0]
-    for part in done[1:]:
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    return stacked
+            scored = score_with_judge(sent, LegJudges({leg.leg: by_leg[leg.leg] for leg in alive}), judge="", model="", **options)
+            told = {c: F.create_map(*[F.lit(x) for leg in alive for x in (leg.leg, leg[c])]) for c in ("judge", "model", "privacy_mode")}
+            done = materialize(scored.withColumns({c: F.element_at(told[c], F.col("leg")) for c in told}), "legs")
+        except Exception as exc:  # noqa: BLE001 - what concerns all legs is told by all of them
+            dead |= {leg.leg: f"{type(exc).__name__}: {exc}"[:500] for leg in alive}
+    for leg in listed:
+        if leg.leg in dead:
+            failed = samples.withColumn("leg", F.lit(leg.leg)).withColumn("error", F.lit(dead[leg.leg])).drop("judge", "model")
+            rows = M.failure_rows(failed, F.col("dataset"), leg.judge, leg.model).withColumn("leg", F.lit(leg.leg)).withColumn("privacy_mode", F.lit(leg.privacy_mode))
+            done = rows if done is None else done.unionByName(rows, allowMissingColumns=True)
+    return done
 
 
 def leg_status(legs: DataFrame, rows: DataFrame) -> DataFrame:

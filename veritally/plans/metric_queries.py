@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veritally.functions import stats, text
 from veritally.operators import judge as J
 from veritally.operators import metrics as M
+from veritally.operators import privacy as P
 from veritally.operators import reports
 from veritally.plans import quality_queries  # noqa: F401 - registers the report tables
 from veritally.plans.derive import (
@@ -403,6 +404,23 @@ def _(spark, d):
     return J.leg_status(fixture_legs(spark), flat_rows(spark, d).withColumn("leg", leg))
 
 
+def _away():
+    raise OSError("vast is away")
+
+
+@query("run_matrix", sql(
+    f"""SELECT sample_id, dataset, leg, judge, model, privacy_mode, CASE WHEN leg <> 'hosted/vast/mask' AND regexp_matches(coalesce(answer, ''), '\\S') THEN 0.0::DOUBLE END AS faithfulness,
+          CASE WHEN leg = 'hosted/vast/mask' THEN 'OSError: vast is away' END AS error
+        FROM samples CROSS JOIN {LEGS_SQL}""", "samples"))
+def _(spark, d):
+    """All legs in one run with the offline judge, one leg without its judge."""
+    pool = samples(spark, d, with_text=True)
+    asked = pool.select("sample_id", "dataset", "question", "answer", F.array("task_type").alias("contexts"), "label_hallucinated")
+    judges = {"tiny": J.stub_judge, "mid": J.stub_judge, "wide": J.stub_judge, "vast": _away}
+    rows = J.run_legs(asked, fixture_legs(spark), judges, lambda df, mode: P.sanitize_requests(df, mode).drop("mapping"))
+    return rows.select("sample_id", "dataset", "leg", "judge", "model", "privacy_mode", "faithfulness", "error")
+
+
 # -- report -----------------------------------------------------------------------------------
 
 
