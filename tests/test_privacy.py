@@ -293,3 +293,42 @@ def test_a_long_list_is_never_in_one_task_nor_on_the_driver(spark):
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in text and "Join" not in text
     assert found.count() == 100
+
+
+CORPUS = [
+    ("{a} filed the form from {b}.", [("Ada Stone", "PERSON"), ("Port Ellis", "LOCATION")]),
+    ("Write to {a} or call {b} today.", [("ada.stone@mail.example.org", "EMAIL_ADDRESS"), ("(202) 555-0143", "PHONE_NUMBER")]),
+    ("Her mobile is {a}, her fax {b}.", [("2025550143", "PHONE_NUMBER"), ("+44 20 7946 0958", "PHONE_NUMBER")]),
+    ("The charge went to {a} and then to {b}.", [("4111 1111 1111 1111", "CREDIT_CARD"), ("378282246310005", "CREDIT_CARD")]),
+    ("Logins from {a}, {b} and {c}.", [("192.0.2.44", "IP_ADDRESS"), ("2001:db8::8a2e:370:7334", "IP_ADDRESS"), ("::1", "IP_ADDRESS")]),
+    ("SSN {a} belongs to {b}.", [("123-45-6789", "US_SSN"), ("Lin Wei", "PERSON")]),
+    ("Social security number on file: {a}.", [("234567890", "US_SSN")]),
+    ("The record lists {a} for the beneficiary.", [("345 67 8901", "US_SSN")]),
+    ("Taxpayer {a}, living in {b}, asked again.", [("456789012", "US_SSN"), ("São Bento", "LOCATION")]),
+    ("The form held {a} and nothing else.", [("567890123", "US_SSN")]),  # nothing beside it says what it is
+    ("Order 987654321 was shipped in 1234567890 parts at 10:30.", []),
+    ("Compare std::cout with std::endl, at 3:1.", []),
+]
+
+
+def test_recall_on_a_corpus_of_its_own_types(spark):
+    """Weak forms count where the words beside them say what they are, and nowhere else."""
+    docs, expected = [], []
+    for i, (template, slots) in enumerate(CORPUS):
+        for name, (value, kind) in zip("abc", slots, strict=False):
+            at = template.index("{" + name + "}")
+            template = template.replace("{" + name + "}", value)
+            expected.append((i, at, at + len(value), kind, len(expected)))
+        docs.append((i, template))
+    names = [("Ada Stone", "PERSON"), ("Lin Wei", "PERSON"), ("Port Ellis", "LOCATION"), ("São Bento", "LOCATION")]
+    found = P.merge_overlapping_spans(P.detect_pii(spark.createDataFrame(docs, "doc_id long, text string"), gazetteer=spark.createDataFrame(names, "surface string, entity_type string")))
+    found = found.withColumn("ord", F.col("doc_id") * 1000 + F.col("start"))
+    quality = by(P.pii_detection_quality(P.match_spans(spark.createDataFrame(expected, "doc_id long, start int, end int, entity_type string, ord long"), found, typed=True)), "entity_type")
+    assert quality["ALL"]["recall"] >= 0.944 and quality["US_SSN"]["recall"] >= 0.667
+    assert quality["ALL"]["precision"] == 1.0
+
+
+def test_the_threshold_decides_about_weak_forms(spark):
+    df = spark.createDataFrame([("id 123456789",), ("ssn 123456789",), ("x" * 70 + " 123456789 and then, thirty letters later, an ssn",)], "t string")
+    at = lambda low: [[(s.entity_type, s.score) for s in r.s] for r in df.select(S.detect_patterns(F.col("t"), ["US_SSN"], low).alias("s")).collect()]
+    assert at(0.4) == [[], [("US_SSN", 0.4)], []] and at(0.05) == [[("US_SSN", 0.05)], [("US_SSN", 0.4)], [("US_SSN", 0.05)]] and at(0.5) == [[], [], []]

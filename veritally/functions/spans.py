@@ -35,6 +35,16 @@ NEEDS = {"EMAIL_ADDRESS": "@"}
 UNBOUNDED = ("EMAIL_ADDRESS",)
 FEW_MATCHES = 8
 
+# Weak patterns: what they find is a span only beside one of the words (then with the score that context gives),
+# or, without words, only where no word character or colon stands before it.
+CONTEXT_BEFORE, CONTEXT_AFTER = 60, 30
+CONTEXT_SCORE = 0.4
+WEAK: tuple[tuple[str, str, float, str], ...] = (
+    ("US_SSN", r"\b[0-9]{9}\b", 0.05, r"\b(?:ssns?|social security|security number|tax ?id|taxpayer)\b"),
+    ("PHONE_NUMBER", r"\b[0-9]{10}\b", 0.05, r"\b(?:phone|telephone|mobile|cell|call|tel|fax)\b"),
+    ("IP_ADDRESS", r"::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}\b", 0.6, ""),
+)
+
 SPAN_SQL = "struct<start: int, end: int, entity_type: string, score: double>"
 
 
@@ -70,6 +80,29 @@ def pattern_spans(text: Column, entity_type: str, check_luhn: bool = True) -> Co
     after the last one is enough.
     """
     pattern, score = PATTERNS[entity_type]
+    spans = _placed(text, pattern, score, entity_type)
+    if entity_type in NEEDS:
+        spans = F.when(text.contains(NEEDS[entity_type]), spans).otherwise(F.array().cast(f"array<{SPAN_SQL}>"))
+    if entity_type == "CREDIT_CARD" and check_luhn:
+        return F.filter(spans, lambda s: passes_luhn(surface_form(text, s)))
+    return spans
+
+
+def weak_spans(text: Column, entity_type: str, pattern: str, score: float, words: str) -> Column:
+    """Matches of a weak pattern, with the score that the text around each gives it."""
+    spans = _placed(text, pattern, score, entity_type)
+    if not words:
+        return F.filter(spans, lambda s: ~F.substring(text, F.greatest(s["start"], F.lit(1)), F.least(s["start"], F.lit(1))).rlike("[0-9A-Za-z_:]"))
+
+    def scored(s: Column) -> Column:
+        first = F.greatest(s["start"] - CONTEXT_BEFORE, F.lit(0))
+        around = F.substring(text, first + 1, s["end"] - first + CONTEXT_AFTER)
+        return s.withField("score", F.when(around.rlike(f"(?i){words}"), F.lit(max(CONTEXT_SCORE, score))).otherwise(s["score"]))
+
+    return F.transform(spans, scored)
+
+
+def _placed(text: Column, pattern: str, score: float, entity_type: str) -> Column:
     # The run before an @ cannot hold one, so giving characters back is useless work.
     pattern = pattern.replace("]+@", "]++@", 1)
     empty = F.array().cast(f"array<{SPAN_SQL}>")
@@ -101,15 +134,10 @@ def pattern_spans(text: Column, entity_type: str, check_luhn: bool = True) -> Co
         # Every lookup walks the text from its start, so many of them cost more than a split.
         return F.when(F.size(found) <= FEW_MATCHES, by_lookup).otherwise(by_pieces)
 
-    spans = let(
+    return let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda found: F.when(F.size(found) > 0, place(found)).otherwise(empty),
     )
-    if entity_type in NEEDS:
-        spans = F.when(text.contains(NEEDS[entity_type]), spans).otherwise(empty)
-    if entity_type == "CREDIT_CARD" and check_luhn:
-        return F.filter(spans, lambda s: passes_luhn(surface_form(text, s)))
-    return spans
 
 
 def detect_patterns(
@@ -120,9 +148,13 @@ def detect_patterns(
         raise ValueError(f"a detection score lies in [0, 1]; got the threshold {score_threshold!r}")
     wanted = [e for e in PATTERNS if e in entities and PATTERNS[e][1] >= score_threshold]
     empty = F.array().cast(f"array<{SPAN_SQL}>")
-    if not wanted:
+    found = [pattern_spans(text, e) for e in wanted]
+    for kind, pattern, score, words in WEAK:
+        if kind in entities and max(score, CONTEXT_SCORE if words else score) >= score_threshold:
+            found.append(F.filter(weak_spans(text, kind, pattern, score, words), lambda s: s["score"] >= score_threshold))
+    if not found:
         return empty
-    return F.coalesce(F.array_sort(F.concat(*[pattern_spans(text, e) for e in wanted])), empty)
+    return F.coalesce(F.array_sort(F.concat(*found)), empty)
 
 
 def surface_form(text: Column, span: Column) -> Column:

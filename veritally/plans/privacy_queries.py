@@ -33,7 +33,9 @@ def pii_docs(spark, d):
         F.lit(" Mail u"), (n % 40).cast("string"), F.lit("@corp"), (n % 5).cast("string"), F.lit(".example.org, host 192.168."),
         (n % 256).cast("string"), F.lit("."), (n % 100).cast("string"), F.lit(", card 4111-1111-1111-111"), (n % 10).cast("string"),
         F.lit(", tel +1 202-555-"), (1000 + n % 9000).cast("string"), F.lit(", id "), (100 + n % 800).cast("string"), F.lit("-"),
-        (10 + n % 80).cast("string"), F.lit("-"), (1000 + n % 9000).cast("string"), F.lit("."),
+        (10 + n % 80).cast("string"), F.lit("-"), (1000 + n % 9000).cast("string"), F.lit(". Amex 3782 822463 1000"), (n % 10).cast("string"),
+        F.when(n % 3 == 0, ", SSN: 23456").otherwise(", ref: 23456"), (1000 + n % 9000).cast("string"), F.lit(", from ::1f"), (n % 7).cast("string"),
+        F.when(n % 4 == 0, ", call 202555").otherwise(" and 202555"), (1000 + n % 9000).cast("string"), F.lit("."),
     )
     return docs.select("doc_id", F.concat("text", line).alias("text"))
 
@@ -41,18 +43,27 @@ def pii_docs(spark, d):
 PII_DOCS = """
 pii_docs AS (
   SELECT doc_id, text || ' Mail u' || doc_id % 40 || '@corp' || doc_id % 5 || '.example.org, host 192.168.' || doc_id % 256 || '.' || doc_id % 100 || ', card 4111-1111-1111-111' || doc_id % 10
-    || ', tel +1 202-555-' || (1000 + doc_id % 9000) || ', id ' || (100 + doc_id % 800) || '-' || (10 + doc_id % 80) || '-' || (1000 + doc_id % 9000) || '.' AS text FROM documents)"""
+    || ', tel +1 202-555-' || (1000 + doc_id % 9000) || ', id ' || (100 + doc_id % 800) || '-' || (10 + doc_id % 80) || '-' || (1000 + doc_id % 9000) || '. Amex 3782 822463 1000' || doc_id % 10
+    || CASE WHEN doc_id % 3 = 0 THEN ', SSN: 23456' ELSE ', ref: 23456' END || (1000 + doc_id % 9000) || ', from ::1f' || doc_id % 7
+    || CASE WHEN doc_id % 4 = 0 THEN ', call 202555' ELSE ' and 202555' END || (1000 + doc_id % 9000) || '.' AS text FROM documents)"""
 register_cte("pii_docs", PII_DOCS)
 
 
 def raw_spans_sql(source: str, keys: str, name: str) -> str:
     """Every pattern match with its offsets: lengths of the pieces and matches before it."""
     parts = []
-    for kind, (pattern, score) in S.PATTERNS.items():
+    strong = [(kind, pattern, score, None) for kind, (pattern, score) in S.PATTERNS.items()]
+    for kind, pattern, score, words in [*strong, *S.WEAK]:
         luhn = ""
+        if words:
+            first = f"greatest(s - {S.CONTEXT_BEFORE}, 0)"
+            luhn = f"WHERE regexp_matches(substring(text, {first} + 1, e - {first} + {S.CONTEXT_AFTER}), '(?i){words}')"
+            score = max(score, S.CONTEXT_SCORE)
+        elif words is not None:
+            luhn = "WHERE s = 0 OR NOT regexp_matches(substring(text, s, 1), '[0-9A-Za-z_:]')"
         if kind == "CREDIT_CARD":
             digits = "regexp_replace(substring(text, s + 1, e - s), '[^0-9]', '', 'g')"
-            luhn = f"WHERE list_sum([CASE WHEN i % 2 = 1 THEN (2 * {digits}[i]::INT) % 10 + {digits}[i]::INT // 5 ELSE {digits}[i]::INT END for i in range(1, 17)]) % 10 = 0"
+            luhn = f"WHERE list_sum([CASE WHEN (length({digits}) - i) % 2 = 1 THEN (2 * {digits}[i]::INT) % 10 + {digits}[i]::INT // 5 ELSE {digits}[i]::INT END for i in range(1, length({digits}) + 1)]) % 10 = 0"
         parts.append(
             f"""SELECT {keys}, text, s, e, '{kind}' AS entity_type, {score}::DOUBLE AS score FROM (
       SELECT *, s + length(m[i]) AS e FROM (
