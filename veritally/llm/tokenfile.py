@@ -55,23 +55,26 @@ DIGESTS = "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 big
 
 #: Equal rows are spread over so many numbers, so no id is too large for a range.
 SPREAD = 1 << 16
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 12 << 20
 CACHE_CUTS = 200_000
 LONGEST_CACHED = 48
+MARK = "\0"
 #: Stops that begin a piece after a letter or digit; letters and digits below this character are the same in every Unicode version.
 STOPS = ".,;:!?"
 LATIN_ENDS = "\u0250"
 #: All that any definition takes for white space; a blank before one of these is no place to cut.
 WHITE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
-BLANK_BEFORE_WHITE = re.compile(f" (?:[{WHITE}]|\\Z)")
+#: The same without blank and line break, and what those two may not stand in.
+OTHER_WHITE = re.compile(r"[\x09\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
 CUT = re.compile(f"(?= [^{WHITE}])")
 
 
 class Encoder:
     """The library's ids of whole texts, as little-endian 32-bit integers.
 
-    A cut is known by its text without the blank that it begins with; a cut without such a blank
-    (the first of a text) by its text behind one, so the two never meet.
+    A cut is known by its text without the blank that it begins with; one that begins without a blank (the first of
+    a text or of a line) by its text behind MARK. A lone line break is a cut of its own.
     """
 
     def __init__(self, definition: str):
@@ -104,16 +107,18 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cuts(self, text: str) -> list[str]:
-        """The text in cuts that the library may encode one by one."""
-        if BLANK_BEFORE_WHITE.search(text) is None:
-            cuts = text.split(" ")
-            cuts[0] = " " + cuts[0]
-            return cuts
+    @staticmethod
+    def _cuts(text: str) -> list[str]:
+        """The text in cuts that the library may encode one by one, whatever white space is in it."""
         first, *rest = CUT.split(text)
-        return [" " + first, *[r[1:] for r in rest]]
+        return [MARK + first, *[r[1:] for r in rest]]
 
-    def _finer(self, cut: str) -> list[str] | None:
+    @staticmethod
+    def _text(cut: str) -> str:
+        return cut[1:] if cut[:1] == MARK else " " + cut
+
+    @staticmethod
+    def _finer(cut: str) -> list[str] | None:
         """A cut in still smaller ones at its line breaks and before the stops of its words; none if other white space is in it.
 
         A lone break between words is a piece of its own, and stops after a letter or digit begin one.
@@ -121,21 +126,21 @@ class Encoder:
         out = []
         for i, line in enumerate(cut.split("\n")):
             if i:
-                out.append(" \n")
-                line = " " + line
-            word = line[1:] if line[:1] == " " else line
+                out.append("\n")
+                line = MARK + line
+            word = line[1:] if line[:1] == MARK else line
             if word.split() != [word]:
                 return None
             base = line.rstrip(STOPS)
             if base != line and base[-1:].isalnum() and base[-1] < LATIN_ENDS:
-                out += [base, " " + line[len(base) :]]
+                out += [base, MARK + line[len(base) :]]
             else:
                 out.append(line)
         return out
 
     def _words(self, cuts: list[str]) -> dict[str, bytes]:
         """The ids of cuts without white space, as lines of one text: a break between two of them is a piece, which shows where a cut ends."""
-        lines = [c[1:] if c[:1] == " " else " " + c for c in cuts]
+        lines = [self._text(c) for c in cuts]
         ids = np.frombuffer(self._library(["\n".join(lines)])[0], "<u4")
         ends = np.append(np.flatnonzero(ids == np.frombuffer(self.line_break, "<u4")), len(ids))
         if len(ends) != len(cuts):
@@ -154,9 +159,9 @@ class Encoder:
 
     def _learn(self, cuts: set[str]) -> None:
         """Puts the ids of these cuts among the young."""
-        young, old, blank = self.young, self.old, self.blank
+        young, old, blank, word_ids = self.young, self.old, self.blank, self._word
         known = old.get
-        young[" \n"] = self.line_break
+        young["\n"], young[MARK] = self.line_break, b""
         made: dict[str, list[str]] = {}
         words, others = set(), []
         for c in cuts - young.keys():
@@ -164,15 +169,20 @@ class Encoder:
             if found is not None:
                 young[c] = found
                 continue
-            base = c.rstrip(STOPS)
+            bare = c[0] == MARK
+            body = c[1:] if bare else c
+            base = body.rstrip(STOPS)
             if base.isalpha() and (base.isascii() or max(base) < LATIN_ENDS):
-                ids = young.get(base) or known(base) or self._word(base, blank)
-                young[base] = ids
-                if len(base) < len(c):
-                    stops = " " + c[len(base) :]
-                    if stops not in young:
-                        young[stops] = self._word(stops[1:], "")
-                    young[c] = ids + young[stops]
+                if len(base) == len(body):
+                    young[c] = word_ids(base, "" if bare else blank)
+                    continue
+                key = MARK + base if bare else base
+                ids = young.get(key) or known(key) or word_ids(base, "" if bare else blank)
+                stops = MARK + body[len(base) :]
+                if stops not in young:
+                    young[stops] = word_ids(stops[1:], "")
+                young[key] = ids
+                young[c] = ids + young[stops]
                 continue
             finer = self._finer(c)
             if finer is None:
@@ -184,8 +194,6 @@ class Encoder:
                     found = known(w)
                     if found is not None:
                         young[w] = found
-                    elif w[:1] == " " and (word := w[1:]).isalpha() and (word.isascii() or max(word) < LATIN_ENDS):
-                        young[w] = self._word(word, "")
                     else:
                         words.add(w)
         if words:
@@ -193,7 +201,7 @@ class Encoder:
         for c, finer in made.items():
             if len(finer) > 1:
                 young[c] = b"".join([young[w] for w in finer])
-        young.update(zip(others, self._library([c[1:] if c[:1] == " " else " " + c for c in others]), strict=True))
+        young.update(zip(others, self._library([self._text(c) for c in others]), strict=True))
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> pa.ListArray:
         """The ids of each text, with `end_id` after them if there is one, as a list column.
@@ -203,26 +211,26 @@ class Encoder:
         strings = texts.fill_null("").to_pylist()
         apart: dict[int, bytes] = {}
         for i, text in enumerate(strings):
-            if not self.cuts_are_safe or any(s in text for s in self.specials):
+            if not self.cuts_are_safe or MARK in text or any(s in text for s in self.specials):
                 apart[i] = self._library([text])[0]
-            elif BLANK_BEFORE_WHITE.search(text) is not None:
+            elif any(p in text for p in ODD_PAIRS) or text[-1:] in (" ", "\n") or OTHER_WHITE.search(text) is not None:
                 cuts = self._cuts(text)
                 self._learn(set(cuts))
                 apart[i] = b"".join([self.young[c] for c in cuts])
-        plain = pa.array(["" if i in apart else t for i, t in enumerate(strings)], pa.large_string())
-        cut = pc.split_pattern(plain, " ")
+        # White space is single blanks and single breaks now: a blank begins a cut, a break is one.
+        plain = pa.array([MARK if i in apart else MARK + t for i, t in enumerate(strings)], pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring(plain, "\n", f" \n {MARK}"), " ")
         coded = cut.flatten().dictionary_encode()
         first, codes = cut.offsets.to_numpy(), coded.indices.to_numpy().astype(np.int64)
         keys = coded.dictionary.to_pylist()
-        heads = [" " if i in apart else " " + t.split(" ", 1)[0] for i, t in enumerate(strings)]
-        self.young[" "] = b""
-        self._learn({*keys, *heads})
+        wanted = set(keys)
+        self._learn(wanted)
         young = self.young
-        # Every row's first cut has an entry of its own, since no blank is before it; a row that was encoded apart is that entry whole.
+        # A row that was encoded apart is one entry of the table, in the place of its only cut.
         table = [young[k] for k in keys]
-        table += [apart[i] if i in apart else young[h] for i, h in enumerate(heads)]
+        codes[first[list(apart)]] = len(keys) + np.arange(len(apart))
+        table += apart.values()
         table.append(b"" if end_id is None else int(end_id).to_bytes(4, "little"))
-        codes[first[:-1]] = len(keys) + np.arange(len(strings))
         codes = np.insert(codes, first[1:], len(table) - 1)
         sizes = np.fromiter(map(len, table), np.int64, len(table)) >> 2
         begins = np.cumsum(sizes) - sizes
@@ -234,7 +242,7 @@ class Encoder:
         at += np.arange(total, dtype=narrow)
         ids = np.frombuffer(b"".join(table), "<i4")[at]
         rows = np.concatenate([[0], ends[first[1:] + np.arange(len(strings))]]) if len(strings) else np.zeros(1, np.int64)
-        for c in {*keys, *heads}:
+        for c in keys:
             if len(c) > LONGEST_CACHED:
                 young.pop(c, None)
         if len(young) > CACHE_CUTS:
@@ -280,7 +288,7 @@ def write_tokens(
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     rows = rows.withColumn("_order", F.xxhash64("text")).withColumn("_spread", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
     ordered = rows.repartitionByRange("doc_id", "_order", "_spread").sortWithinPartitions("doc_id", "_order").select("doc_id", "text")
-    writer = ordered.mapInArrow(encode, TOKENS).write.option("maxRecordsPerFile", 0).option("compression", "zstd")
+    writer = ordered.mapInArrow(encode, TOKENS).write.option("maxRecordsPerFile", 0).option("compression", "lz4_raw")
     writer = writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.block.row.count.limit", row_group_rows)
     writer = writer.option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", page_rows).option("parquet.enable.dictionary", "true")
     for column in ("doc_id", "start", "n_tokens"):
