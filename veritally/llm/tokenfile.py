@@ -55,8 +55,8 @@ DIGESTS = "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 big
 
 #: Equal rows are spread over so many numbers, so no id is too large for a range.
 SPREAD = 1 << 16
-BYTES_AT_ONCE = 12 << 20
-CACHE_CUTS = 200_000
+BYTES_AT_ONCE = 6 << 20
+CACHE_CUTS = 150_000
 LONGEST_CACHED = 48
 MARK = "\0"
 #: Stops that begin a piece after a letter or digit; letters and digits below this character are the same in every Unicode version.
