@@ -209,3 +209,14 @@ def test_error_rate_is_per_sample_and_series(spark):
     assert table["long_context"]["total"] == 2 and table["long_context"]["error_rate"] == 0.5
     assert table["plain"]["error_rate"] == 0.0
     assert errors.examples_per_bucket(cases, 1).count() == 5
+
+
+def test_equal_ids_of_two_datasets_are_two_samples(spark):
+    pool = spark.createDataFrame(
+        [("a", "one", 0, "z" * 130, ["short"]), ("a", "two", 1, "Snow.", []), ("a", None, 2, "Born in 1990. " * 20, [])],
+        "sample_id string, dataset string, seq bigint, answer string, contexts array<string>",
+    )
+    rows = quality.assign_series(flat(spark, [("a", d, "slm", "m", True, 0.9, 1.0) for d in ("one", "two", None)]))
+    for hot_rows in (1, 1_000):
+        got = by(errors.rows_with_buckets(rows, pool, hot_rows), "dataset")
+        assert {d: r["buckets"] for d, r in got.items()} == {"one": ["plain"], "two": ["short_answer"], None: ["numeric_claim"]}

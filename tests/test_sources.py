@@ -215,6 +215,30 @@ def test_resume_leaves_out_what_is_done(spark, rows_dir):
     assert {r.sample_id for r in bookkeeping.pending_samples(pool, kept).collect()} == {"c", "d"}
 
 
+def test_equal_ids_of_two_datasets_are_retried_apart(spark):
+    rows = spark.createDataFrame([("a", "one", "m", None), ("a", "two", "m", "down"), ("a", "two", "m", "down")], "sample_id string, dataset string, model string, error string")
+    kept, retry = bookkeeping.drop_failed_rows(rows)
+    assert [tuple(r) for r in retry.collect()] == [("two", "a")] and kept.count() == 1
+    assert [r.dataset for r in bookkeeping.pending_samples(rows.select("sample_id", "dataset").distinct(), kept).collect()] == ["two"]
+
+
+def test_counters_are_taken_while_rows_are_written(spark, tmp_path):
+    schema = "sample_id string, dataset string, judge string, model string, error string"
+    pool = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "sample_id string, label_hallucinated boolean")
+    meters, jobs = [], spark.sparkContext.statusTracker()
+    for n, part in enumerate(([("a", "d", "j", "m2", None), ("b", "d", "j", None, "down")], [], [("c", "d", "j", "m1", None)])):
+        new, meter = bookkeeping.metered(spark.createDataFrame(part, schema).repartition(3))
+        new.write.parquet(str(tmp_path / f"part-{n}"))
+        meters.append(meter)
+    before = len(jobs.getJobIdsForGroup(None))
+    counted = bookkeeping.run_counters(pool, 4, 2, meters)
+    assert len(jobs.getJobIdsForGroup(None)) == before  # nothing written is read again
+    assert counted.first().asDict() == {
+        "samples_seen": 3, "hallucinated": 1, "not_hallucinated": 1, "samples_skipped": 4, "samples_written": 2,
+        "failure_count": 1, "samples_retried": 2, "models_returned": "m1,m2",
+    }
+
+
 def test_a_lock_reports_files_before_anything_derived(spark):
     schema = "item string, kind string, value string"
     locked = spark.createDataFrame([("f1", "file", "x"), ("f2", "file", "y"), ("draw", "derived", "1")], schema)

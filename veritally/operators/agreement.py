@@ -17,6 +17,11 @@ def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return picked.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
+def sample_keys(*tables: DataFrame) -> list[str]:
+    """What names a sample in all of these tables: dataset and id, or the id alone where one records no dataset."""
+    return ["dataset", "sample_id"] if all("dataset" in t.columns for t in tables) else ["sample_id"]
+
+
 def scored_by_sample(rows: DataFrame) -> DataFrame:
     """One score per (dataset, sample_id, series); the later row wins."""
     return (

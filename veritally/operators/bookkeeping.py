@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veritally.functions import stats, text
-from veritally.operators.agreement import keep_last
+from veritally.operators.agreement import keep_last, sample_keys
 from veritally.scale import attach_small, beside, exact_percentiles
 
 
@@ -104,32 +104,57 @@ def pending_samples(samples: DataFrame, rows: DataFrame) -> DataFrame:
 
     Where one side does not record a dataset, the id alone is the key.
     """
-    keys = ["dataset", "sample_id"] if "dataset" in samples.columns and "dataset" in rows.columns else ["sample_id"]
+    keys = sample_keys(samples, rows)
     done = rows.filter(F.col("sample_id").isNotNull()).select(*keys).distinct()
     return samples.join(done, keys, "left_anti")
 
 
 def drop_failed_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows without an error, and the distinct ids of the rest, which may be scored again."""
+    """Rows without an error, and the distinct samples of the rest, which may be scored again."""
     failed = F.col("error").isNotNull()
-    return rows.filter(~failed), rows.filter(failed).select("sample_id").distinct()
+    return rows.filter(~failed), rows.filter(failed).select(*sample_keys(rows)).distinct()
 
 
-def run_counters(samples: DataFrame, rows_before: DataFrame, rows_new: DataFrame, retried: DataFrame) -> DataFrame:
-    """One row: seen, written, skipped, retried and failed samples and the balance of labels."""
-    seen = samples.agg(
+def metered(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """`rows`, and what there is to know of them once they were written: written, failed, models.
+
+    The counters are taken while the rows pass, so nothing is read again. Write the result as it
+    comes, with no shuffle behind it: Spark counts a task of the last stage once, however often
+    it ran, and promises that of no earlier stage.
+    """
+    seen = Observation()
+    ok = F.col("error").isNull()
+    return rows.observe(
+        seen,
+        F.count_if(ok).alias("samples_written"),
+        F.count_if(~ok).alias("failure_count"),
+        F.collect_set(F.when(ok, F.col("model"))).alias("models"),
+    ), seen
+
+
+def run_counters(samples: DataFrame, done: int, retried: int, written: Sequence[Observation]) -> DataFrame:
+    """One row: seen, written, skipped, retried and failed samples and the balance of labels.
+
+    `written` are the meters of the parts of a run. They stand still until their part is
+    written, so this is for the end of a run; only the labels of the samples are read here.
+    """
+    parts = [meter.get for meter in written]
+    models = sorted({m for part in parts for m in part["models"]})
+    return samples.agg(
         F.count(F.lit(1)).alias("samples_seen"),
         F.count_if("label_hallucinated").alias("hallucinated"),
         F.count_if(~F.col("label_hallucinated")).alias("not_hallucinated"),
+        *[
+            F.lit(n).cast("bigint").alias(name)
+            for name, n in (
+                ("samples_skipped", done),
+                ("samples_written", sum(part["samples_written"] for part in parts)),
+                ("failure_count", sum(part["failure_count"] for part in parts)),
+                ("samples_retried", retried),
+            )
+        ],
+        F.lit(",".join(models)).alias("models_returned"),
     )
-    skipped = rows_before.select("sample_id").distinct().agg(F.count(F.lit(1)).alias("samples_skipped"))
-    new = rows_new.agg(
-        F.count_if(F.col("error").isNull()).alias("samples_written"),
-        F.count_if(F.col("error").isNotNull()).alias("failure_count"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("error").isNull(), F.col("model")))), ",").alias("models_returned"),
-    )
-    again = retried.agg(F.count(F.lit(1)).alias("samples_retried"))
-    return beside(seen, skipped, new, again)
 
 
 # -- checks before a run ----------------------------------------------------------------------

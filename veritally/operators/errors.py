@@ -6,24 +6,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.functions import text
-from veritally.operators.agreement import keep_last
+from veritally.operators.agreement import keep_last, sample_keys
 from veritally.scale import HOT_KEY_ROWS, attach_small, skew_join
 
 
 def bucketed_samples(samples: DataFrame) -> DataFrame:
-    """(sample_id, buckets), one row per id; the later row wins.
+    """(dataset, sample_id, buckets), one row per sample; the later row wins.
 
     The buckets are computed before the last row is chosen, so no text crosses the shuffle.
+    Samples that record no dataset are known by their id alone.
     """
+    keys = sample_keys(samples)
     contexts = F.coalesce(F.col("contexts"), F.array().cast("array<string>"))
     buckets = text.sample_buckets(text.context_chars(contexts), F.size(contexts), F.coalesce(F.col("answer"), F.lit("")))
-    return keep_last(samples.select("sample_id", "seq", buckets.alias("buckets")), ["sample_id"], "seq").drop("seq")
+    return keep_last(samples.select(*keys, "seq", buckets.alias("buckets")), keys, "seq").drop("seq")
 
 
 def rows_with_buckets(rows: DataFrame, samples: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Result rows with the buckets of their source sample; unmatched rows are dropped."""
+    """Result rows with the buckets of their source sample; unmatched rows are dropped.
+
+    Equal ids of two datasets are two samples. A missing dataset equals a missing one.
+    """
     narrow = rows.select("sample_id", "dataset", "series", "faithfulness", "label_hallucinated")
-    return skew_join(narrow, bucketed_samples(samples), ["sample_id"], "inner", hot_rows)
+    buckets = bucketed_samples(samples)
+    if "dataset" not in buckets.columns:
+        return skew_join(narrow, buckets, ["sample_id"], "inner", hot_rows)
+    named = F.coalesce(F.col("dataset"), F.lit("None"))
+    return skew_join(
+        narrow.withColumn("_dataset", named), buckets.withColumn("_dataset", named).drop("dataset"), ["_dataset", "sample_id"], "inner", hot_rows
+    ).drop("_dataset")
 
 
 def collect_errors(bucketed: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from veritally.plans.derive import (
     conversation_requests, flat_rows, fold_sql, h, hq, register_cte, rounded, samples, sql, table,
 )
 from veritally.plans.registry import registry
-from veritally.session import scratch_path
+from veritally.session import materialize, scratch_path
 from veritally.sources import datasets, files, requests, result_rows
 from veritally.streaming.jobs import resolve_options
 
@@ -508,7 +508,7 @@ def _(spark, d):
     return bookkeeping.pending_samples(samples(spark, d).select("sample_id", "dataset"), done)
 
 
-@query("drop_failed_rows", sql("SELECT 'kept' AS part, count(*) AS n, count(DISTINCT sample_id) AS samples FROM rows_ WHERE error IS NULL UNION ALL SELECT 'retry', count(DISTINCT sample_id), count(DISTINCT sample_id) FROM rows_ WHERE error IS NOT NULL", "rows_"))
+@query("drop_failed_rows", sql("SELECT 'kept' AS part, count(*) AS n, count(DISTINCT sample_id) AS samples FROM rows_ WHERE error IS NULL UNION ALL SELECT 'retry', count(DISTINCT (dataset, sample_id)), count(DISTINCT sample_id) FROM rows_ WHERE error IS NOT NULL", "rows_"))
 def _(spark, d):
     kept, retry = bookkeeping.drop_failed_rows(flat_rows(spark, d))
     n = F.count(F.lit(1)).alias("n")
@@ -524,12 +524,14 @@ def _(spark, d):
 
 @query("run_counters", sql(
     """SELECT (SELECT count(*) FROM samples) AS samples_seen, (SELECT count(*) FROM samples WHERE label_hallucinated) AS hallucinated, (SELECT count(*) FROM samples WHERE NOT label_hallucinated) AS not_hallucinated,
-         (SELECT count(DISTINCT sample_id) FROM rows_ WHERE judge = 'peer' AND error IS NULL) AS samples_skipped, (SELECT count(*) FROM rows_ WHERE judge = 'cloud' AND error IS NULL) AS samples_written,
-         (SELECT count(*) FROM rows_ WHERE judge = 'cloud' AND error IS NOT NULL) AS failure_count, 'large-a' AS models_returned, (SELECT count(DISTINCT sample_id) FROM rows_ WHERE judge = 'peer' AND error IS NOT NULL) AS samples_retried""", "rows_"))
+         (SELECT count(DISTINCT (dataset, sample_id)) FROM rows_ WHERE judge = 'peer' AND error IS NULL) AS samples_skipped, (SELECT count(*) FROM rows_ WHERE judge = 'cloud' AND error IS NULL) AS samples_written,
+         (SELECT count(*) FROM rows_ WHERE judge = 'cloud' AND error IS NOT NULL) AS failure_count, 'large-a' AS models_returned, (SELECT count(DISTINCT (dataset, sample_id)) FROM rows_ WHERE judge = 'peer' AND error IS NOT NULL) AS samples_retried""", "rows_"))
 def _(spark, d):
     rows = flat_rows(spark, d)
     kept, retry = bookkeeping.drop_failed_rows(rows.filter("judge = 'peer'"))
-    return bookkeeping.run_counters(samples(spark, d), kept, rows.filter("judge = 'cloud'"), retry)
+    new, meter = bookkeeping.metered(rows.filter("judge = 'cloud'"))
+    result_rows.write_result_rows(materialize(new, "new-rows"), scratch_path(spark, "rows"))
+    return bookkeeping.run_counters(samples(spark, d), kept.select("dataset", "sample_id").distinct().count(), retry.count(), [meter])
 
 
 @query("peak_resources", sql(

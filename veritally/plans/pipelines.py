@@ -5,9 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.functions import spans as S
@@ -128,25 +127,24 @@ def run_benchmark(
         shown = "; ".join(f"{r.name}: {r.stored!r} -> {r.current!r}" for r in different[:50]) + ("; and more" if len(different) > 50 else "")
         raise IncompatibleRunError(f"rows were scored under another configuration ({shown}); use another folder")
 
-    failed_ids = spark.createDataFrame([], "sample_id string")
     # A sample's last row counts: failed rows that are retried are superseded, not rewritten.
-    latest = _last_rows(before)
-    done = latest
+    newest, old = bookkeeping.metered(_last_rows(before))
+    done = latest = materialize(newest, "last-rows")
+    good, bad = old.get["samples_written"], old.get["failure_count"]
     if retry_failed:
-        done, failed_ids = bookkeeping.drop_failed_rows(latest)
+        done, _ = bookkeeping.drop_failed_rows(latest)
     todo = materialize(bookkeeping.pending_samples(samples.withColumn("dataset", F.lit(config.dataset)), done), "todo")
     identity = run_id(spark, config)
     # Recorded before the first row, so that what a lost run has written can be gone on with.
     begun = current.select(F.lit(identity).alias("run_id"), "config", F.current_timestamp().alias("begun_at"))
     begun.write.mode("append").parquet(f"{out}/begun")
     parts = max(1, -(-todo.count() // part_rows))
-    written = [
+    meters = [
         _score_part(todo.filter(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == n), factory, config, chosen, detect, add_spans, identity, rows_path)
         for n in range(parts)
     ]
-    new = reduce(DataFrame.unionByName, written)
     stamp = dt.datetime.now(dt.timezone.utc)
-    counters = bookkeeping.run_counters(samples, done, new, failed_ids)
+    counters = bookkeeping.run_counters(samples, good if retry_failed else good + bad, bad if retry_failed else 0, meters)
     record = materialize(
         counters.select(
             F.lit(identity).alias("run_id"), F.create_map(*[F.lit(x) for pair in config.as_map().items() for x in pair]).alias("config"), "samples_seen", "hallucinated", "not_hallucinated", "samples_skipped",
@@ -158,8 +156,8 @@ def run_benchmark(
     return record
 
 
-def _score_part(todo, factory, config, chosen, detect, add_spans, identity, rows_path) -> DataFrame:
-    """Mask, score and append one part of the samples; its rows are durable before the next part begins."""
+def _score_part(todo, factory, config, chosen, detect, add_spans, identity, rows_path) -> Observation:
+    """Mask, score and append one part of the samples; its rows are durable before the next part begins. Returns its meter."""
     masked = privacy.sanitize_requests(add_spans(todo) if add_spans else todo, config.privacy_mode, config.entities, config.score_threshold, detect)
     scored = judge.score_with_judge(
         masked.drop("mapping"), factory, judge=config.judge, model=config.model, metrics=chosen, k=config.k, strict=config.strict
@@ -169,12 +167,11 @@ def _score_part(todo, factory, config, chosen, detect, add_spans, identity, rows
         "verdicts", privacy.restore_verdicts(F.col("verdicts"), F.col("mapping"))
     ).drop("mapping")
     stamp = dt.datetime.now(dt.timezone.utc)
-    new = materialize(
-        restored.select("*", F.lit(identity).alias("run_id"), F.lit(config.privacy_mode).alias("privacy_mode"), F.lit(stamp).alias("scored_at")),
-        "new-rows",
+    new, meter = bookkeeping.metered(
+        restored.select("*", F.lit(identity).alias("run_id"), F.lit(config.privacy_mode).alias("privacy_mode"), F.lit(stamp).alias("scored_at"))
     )
-    result_rows.write_result_rows(new, rows_path)
-    return new
+    result_rows.write_result_rows(materialize(new, "new-rows"), rows_path)
+    return meter
 
 
 def _row_schema() -> str:

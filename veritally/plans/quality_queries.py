@@ -482,14 +482,15 @@ register_cte(
     "bucketed",
     """
 sample_buckets AS (
-  SELECT sample_id, CASE WHEN len(b) = 0 THEN ['plain'] ELSE b END AS buckets FROM (
-    SELECT sample_id, [x for x in [
+  SELECT sample_id, dataset, CASE WHEN len(b) = 0 THEN ['plain'] ELSE b END AS buckets FROM (
+    SELECT sample_id, dataset, [x for x in [
       CASE WHEN list_sum([length(x) for x in contexts]) >= 2000 THEN 'long_context' END,
       CASE WHEN len(contexts) > 1 THEN 'multi_passage' END,
       CASE WHEN regexp_matches(answer, '\\p{Nd}') THEN 'numeric_claim' END,
       CASE WHEN regexp_matches(answer, '(?i)\\band\\b|\\bwhile\\b|\\balthough\\b|;') THEN 'conjoined_claims' END,
       CASE WHEN length(answer) < 120 THEN 'short_answer' END] if x IS NOT NULL] AS b FROM samples)),
-bucketed AS (SELECT n.sample_id, n.dataset, n.series, n.faithfulness, n.label_hallucinated, buckets FROM named n JOIN sample_buckets USING (sample_id))""",
+bucketed AS (SELECT n.sample_id, n.dataset, n.series, n.faithfulness, n.label_hallucinated, buckets
+  FROM named n JOIN sample_buckets b ON b.sample_id = n.sample_id AND b.dataset IS NOT DISTINCT FROM n.dataset)""",
     ("named",),
 )
 register_cte(
@@ -512,7 +513,7 @@ def _decisions(rows):
     return best.join(held, "series", "left").select("series", F.coalesce("_h", "threshold").alias("threshold"))
 
 
-@query("sample_buckets", sql("SELECT sample_id, array_to_string(buckets, ',') AS buckets FROM sample_buckets", "bucketed"))
+@query("sample_buckets", sql("SELECT sample_id, dataset, array_to_string(buckets, ',') AS buckets FROM sample_buckets", "bucketed"))
 def _(spark, d):
     return errors.bucketed_samples(samples(spark, d, True)).withColumn("buckets", F.array_join("buckets", ","))
 
