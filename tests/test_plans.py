@@ -58,3 +58,17 @@ def test_spans_are_merged_in_one_read_and_two_shuffles(spark):
     assert plan(privacy.merge_overlapping_spans(spans)).count("Exchange hashpartitioning") == base + 2
     text = plan(entry.queries()["merge_overlapping_spans"](spark, SF_DIR))
     assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") <= 3  # one of them spreads the documents
+
+
+def test_a_large_draw_sorts_only_what_it_draws(spark):
+    pool = derive.samples(spark, SF_DIR).filter("label_hallucinated is not null")
+    drawn = datasets.stratified_sample(pool, 5_000)
+    text = plan(drawn)
+    lines = text.splitlines()
+    sort = max(i for i, line in enumerate(lines) if "Sort [_label" in line)
+    assert any("_cut" in line and "Filter" in line for line in lines[sort:])  # below the last sort: rows past the cut are gone
+
+
+def test_an_error_table_reads_rows_once(spark):
+    text = plan(entry.queries()["bucket_table"](spark, SF_DIR))
+    assert text.count("FileScan") == 1  # the stored counts

@@ -220,3 +220,18 @@ def test_equal_ids_of_two_datasets_are_two_samples(spark):
     for hot_rows in (1, 1_000):
         got = by(errors.rows_with_buckets(rows, pool, hot_rows), "dataset")
         assert {d: r["buckets"] for d, r in got.items()} == {"one": ["plain"], "two": ["short_answer"], None: ["numeric_claim"]}
+
+
+def test_rates_from_counts_are_those_of_the_cases(spark):
+    rows = flat(spark, [(s, d, j, "m", (i + k) % 3 == 0, (i * 7 + k) % 21 / 20.0, 1.0) for i, s in enumerate("abcabczz") for k, d in enumerate(("one", None)) for j in ("slm", "cloud")])
+    pool = spark.createDataFrame(
+        [(s, d, n, a, c) for n, (s, a, c) in enumerate((("a", "z" * 130, ["short"]), ("b", "Snow.", []), ("c", "In 1990.", ["x", "y"]))) for d in ("one", None)],
+        "sample_id string, dataset string, seq bigint, answer string, contexts array<string>",
+    )
+    named = quality.assign_series(rows)
+    bucketed = errors.rows_with_buckets(named, pool)
+    chosen = quality.thresholds_from_counts(quality.score_counts(named, ["series"], stats.DEFAULT_SALT))
+    want = by(errors.bucket_table(errors.collect_errors(bucketed, chosen), errors.bucket_totals(bucketed)), "bucket")
+    got = by(errors.bucket_rates(errors.bucket_counts(rows, pool)), "bucket")
+    assert got == want and sum(r["false_negatives"] + r["false_positives"] for r in got.values()) > 0
+    assert errors.bucket_rates(errors.bucket_counts(rows.limit(0), pool)).count() == 0

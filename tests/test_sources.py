@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import by
 from veritally.operators import agreement, bookkeeping, quality
@@ -252,3 +253,26 @@ def test_flat_rows_feed_the_report(spark, rows_dir):
     flat = result_rows.flatten_rows(result_rows.read_result_rows(spark, str(rows_dir)))
     [r] = quality.judge_report(quality.assign_series(flat)).collect()
     assert (r.scored, r.failed, r.unlabeled) == (2, 1, 1)
+
+
+@pytest.mark.parametrize("order", ["id", "id % 7", "md5(string(id))", "if(id % 40 > 0, -id, null)"])
+def test_large_draws_are_cut_by_heaps(spark, order):
+    pool = spark.range(9_000).repartition(5).select(
+        F.col("id"), F.expr(order).alias("seq"), F.when(F.col("id") % 50 > 0, F.col("id") % 5 == 0).alias("label_hallucinated"), F.when(F.col("id") % 3 > 0, "qa").alias("task_type")
+    )
+    drawn = datasets.stratified_sample(pool, 2_000)
+    strata = {}
+    for r in pool.collect():
+        strata.setdefault((r.label_hallucinated, r.task_type), []).append((r.seq is not None, r.seq))
+    got = {}
+    for r in drawn.collect():
+        got.setdefault((r.label_hallucinated, r.task_type), []).append((r.seq is not None, r.seq))
+    assert sum(map(len, got.values())) == 2_000
+    for stratum, rows in got.items():
+        assert abs(len(rows) - len(strata[stratum]) * 2_000 / 9_000) < 1
+        assert sorted(rows, key=lambda x: (x[0], x[1] if x[0] else 0)) == sorted(strata[stratum], key=lambda x: (x[0], x[1] if x[0] else 0))[: len(rows)]
+
+
+def test_an_empty_pool_has_no_large_draw(spark):
+    pool = spark.createDataFrame([], "seq bigint, label_hallucinated boolean, task_type string")
+    assert datasets.stratified_sample(pool, 5_000).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritally.functions import stats
 from veritally.operators.quality import holdout_or_best
-from veritally.scale import attach_small, running_totals
+from veritally.scale import attach_small, running_totals, settle_small
 
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -105,8 +105,9 @@ def spearman(counts: DataFrame) -> DataFrame:
 
 def kappa_between(counts: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Agreement of the calls two judges make, each at its own best in-sample threshold."""
-    best_a = thresholds.select(F.col("series").alias("judge_a"), F.col("threshold").alias("ta"))
-    best_b = thresholds.select(F.col("series").alias("judge_b"), F.col("threshold").alias("tb"))
+    known = settle_small(thresholds.select("series", "threshold"))
+    best_a = known.select(F.col("series").alias("judge_a"), F.col("threshold").alias("ta"))
+    best_b = known.select(F.col("series").alias("judge_b"), F.col("threshold").alias("tb"))
     joined = attach_small(attach_small(counts, best_a, ["judge_a"], "inner"), best_b, ["judge_b"], "inner")
     a, b, n = F.col("score_a") < F.col("ta"), F.col("score_b") < F.col("tb"), F.col("n")
 

@@ -24,6 +24,10 @@ def labeled_scored(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("faithfulness").isNotNull() & F.col("label_hallucinated").isNotNull())
 
 
+#: What a series is named by.
+SERIES_FACTS = ("judge", "model", "dataset", "run_id")
+
+
 def assign_series(rows: DataFrame) -> DataFrame:
     """Name the reporting series: the judge, qualified by what it spans more than one of.
 
@@ -72,10 +76,12 @@ def sweep_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Metrics at all 21 thresholds from score counts.
 
     Each score belongs to the first threshold above it, so a key shrinks to at most 22
-    numbers before the thresholds are spread out.
+    numbers before the thresholds are spread out. Counts that already name that threshold
+    (`above`) instead of a score are taken as they are.
     """
     keys = list(keys)
-    per_bucket = counts.groupBy(*keys, stats.threshold_bucket(F.col("score")).alias("_b")).agg(
+    above = F.col("above") if "above" in counts.columns else stats.threshold_bucket(F.col("score"))
+    per_bucket = counts.groupBy(*keys, above.alias("_b")).agg(
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n")
     )
     packed = per_bucket.groupBy(*keys).agg(
@@ -334,6 +340,13 @@ def judge_report(rows: DataFrame, salt: str = stats.DEFAULT_SALT) -> DataFrame:
     return report
 
 
+def thresholds_from_counts(counts: DataFrame) -> DataFrame:
+    """The threshold each series is judged at, from its counts per fold: held-out, else in-sample."""
+    best = best_threshold(sweep_counts(counts, ["series"]))
+    held = holdout_from_counts(counts).select("series", F.col("threshold").alias("_held"))
+    return best.join(held, "series", "left").select("series", F.coalesce("_held", "threshold").alias("threshold"))
+
+
 def decision_thresholds(report: DataFrame) -> DataFrame:
     """The threshold each series is judged at: held-out, else in-sample, else no row."""
     return report.select(

@@ -507,10 +507,7 @@ cases AS (
 
 
 def _decisions(rows):
-    counts = quality.score_counts(rows, ["series"], stats.DEFAULT_SALT)
-    best = quality.best_threshold(quality.sweep_counts(counts, ["series"]))
-    held = quality.holdout_from_counts(counts).select("series", F.col("threshold").alias("_h"))
-    return best.join(held, "series", "left").select("series", F.coalesce("_h", "threshold").alias("threshold"))
+    return quality.thresholds_from_counts(quality.score_counts(rows, ["series"], stats.DEFAULT_SALT))
 
 
 @query("sample_buckets", sql("SELECT sample_id, dataset, array_to_string(buckets, ',') AS buckets FROM sample_buckets", "bucketed"))
@@ -557,10 +554,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    rows = series_rows(spark, d)
-    bucketed = errors.rows_with_buckets(rows, samples(spark, d, True))
-    cases = errors.collect_errors(bucketed, _decisions(rows))
-    return rounded(errors.bucket_table(cases, errors.bucket_totals(bucketed)))
+    return rounded(errors.bucket_rates(errors.bucket_counts(flat_rows(spark, d), samples(spark, d, True))))
 
 
 @query(

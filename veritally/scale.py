@@ -59,6 +59,17 @@ def attach_small(
     return salted_join(big, small, on, how)
 
 
+def settle_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+    """A summary worked out once, for plans that join it several times.
+
+    Within the bound it becomes a literal table, which costs no job to read again; beyond it, a stored one.
+    """
+    head = df.limit(max_rows + 1).collect()
+    if len(head) <= max_rows:
+        return df.sparkSession.createDataFrame(head, df.schema)
+    return materialize(df, "summary")
+
+
 def beside(*single_rows: DataFrame) -> DataFrame:
     """Tables of one row each as one row, without a join: stacked, then folded."""
     stacked = single_rows[0]
@@ -233,6 +244,49 @@ def percentiles_from_counts(
     )
 
 
+#: Tasks among which the smallest rows of all partitions are merged.
+MERGE_TASKS = 64
+
+
+def _keep_smallest(batches):
+    """The `_quota` smallest `_key` of each `_group` in one task, never holding more than twice as many and a batch."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def smallest(keys: pa.Array, quota: int) -> pa.Array:
+        if len(keys) <= quota:
+            return keys
+        return keys.take(pc.select_k_unstable(pa.table({"k": keys}), k=quota, sort_keys=[("k", "ascending")]))
+
+    held: dict[str, pa.Array] = {}
+    quotas: dict[str, int] = {}
+    for batch in batches:
+        groups = batch.column("_group")
+        for group in pc.unique(groups).to_pylist():
+            rows = batch.filter(pc.equal(groups, group))
+            quota = quotas.setdefault(group, rows.column("_quota")[0].as_py())
+            keys = rows.column("_key")
+            if group in held:
+                keys = pa.concat_arrays([held[group], keys])
+            held[group] = keys if len(keys) <= 2 * quota else smallest(keys, quota)
+    for group, keys in held.items():
+        keys = smallest(keys, quotas[group])
+        yield pa.RecordBatch.from_arrays([pa.array([group] * len(keys)), keys, pa.array([quotas[group]] * len(keys), pa.int64())], ["_group", "_key", "_quota"])
+
+
+def quota_cuts(df: DataFrame, group: Column, key: Column, quota: Column) -> DataFrame:
+    """(group, cut): the largest key among the `quota` smallest of every group, which is all that is needed to cut the group.
+
+    A bounded heap per group and task, merged twice: nothing is sorted, and a task hands on no more rows than the
+    quotas add up to. `quota` is one number per group, keys are not null.
+    """
+    narrow = df.select(group.cast("string").alias("_group"), key.alias("_key"), quota.cast("bigint").alias("_quota")).filter("_quota > 0 AND _key IS NOT NULL")
+    first = narrow.mapInArrow(_keep_smallest, narrow.schema)
+    second = first.repartition(MERGE_TASKS, F.xxhash64("_group", "_key")).mapInArrow(_keep_smallest, narrow.schema)
+    last = second.repartition("_group").mapInArrow(_keep_smallest, narrow.schema)
+    return last.groupBy("_group").agg(F.max("_key").alias("_cut"))
+
+
 def running_max(
     df: DataFrame,
     keys: Sequence[str],

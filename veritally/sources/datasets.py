@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from veritally import schemas
 from veritally.functions import text
 from veritally.operators.agreement import keep_last
-from veritally.scale import HOT_KEY_ROWS, attach_small, beside, dense_row_number, exact_percentiles, prefix_sums, skew_join
+from veritally.scale import (
+    HOT_KEY_ROWS, attach_small, beside, dense_row_number, exact_percentiles, prefix_sums, quota_cuts, settle_small, skew_join,
+)
 from veritally.session import materialize
 
 FILE_ORDER = ("source_path", "block_start", "row_in_scan")
@@ -162,12 +164,17 @@ def seeded_shuffle(samples: DataFrame, seed: int) -> DataFrame:
 #: Parts in which a stratum is ordered and cut before its first rows are.
 STRATUM_PIECES = 64
 
+#: Beyond this limit Spark no longer cuts a group while it sorts it, so the place of the cut is found first.
+SORTED_LIMIT = 1_000
+
 
 def stratified_sample(samples: DataFrame, limit: int, order: str = "seq") -> DataFrame:
     """`limit` samples keeping the share of every (label, task type) stratum.
 
     Quotas are floors plus largest remainders. A row competes only with its own stratum, and
-    the literal bound on the row number lets Spark cut each stratum before the shuffle.
+    the literal bound on the row number lets Spark cut each stratum before the shuffle. For a
+    limit above `SORTED_LIMIT` the last row of every quota is found first, by bounded heaps, and
+    only rows up to it are sorted: as many as are drawn, and those that tie with the last.
     """
     if limit <= 0:
         raise ValueError(f"cannot draw {limit} samples")
@@ -191,6 +198,9 @@ def stratified_sample(samples: DataFrame, limit: int, order: str = "seq") -> Dat
         .otherwise(F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("int"))
         .alias("_quota"),
     )
+    if limit > SORTED_LIMIT:
+        quotas = settle_small(quotas)
+        keyed = _up_to_the_quota(keyed, quotas, keys, order)
     # A stratum is cut in many places first: what is then ordered in one is `limit` rows of each.
     piece = Window.partitionBy(*keys, "_piece").orderBy(order)
     pieces = keyed.withColumn("_piece", F.pmod(F.xxhash64(order), F.lit(STRATUM_PIECES)))
@@ -200,6 +210,15 @@ def stratified_sample(samples: DataFrame, limit: int, order: str = "seq") -> Dat
     return attach_small(first, quotas, keys, "inner").filter(F.col("_pos") <= F.col("_quota")).drop("_pos", "_quota", "_task", "_label")
 
 
+def _up_to_the_quota(keyed: DataFrame, quotas: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows that can be among the first of their stratum. Rows without an order come first, so they stay."""
+    group = F.concat_ws("|", *keys)  # labels hold no bar
+    sized = attach_small(keyed.select(*keys, order), quotas, keys, "inner")
+    cuts = quota_cuts(sized, group, F.col(order), F.col("_quota"))
+    near = attach_small(keyed.withColumn("_group", group), cuts, ["_group"], "left")
+    return near.filter(F.col(order).isNull() | (F.col(order) <= F.col("_cut"))).drop("_group", "_cut")
+
+
 def draw(
     samples: DataFrame,
     *,
