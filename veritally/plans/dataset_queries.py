@@ -51,8 +51,7 @@ def _(spark, d):
     # Some lines end half-way, as after a crash.
     broken = F.when(cut, F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line)
     whole.select(broken.alias("value")).write.text(path)
-    lines = spark.read.schema(schemas.RESULT_ROW).option("mode", "DROPMALFORMED").json(path)
-    return rounded(result_rows.flatten_rows(lines.filter(F.col("sample_id").isNotNull())).select(*FLAT_NAMES))
+    return rounded(result_rows.flatten_rows(result_rows.read_rows_tolerant(spark, path)).select(*FLAT_NAMES))
 
 
 register_cte(
@@ -310,30 +309,37 @@ def _(spark, d):
 def strata_sql(limit: int, order: str, source: str) -> str:
     return f"""
     strata AS (SELECT label_hallucinated AS l, task_type AS t, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM {source} GROUP BY ALL),
-    quota AS (SELECT l, t, n, total, n * {limit} // total AS fl, row_number() OVER (ORDER BY (n * {limit}) % total DESC, l, t) AS rk FROM strata),
+    quota AS (SELECT l, t, n, total, n * {limit} // total AS fl, row_number() OVER (ORDER BY (n * {limit}) % total DESC, coalesce(l::VARCHAR, 'unknown'), coalesce(t, '')) AS rk FROM strata),
     quotas AS (SELECT l, t, CASE WHEN total <= {limit} THEN n ELSE fl + CASE WHEN rk <= {limit} - (SELECT sum(fl) FROM quota) THEN 1 ELSE 0 END END AS q FROM quota),
     placed AS (SELECT *, row_number() OVER (PARTITION BY label_hallucinated, task_type ORDER BY {order}) AS pos FROM {source}),
-    drawn_s AS (SELECT p.* FROM placed p JOIN quotas ON l = label_hallucinated AND t = task_type WHERE pos <= q)"""
+    drawn_s AS (SELECT p.* FROM placed p JOIN quotas ON l IS NOT DISTINCT FROM label_hallucinated AND t IS NOT DISTINCT FROM task_type WHERE pos <= q)"""
 
 
 register_cte("labeled_samples", "labeled_samples AS (SELECT * FROM samples WHERE label_hallucinated IS NOT NULL)", ("samples",))
 
 
-@query("stratified_sample", sql(", " + strata_sql(60, "seq", "labeled_samples").strip() + " SELECT sample_id, label_hallucinated, task_type FROM drawn_s", "labeled_samples"))
+@query("stratified_sample", sql(", " + strata_sql(60, "seq", "samples").strip() + " SELECT sample_id, label_hallucinated, task_type FROM drawn_s", "samples"))
 def _(spark, d):
-    labeled = samples(spark, d).filter("label_hallucinated is not null")
-    return datasets.stratified_sample(labeled, 60).select("sample_id", "label_hallucinated", "task_type")
+    """Samples without a label are strata of their own."""
+    return datasets.stratified_sample(samples(spark, d), 60).select("sample_id", "label_hallucinated", "task_type")
+
+
+@query("stratified_sample_large", sql(", " + strata_sql(2000, "seq", "rows_").strip().replace("task_type", "judge") + " SELECT sample_id, label_hallucinated, judge AS task_type, seq FROM drawn_s", "rows_"))
+def _(spark, d):
+    """A draw of more rows than Spark cuts while it sorts, from all result rows; the judge is the task."""
+    pool = flat_rows(spark, d).withColumn("task_type", F.col("judge"))
+    return datasets.stratified_sample(pool, 2000).select("sample_id", "label_hallucinated", "task_type", "seq")
 
 
 register_cte(
     "draw",
-    "test_samples AS (SELECT *, md5('7|' || sample_id) || '|' || sample_id AS draw_order FROM labeled_samples WHERE split = 'test'),\n" + strata_sql(40, "draw_order", "test_samples").strip(),
-    ("labeled_samples",),
+    "test_samples AS (SELECT *, md5('7|' || sample_id) || '|' || sample_id AS draw_order FROM samples WHERE split = 'test'),\n" + strata_sql(40, "draw_order", "test_samples").strip(),
+    ("samples",),
 )
 
 
 def _draw(spark, d):
-    return datasets.draw(samples(spark, d).filter("label_hallucinated is not null"), split="test", seed=7, stratify=True, limit=40)
+    return datasets.draw(samples(spark, d), split="test", seed=7, stratify=True, limit=40)
 
 
 @query("draw", sql("SELECT sample_id, label_hallucinated, task_type, draw_order FROM drawn_s", "draw"))
@@ -372,9 +378,9 @@ def _(spark, d):
 
 
 @query("label_balance", sql(
-    "SELECT count(*) AS samples, count(*) FILTER (label_hallucinated) AS positives, round(count(*) FILTER (label_hallucinated)::DOUBLE / count(*), 9) AS share, CASE WHEN count(*) FILTER (label_hallucinated)::DOUBLE / count(*) BETWEEN 0.1 AND 0.9 THEN 'OK' ELSE 'WARN' END AS status FROM labeled_samples", "labeled_samples"))
+    "SELECT count(*) AS samples, count(*) FILTER (label_hallucinated) AS positives, round(count(*) FILTER (label_hallucinated)::DOUBLE / count(*), 9) AS share, CASE WHEN count(*) FILTER (label_hallucinated)::DOUBLE / count(*) BETWEEN 0.1 AND 0.9 THEN 'OK' ELSE 'WARN' END AS status FROM samples", "samples"))
 def _(spark, d):
-    return rounded(bookkeeping.label_balance(samples(spark, d).filter("label_hallucinated is not null")))
+    return rounded(bookkeeping.label_balance(samples(spark, d)))
 
 
 @query("holdout_viability", sql(
