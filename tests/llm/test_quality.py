@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import numpy as np
 
 from veritally.llm import quality
@@ -46,3 +49,44 @@ def test_temperature_and_fit():
     apart = np.arange(600) % 7 == 0
     network = quality.Network(x, y, apart)
     assert ((network.scores(x) >= 0.5) == y)[apart].mean() > 0.75 and network.temperature > 0
+
+
+def test_scores_are_those_of_plain_python(spark):
+    texts = ["One day, we saw 12 boats; boats and boats.", "BUY buy BUY!!! 99% off off off", "", "éa éa b", "x", "Long words here. " * 40]
+    docs = spark.createDataFrame([(i, texts[i % 6] + ("" if i < 6 else f" {i}")) for i in range(48)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 in (0, 3, 5))) for i in range(48)], "doc_id long, quality int")
+    vectors = quality.word_vectors(quality.context_sums(docs))
+    network = quality.fit(docs, labels, vectors)
+    got = {r.doc_id: r.score for r in quality.score(docs, vectors, network).collect()}
+    assert network.weights is not None
+
+    words = {r.doc_id: [bytes(g) for kind, g in itertools.groupby(r.text.encode(), lambda b: quality.KIND[b]) if kind] for r in docs.collect()}
+    bucket = {w: int(quality.tokens(np.array([0, len(w)]), np.frombuffer(w, np.uint8))[0][0]) for found in words.values() for w in found}
+
+    def index(b):
+        row = [0.0] * quality.DIMENSIONS
+        for place, sign in zip(quality.PLACES[b], quality.SIGNS[b], strict=True):
+            row[place] += float(sign)
+        return row
+
+    sums = {b: [0.0] * quality.DIMENSIONS for b in bucket.values()}
+    for found in words.values():
+        for i, w in enumerate(found):
+            for j in range(max(0, i - quality.WINDOW), min(len(found), i + quality.WINDOW + 1)):
+                if j != i:
+                    sums[bucket[w]] = [a + b for a, b in zip(sums[bucket[w]], index(bucket[found[j]]), strict=True)]
+
+    def vector(b):
+        size = math.sqrt(sum(v * v for v in sums[b]))
+        return [(v / size if size else 0.0) + own / math.sqrt(quality.NONZERO) for v, own in zip(sums[b], index(b), strict=True)]
+
+    plain = {b: vector(b) for b in sums}
+    for doc_id, found in words.items():
+        rows, n = [plain[bucket[w]] for w in found], max(len(found), 1)
+        mean = [sum(column) / n for column in zip(*rows, strict=True)] or [0.0] * quality.DIMENSIONS
+        spread = [math.sqrt(max(sum(v * v for v in column) / n - m * m, 0)) for column, m in zip(zip(*rows, strict=True), mean, strict=False)] or [0.0] * quality.DIMENSIONS
+        echo = [sum(bucket[a] == bucket[b] for a, b in zip(found, found[step:], strict=False)) / n for step in range(1, quality.ECHOES + 1)]
+        x = [(v - m) / s for v, m, s in zip([*mean, *spread, *echo, math.log(n)], network.shift, network.scale, strict=True)]
+        hidden = [max(0.0, sum(v * w for v, w in zip(x, column, strict=True)) + b) for column, b in zip(network.weights[0].T, network.weights[1], strict=True)]
+        logit = sum(h * w for h, w in zip(hidden, network.weights[2], strict=True)) + network.weights[3][0]
+        assert math.isclose(got[doc_id], 1 / (1 + math.exp(-min(max(logit / network.temperature, -30), 30))), abs_tol=1e-3)
