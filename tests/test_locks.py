@@ -47,6 +47,16 @@ def test_one_changed_id_is_found_in_a_few_nodes_a_level(spark, tmp_path):
     assert same.count() == 0 and once == [1]
 
 
+@pytest.mark.parametrize("step", [4, 8])
+def test_many_changed_ids_are_found_beside_each_other_and_apart(spark, step):
+    """Every run of four ids differs (one range), or every second one (a join)."""
+    ids = [f"id-{i}" for i in range(4000)]
+    a, b = (tree_of(spark, x, leaf=1) for x in (ids, [f"{s}x" if i % step == 0 else s for i, s in enumerate(ids)]))
+    found, compared = locks.diff_trees(a, b, fanout=4)
+    assert sorted(tuple(r) for r in found.collect()) == [(i, i, "changed") for i in range(0, 4000, step)]
+    assert compared[-2:] == [1000, 16000 // step]
+
+
 def test_trees_of_unequal_height_and_none(spark):
     short, long = tree_of(spark, ["a", "b"]), tree_of(spark, ["a", "b", *[f"c{i}" for i in range(30)]])
     assert [tuple(r) for r in locks.diff_trees(short, long, 4)[0].collect()] and locks.diff_trees(long, short, 4)[0].count() == 4

@@ -17,8 +17,9 @@ from veritally.session import materialize
 
 LEAF = 4096
 FANOUT = 64
-#: Most differing nodes that are listed in a filter; more are joined.
+#: Most differing nodes that are read, and most runs of neighbours among them that are listed in a filter; more are joined.
 LISTED_NODES = 1000
+LISTED_RUNS = 50
 
 NODE = "level int, node bigint, first bigint, last bigint, digest string"
 
@@ -63,6 +64,17 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NODE).parquet(path)
 
 
+def _runs(numbers: list[int]) -> list[tuple[int, int]]:
+    """First and last of every run of neighbours among ascending numbers."""
+    runs: list[tuple[int, int]] = []
+    for n in numbers:
+        if runs and n == runs[-1][1] + 1:
+            runs[-1] = (runs[-1][0], n)
+        else:
+            runs.append((n, n))
+    return runs
+
+
 def diff_trees(locked: DataFrame, actual: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, list[int]]:
     """(first, last, problem) of the runs that differ, and how many nodes were compared at each level from the top.
 
@@ -78,12 +90,13 @@ def diff_trees(locked: DataFrame, actual: DataFrame, fanout: int = FANOUT) -> tu
         sides = [t.filter(F.col("level") == level).select("node", "first", "last", "digest") for t in (locked, actual)]
         if found is not None:
             parent = F.floor(F.col("node") / fanout)
-            few = [r.node for r in found.select("node").limit(LISTED_NODES + 1).collect()]
-            if len(few) <= LISTED_NODES:
+            few = sorted(r.node for r in found.select("node").limit(LISTED_NODES + 1).collect())
+            runs = _runs(few)
+            if len(few) <= LISTED_NODES and len(runs) <= LISTED_RUNS:
                 # Children of these nodes are ranges of numbers, which the scan can skip to.
                 wanted = F.lit(False)
-                for n in few:
-                    wanted = wanted | F.col("node").between(n * fanout, (n + 1) * fanout - 1)
+                for a, b in runs:
+                    wanted = wanted | F.col("node").between(a * fanout, (b + 1) * fanout - 1)
                 sides = [s.filter(wanted) for s in sides]
             else:
                 above = found.select(F.col("node").alias("_above"))
