@@ -332,3 +332,28 @@ def test_the_threshold_decides_about_weak_forms(spark):
     df = spark.createDataFrame([("id 123456789",), ("ssn 123456789",), ("x" * 70 + " 123456789 and then, thirty letters later, an ssn",)], "t string")
     at = lambda low: [[(s.entity_type, s.score) for s in r.s] for r in df.select(S.detect_patterns(F.col("t"), ["US_SSN"], low).alias("s")).collect()]
     assert at(0.4) == [[], [("US_SSN", 0.4)], []] and at(0.05) == [[("US_SSN", 0.05)], [("US_SSN", 0.4)], [("US_SSN", 0.05)]] and at(0.5) == [[], [], []]
+
+
+ODD_NUMBERS = [
+    "x4111-1111-1111-1111 4111-1111-1111-1111x 4111 1111 1111 1111", "(202) 555-1234+1 202-555-1234 _202-555-1234", "12345678901234567890 3782 822463 10005.",
+    "facade:1::2 a.1.2.3.4 1.2.3.4.5 1:2:3:4:5:6:7:8.1.1.1 ::1 fe80::1f", "1.1.1.1", "123-45-6789 123-45-6789x é123-45-6789é", "ssn 234561234, 234561234_", "+12 34 56 78 ", "", None,
+]
+
+
+def test_numbers_are_found_in_runs_as_in_whole_texts(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD_NUMBERS, " é ".join(filter(None, ODD_NUMBERS))])], "i int, t string")
+    t = F.col("t")
+    weak = [F.filter(S.weak_spans(t, e, p, score, words), lambda s: s["score"] >= 0.4) for e, p, score, words in S.WEAK]
+    whole = F.coalesce(F.array_sort(F.concat(*[S.pattern_spans(t, e) for e in S.PATTERNS], *weak)), F.array().cast(f"array<{S.SPAN_SQL}>"))
+    rows = df.select("i", S.detect_patterns(t).alias("got"), whole.alias("whole")).collect()
+    assert all(r.got == r.whole for r in rows) and sum(len(r.got) for r in rows) > 20
+
+
+def test_text_far_from_an_at_sign_is_not_searched_for_addresses(spark):
+    far, run = "word " * 500, "x" * 400
+    texts = [f"{far}a@b.org%c@d.org {far}e@f.org{far}", f"{run}@{run}.org", f"{far}{run}@b.org {far}", f"@ {far}@{far}g@h.org"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pattern = F.lit(S.PATTERNS["EMAIL_ADDRESS"][0])
+    rows = df.select("t", S._beside_at(F.col("t")).alias("near"), F.regexp_extract_all("t", pattern, F.lit(0)).alias("all")).withColumn("found", F.regexp_extract_all("near", pattern, F.lit(0))).collect()
+    assert all(r.found == r["all"] for r in rows) and [len(r.found) for r in rows] == [3, 1, 1, 1]
+    assert len(rows[0].near) < 1500 < len(rows[0].t) and rows[1].near == rows[1].t
