@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tests.helpers import by
@@ -176,3 +177,39 @@ def test_job_flow_settles_each_job_once_and_its_state_stays_bounded(spark, tmp_p
     want = {"a": ("done", "ra", None, 1), "b": ("done", "rb", None, 2), "c": ("error", None, "unreadable", 1), "d": ("error", None, "D1", 1), "e": ("error", None, "E2", 2), "f": ("error", None, "never attempted", 0), "g": ("rejected", None, "no metric", 0)}
     for wave in range(4):
         assert {r.job_id[0]: (r.status, r.result_json, r.error, r.attempts) for r in got if r.job_id[1] == str(wave)} == want
+
+
+def test_a_job_that_is_settled_at_once_costs_three_messages():
+    """Every use of a state or a timer is a message to the JVM, and a job is one key."""
+    calls, kept = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            def call(*args):
+                calls.append(what)
+                if what == "update":
+                    kept[self.name] = args[0]
+                return kept.get(self.name) if what == "get" else kept.pop(self.name, None) if what == "clear" else None
+
+            return call
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return State(name)
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append(("timer", at))
+
+    job = flow.Settling(2, 1000)
+    job.init(Handle())
+    tried = lambda n, error: Row(attempt=n, unreadable=False, result_json=None if error else "r", error=error, submitted_ms=5)
+    rows = [tried(2, None), tried(1, "failed")]
+    assert [tuple(r) for r in job.handleInputRows(("a",), iter(rows), None)] == [("a", "done", "r", None, 2)]
+    assert calls == ["get", ("timer", 1005), "update"]
+    assert list(job.handleInputRows(("a",), iter(rows), None)) == [] and list(job.handleExpiredTimer(("a",), None, None)) == [] and not kept
+    # In two batches, and by the timer.
+    assert list(job.handleInputRows(("b",), iter([tried(1, "failed")]), None)) == []
+    assert [tuple(r) for r in job.handleExpiredTimer(("b",), None, None)] == [("b", "error", None, "failed", 1)] and not kept

@@ -8,10 +8,10 @@ removes the mark that it is.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -49,47 +49,42 @@ class Settling(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tries = handle.getMapState("tries", "attempt int", "unreadable boolean, result_json string, error string")
-        self.done = handle.getValueState("done", "done boolean")
+        # One value per job, read and written once a batch: every use of a state is a message to the JVM.
+        self.job = handle.getValueState("job", "done boolean, tries string")
 
-    def _known(self) -> dict[int, Try]:
-        return {int(k[0]): (bool(v[0]), v[1], v[2]) for k, v in self.tries.iterator()}
+    def _known(self, job) -> dict[int, Try]:
+        return {int(a): tuple(t) for a, t in json.loads(job[1]).items()} if job else {}
 
-    def _emit(self, key, outcome) -> Iterator[pd.DataFrame]:
-        self.tries.clear()
+    def _row(self, key, outcome) -> Row:
         status, result, error, attempts = outcome
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "result_json": [result], "error": [error], "attempts": [attempts]})
+        return Row(job_id=key[0], status=status, result_json=result, error=error, attempts=attempts)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.done.exists():
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        job = self.job.get()
+        if job and job[0]:
             return  # a late attempt, or the submission once more
-        known = self._known()
-        new = next(iter(self.handle.listTimers()), None) is None
-        closed = False
-        for frame in rows:
-            for attempt, unreadable, result, error, submitted in zip(
-                frame["attempt"], frame["unreadable"], frame["result_json"], frame["error"], frame["submitted_ms"], strict=True
-            ):
-                if new:
-                    self.handle.registerTimer(int(submitted) + self.patience_ms)
-                    new = False
-                if pd.isna(attempt):
-                    closed = True  # the join has given up: no attempt came in time
-                    continue
-                attempt, unreadable = int(attempt), bool(unreadable)
-                if attempt > self.most or (unreadable and attempt > 1) or attempt in known:
-                    continue
-                known[attempt] = (unreadable, None if pd.isna(result) else result, None if pd.isna(error) else error)
-                self.tries.updateValue((attempt,), known[attempt])
+        known = self._known(job)
+        new, closed = job is None, False
+        for row in rows:
+            if new:
+                self.handle.registerTimer(int(row.submitted_ms) + self.patience_ms)
+                new = False
+            if row.attempt is None:
+                closed = True  # the join has given up: no attempt came in time
+                continue
+            if row.attempt > self.most or (row.unreadable and row.attempt > 1) or row.attempt in known:
+                continue
+            known[row.attempt] = (bool(row.unreadable), row.result_json, row.error)
         outcome = settled(known, self.most, closed)
+        self.job.update((outcome is not None, json.dumps({} if outcome else known)))
         if outcome is not None:
-            self.done.update((True,))
-            yield from self._emit(key, outcome)
+            yield self._row(key, outcome)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.done.exists():
-            yield from self._emit(key, settled(self._known(), self.most, True))
-        self.done.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        job = self.job.get()
+        self.job.clear()
+        if not (job and job[0]):
+            yield self._row(key, settled(self._known(job), self.most, True))
 
     def close(self) -> None:
         pass
@@ -112,7 +107,7 @@ def job_flow(
     joined = queued.join(tried, in_time, "leftOuter").select(
         "job_id", "submitted_at", F.unix_millis("submitted_at").alias("submitted_ms"), "attempt", "unreadable", "result_json", "error"
     )
-    outcomes = joined.groupBy("job_id").transformWithStateInPandas(
+    outcomes = joined.groupBy("job_id").transformWithState(
         Settling(max_attempts, patience_ms), outputStructType=STATUS, outputMode="append", timeMode="eventTime"
     )
     refused = stored.filter("status = 'rejected'").select(
