@@ -357,3 +357,22 @@ def test_text_far_from_an_at_sign_is_not_searched_for_addresses(spark):
     rows = df.select("t", S._beside_at(F.col("t")).alias("near"), F.regexp_extract_all("t", pattern, F.lit(0)).alias("all")).withColumn("found", F.regexp_extract_all("near", pattern, F.lit(0))).collect()
     assert all(r.found == r["all"] for r in rows) and [len(r.found) for r in rows] == [3, 1, 1, 1]
     assert len(rows[0].near) < 1500 < len(rows[0].t) and rows[1].near == rows[1].t
+
+
+def test_addresses_are_found_from_their_at_signs(spark):
+    far, run = "word " * 100, "x" * 300
+    texts = [f"{far}a@b.org%c@d.org {far}e@f.org{far}", f"{run}@{run}.org", "a@b.com.x@d.org", "a@b@c.de@f.gh", "@@a@b.co@", "é@b.org x@b.org.é", f"{run}@b {run}@b.c1 ok@{run}.de", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(S._addresses(F.col("t")).alias("got"), S.pattern_spans(F.col("t"), "EMAIL_ADDRESS").alias("whole")).collect()
+    assert all((r.got or []) == (r.whole or []) for r in rows) and [len(r.got or []) for r in rows] == [3, 1, 2, 1, 1, 1, 1, 0, 0]
+
+
+def test_only_texts_with_colons_are_searched_for_long_addresses(spark):
+    texts = ["10.0.0.1 and 1.2.3.4", "10:30, so::on, 1:2", "a::1.2.3.4", "1.2.3.4:5::6", "1:2:3:4:5:6:7:8", "::1", "x::1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    weak = F.filter(S.weak_spans(t, *S.WEAK[2]), lambda s: s["score"] >= 0.4)
+    both = df.select(t.rlike(S.COLONS).alias("colons"), S.detect_patterns(t, ["IP_ADDRESS"]).alias("got"), F.array_sort(F.concat(S.pattern_spans(t, "IP_ADDRESS"), weak)).alias("whole"))
+    rows = both.collect()
+    assert [r.colons for r in rows] == [False, False, True, True, True, False, False]
+    assert all(r.got == r.whole for r in rows) and [len(r.got) for r in rows] == [2, 0, 1, 2, 1, 1, 0]
