@@ -376,3 +376,11 @@ def test_only_texts_with_colons_are_searched_for_long_addresses(spark):
     rows = both.collect()
     assert [r.colons for r in rows] == [False, False, True, True, True, False, False]
     assert all(r.got == r.whole for r in rows) and [len(r.got) for r in rows] == [2, 0, 1, 2, 1, 1, 0]
+
+
+def test_texts_are_not_copied_beside_their_spans(spark):
+    from veritally.plans import privacy_queries
+
+    plan = privacy_queries.QUERIES["number_placeholders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    texts_kept = [line for line in plan.split("\n") if "Project" in line and "surface#" in line and "substring" in line and "explode" not in line]
+    assert not texts_kept
