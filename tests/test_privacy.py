@@ -384,3 +384,19 @@ def test_texts_are_not_copied_beside_their_spans(spark):
     plan = privacy_queries.QUERIES["number_placeholders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     texts_kept = [line for line in plan.split("\n") if "Project" in line and "surface#" in line and "substring" in line and "explode" not in line]
     assert not texts_kept
+
+
+def test_misses_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(outcome):
+        seen.add(1)
+        return outcome
+
+    kind = "doc_id long, outcome string, expected_start int, expected_end int, expected_type string"
+    matches = spark.createDataFrame([(1, "missed", 0, 3, "X"), (1, "matched", 4, 5, "X"), (2, "missed", 1, 2, "Y"), (None, "missed", 0, 1, "Y")], kind)
+    docs = spark.createDataFrame([(1, "abcdef"), (2, "ghi")], "doc_id long, text string")
+    found = P.detection_misses(matches.withColumn("outcome", counted("outcome")), docs).collect()
+    assert sorted((r.doc_id, r.entity_type, r.surface, r.context) for r in found) == [(1, "X", "abc", "abcdef"), (2, "Y", "h", "ghi")]
+    assert seen.value == matches.count()
