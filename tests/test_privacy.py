@@ -400,3 +400,12 @@ def test_misses_are_worked_out_once(spark):
     found = P.detection_misses(matches.withColumn("outcome", counted("outcome")), docs).collect()
     assert sorted((r.doc_id, r.entity_type, r.surface, r.context) for r in found) == [(1, "X", "abc", "abcdef"), (2, "Y", "h", "ghi")]
     assert seen.value == matches.count()
+
+
+def test_spans_are_sorted_without_a_comparison_in_a_lambda(spark):
+    df = spark.createDataFrame([("a@b.org 10.0.0.1 c@d.org",)], "t string").select(S.detect_patterns(F.col("t")).alias("s"))
+    assert "array_sort" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [s.start for s in df.first().s] == [0, 8, 17]
+    odd = [(5, 5, "B", 0.5), (5, 5, "A", 0.5), (9, 9, "C", 0.5), (7, 9, "D", 0.5), (8, 10, "E", 0.9)]
+    rows = spark.createDataFrame([(odd,), (odd[:1],), (odd[2:4],), ([],)], f"s array<{S.SPAN_SQL}>").select(S.merge_spans(F.col("s")).alias("m")).collect()
+    assert [[tuple(s) for s in r.m] for r in rows] == [[odd[1], odd[0], (7, 10, "E", 0.9)], odd[:1], [odd[3], odd[2]], []]
