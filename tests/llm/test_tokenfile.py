@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -53,6 +54,36 @@ def test_small_caches_and_other_kinds_of_vocabulary(library, monkeypatch):
         assert unsafe.encode(pa.array([text])).to_pylist() == [unsafe.library.encode(text, add_special_tokens=False).ids]
 
 
+def test_only_unknown_cuts_are_learnt(library, monkeypatch):
+    with open(VOCABULARY, encoding="utf-8") as f:
+        encoder = tokenfile.Encoder(f.read())
+    learnt, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda cuts: learnt.append(sorted(cuts)) or learn(cuts))
+    for text in ["one two, three.\nFour é.five", "one three, two!", "two, one"]:
+        assert encoder.encode(pa.array([text])).to_pylist() == [library.encode(text, add_special_tokens=False).ids]
+    assert learnt == [["\n", " three", " two", " é", ",", ".", ".five", "Four", "one"], ["!"], ["two", " one"][::-1]]
+
+
+def test_neighbouring_texts_do_not_touch(library):
+    pick = random.Random(8)
+    signs = [" ", "\n", "\t", "\r", "\xa0", "a", " b", "é", "×", ".", "'s", "7"]
+    texts = ["".join(pick.choices(signs, k=pick.randint(0, 4))) for _ in range(6000)] + ["a\t ", "b", "a\n", "\nb", "a", ".b", None]
+    with open(VOCABULARY, encoding="utf-8") as f:
+        encoder = tokenfile.Encoder(f.read())
+    assert encoder.encode(pa.array(texts), 2).to_pylist() == [ids_of(library, t) for t in texts]
+
+
+def test_texts_with_special_tokens_that_look_like_words():
+    with open(VOCABULARY, encoding="utf-8") as f:
+        spec = json.load(f)
+    token = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    spec["added_tokens"] += [{"id": 900_001, "content": "cat", **token}, {"id": 900_002, "content": "..", **token}]
+    definition = json.dumps(spec)
+    library, encoder = Tokenizer.from_str(definition), tokenfile.Encoder(definition)
+    texts = ["cats are", "a cat", "cat", "x...", "..", "cats", "a.b", "concatenate."]
+    assert encoder.encode(pa.array(texts)).to_pylist() == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 ROWS = [(7, "seven words stand in this very line", "x"), (3, None, "x"), (5, "", None), (-2, "minus two", "y"), (9, "long " * 60_000, "y")]
 ROWS += [(4, "a row that is repeated", "z")] * 40 + [(4, "the same id, another text", "z"), (None, "no id", "z")]
 

@@ -15,10 +15,11 @@ pages that hold it and no others, and a read of the other columns never touches
 
 Documents are ranged by (id, hash of the text, a spreading number): the texts move once, and an id
 that holds a large part of all rows is still cut over many ranges, since equal rows may stand in
-any order. Encoding happens after that shuffle, once. A text is cut before blanks that are followed
-by something other than white space, where the byte-level pattern always ends a piece, and a worker
-asks the library once for each distinct cut; texts with a special token in them, and vocabularies of
-another kind, are given to the library whole.
+any order. Encoding happens after that shuffle, once. The bytes of many texts are cut at once, at
+places where the byte-level pattern always ends a piece. Arrow finds the distinct cuts and looks them
+up among those the worker has met; the library is asked for the others, and the ids of all are laid out
+by one take. Texts with a special token in them, and vocabularies of another kind, are given to the
+library whole.
 
 Null and empty texts are a lone end id. Null ids come first. Rows with equal ids are rows of their own,
 ordered by the hash of their text. Other columns are not read, whatever their names. An empty table
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritally.llm.bpe import byte_characters
-from veritally.llm.textscan import slices
+from veritally.llm.textscan import binary_parts, slices
 
 END_ID = 2
 ROW_GROUP_ROWS = 50_000
@@ -55,26 +56,41 @@ DIGESTS = "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 big
 
 #: Equal rows are spread over so many numbers, so no id is too large for a range.
 SPREAD = 1 << 16
-BYTES_AT_ONCE = 6 << 20
-CACHE_CUTS = 150_000
+BYTES_AT_ONCE = 4 << 20
+#: A worker keeps so many cuts and their ids; beyond that those of the last slice stay.
+CACHE_CUTS = 200_000
 LONGEST_CACHED = 48
-MARK = "\0"
-#: Stops that begin a piece after a letter or digit; letters and digits below this character are the same in every Unicode version.
+#: Stops that begin a piece after a letter or digit; letters and digits below LATIN_ENDS are the same in every Unicode version.
 STOPS = ".,;:!?"
 LATIN_ENDS = "\u0250"
-#: All that any definition takes for white space; a blank before one of these is no place to cut.
-WHITE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
-#: The same without blank and line break, and what those two may not stand in.
-OTHER_WHITE = re.compile(r"[\x09\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
-CUT = re.compile(f"(?= [^{WHITE}])")
+#: All that any definition takes for white space.
+WHITE = re.compile(r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+
+
+def _bytes(*parts: int | range) -> np.ndarray:
+    """Which of the 256 bytes are named."""
+    table = np.zeros(256, bool)
+    for p in parts:
+        table[p if isinstance(p, int) else list(p)] = True
+    return table
+
+
+#: White space by every definition.
+SURE_WHITE = _bytes(9, 10, 13, 32)
+#: Bytes that are, or may begin, a character that some definition takes for white space.
+MAYBE_WHITE = _bytes(11, 12, range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF)
+#: What is no white space by any definition, seen by its first byte.
+NOT_WHITE = ~(SURE_WHITE | MAYBE_WHITE)
+IS_STOP = _bytes(*STOPS.encode())
+IS_ALNUM = _bytes(range(48, 58), range(65, 91), range(97, 123))
 
 
 class Encoder:
     """The library's ids of whole texts, as little-endian 32-bit integers.
 
-    A cut is known by its text without the blank that it begins with; one that begins without a blank (the first of
-    a text or of a line) by its text behind MARK. A lone line break is a cut of its own.
+    Texts are cut where the byte-level pattern ends a piece whatever stands around: before a blank that something other
+    than white space follows, and between a letter or digit and a stop. Where it is sure what is white space, also
+    before a run of it, and after a lone line break. Each cut is a text of its own, with the blank that it begins with.
     """
 
     def __init__(self, definition: str):
@@ -86,6 +102,7 @@ class Encoder:
         self.library.no_padding()
         pieces = spec.get("pre_tokenizer") or {}
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, self.specials)) if self.specials else "(?!)").search
         self.line_break = self._library(["\n"])[0]
         self.model = self.library.model
         self.id_bytes = [i.to_bytes(4, "little") for i in range(1 + max([0, *self.library.get_vocab(with_added_tokens=True).values()]))]
@@ -100,154 +117,127 @@ class Encoder:
             and pieces.get("use_regex", True)
             and len(self.line_break) == 4
         )
-        # Two generations: when the young one is full it becomes the old one, and what is still in use moves over.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # Cuts that were met before, and the ids of each beside it.
+        self.known = pa.array([], pa.large_string())
+        self.known_ids = pa.array([], pa.large_binary())
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _cuts(text: str) -> list[str]:
-        """The text in cuts that the library may encode one by one, whatever white space is in it."""
-        first, *rest = CUT.split(text)
-        return [MARK + first, *[r[1:] for r in rest]]
-
-    @staticmethod
-    def _text(cut: str) -> str:
-        return cut[1:] if cut[:1] == MARK else " " + cut
-
-    @staticmethod
-    def _finer(cut: str) -> list[str] | None:
-        """A cut in still smaller ones at its line breaks and before the stops of its words; none if other white space is in it.
-
-        A lone break between words is a piece of its own, and stops after a letter or digit begin one.
-        """
-        out = []
-        for i, line in enumerate(cut.split("\n")):
-            if i:
-                out.append("\n")
-                line = MARK + line
-            word = line[1:] if line[:1] == MARK else line
-            if word.split() != [word]:
-                return None
-            base = line.rstrip(STOPS)
-            if base != line and base[-1:].isalnum() and base[-1] < LATIN_ENDS:
-                out += [base, MARK + line[len(base) :]]
-            else:
-                out.append(line)
-        return out
-
-    def _words(self, cuts: list[str]) -> dict[str, bytes]:
-        """The ids of cuts without white space, as lines of one text: a break between two of them is a piece, which shows where a cut ends."""
-        lines = [self._text(c) for c in cuts]
-        ids = np.frombuffer(self._library(["\n".join(lines)])[0], "<u4")
+    def _words(self, cuts: list[str]) -> list[bytes]:
+        """The ids of cuts without white space but a first blank, as lines of one text: a break between two of them is a piece, which shows where a cut ends."""
+        ids = np.frombuffer(self._library(["\n".join(cuts)])[0], "<u4")
         ends = np.append(np.flatnonzero(ids == np.frombuffer(self.line_break, "<u4")), len(ids))
         if len(ends) != len(cuts):
-            return dict(zip(cuts, self._library(lines), strict=True))
-        data, at, found = ids.tobytes(), 0, {}
-        for c, end in zip(cuts, (ends * 4).tolist(), strict=True):
-            found[c] = data[at:end]
+            return self._library(cuts)
+        data, at, found = ids.tobytes(), 0, []
+        for end in (ends * 4).tolist():
+            found.append(data[at:end])
             at = end + 4
         return found
 
-    def _word(self, word: str, blank: str) -> bytes:
-        """The ids of one piece, behind a blank or not: a run of letters or of stops. It goes to the library's merges at once."""
-        seen = blank + (word if word.isascii() else word.encode().decode("latin-1").translate(self.visible))
-        id_bytes = self.id_bytes
-        return b"".join([id_bytes[t.id] for t in self.model.tokenize(seen)])
-
-    def _learn(self, cuts: set[str]) -> None:
-        """Puts the ids of these cuts among the young."""
-        young, old, blank, word_ids = self.young, self.old, self.blank, self._word
-        known = old.get
-        young["\n"], young[MARK] = self.line_break, b""
-        made: dict[str, list[str]] = {}
-        words, others = set(), []
-        for c in cuts - young.keys():
-            found = known(c)
-            if found is not None:
-                young[c] = found
-                continue
-            bare = c[0] == MARK
-            body = c[1:] if bare else c
-            base = body.rstrip(STOPS)
-            if base.isalpha() and (base.isascii() or max(base) < LATIN_ENDS):
-                if len(base) == len(body):
-                    young[c] = word_ids(base, "" if bare else blank)
-                    continue
-                key = MARK + base if bare else base
-                ids = young.get(key) or known(key) or word_ids(base, "" if bare else blank)
-                stops = MARK + body[len(base) :]
-                if stops not in young:
-                    young[stops] = word_ids(stops[1:], "")
-                young[key] = ids
-                young[c] = ids + young[stops]
-                continue
-            finer = self._finer(c)
-            if finer is None:
-                others.append(c)
-                continue
-            made[c] = finer
-            for w in finer:
-                if w not in young:
-                    found = known(w)
-                    if found is not None:
-                        young[w] = found
-                    else:
-                        words.add(w)
-        if words:
-            young.update(self._words(list(words)))
-        for c, finer in made.items():
-            if len(finer) > 1:
-                young[c] = b"".join([young[w] for w in finer])
-        young.update(zip(others, self._library([self._text(c) for c in others]), strict=True))
+    def _learn(self, cuts: list[str]) -> list[bytes]:
+        """The ids of these cuts. A lone run of letters or of stops, behind a blank or not, is one piece and goes to the library's merges at once."""
+        found: list[bytes] = [b""] * len(cuts)
+        words, others = [], []
+        tokenize, special, id_bytes, visible, blank = self.model.tokenize, self.special, self.id_bytes, self.visible, self.blank
+        for i, c in enumerate(cuts):
+            body = c[1:] if c[0] == " " else c
+            if not self.cuts_are_safe or not body or special(c) is not None:
+                others.append(i)
+            elif not body.strip(STOPS) or body.isalpha() and (body.isascii() or max(body) < LATIN_ENDS):
+                seen = body if body.isascii() else body.encode().decode("latin-1").translate(visible)
+                tokens = tokenize(seen if body is c else blank + seen)
+                found[i] = id_bytes[tokens[0].id] if len(tokens) == 1 else b"".join([id_bytes[t.id] for t in tokens])
+            elif WHITE.search(body) is None:
+                words.append(i)
+            else:
+                others.append(i)
+        for some, ids in ((words, self._words), (others, self._library)):
+            if some:
+                for i, b in zip(some, ids([cuts[i] for i in some]), strict=True):
+                    found[i] = b
+        return found
+
+    def _cut_starts(self, at: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Where the cuts of these texts begin; each text that is not empty begins one."""
+        begins = at[:-1][at[:-1] < at[1:]]
+        if not self.cuts_are_safe:
+            return begins
+        white = np.zeros(len(data) + 2, bool)  # with a byte before and one behind them
+        np.take(SURE_WHITE, data, out=white[1:-1])
+        begin = np.zeros(len(data) + 1, bool)
+        blanks = np.flatnonzero(data[:-1] == 32)
+        begin[blanks[NOT_WHITE[data[blanks + 1]]]] = True
+        begin[at[1:][at[:-1] < at[1:]] - 1] = False  # nothing follows the last blank of a text
+        stops = np.flatnonzero(IS_STOP[data])
+        stops = stops[stops > 1]
+        last, lead = data[stops - 1], data[stops - 2]
+        # U+00C0 to U+023F are letters but for two signs.
+        latin = (last >= 0x80) & (last < 0xC0) & (lead >= 0xC3) & (lead <= 0xC8) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+        begin[stops[IS_ALNUM[last] | latin]] = True
+        runs = np.flatnonzero(white[1:-1] & ~white[:-2])
+        lone = runs[(data[runs] == 10) & ~white[runs + 2]] + 1
+        doubtful = self._texts_with_doubtful_white(at, data)
+        if len(doubtful):
+            sure = np.ones(len(at) - 1, bool)
+            sure[doubtful] = False
+            sure = np.append(np.repeat(sure, np.diff(at)), True)
+            runs, lone = runs[sure[runs]], lone[sure[lone - 1]]
+        begin[runs] = True
+        begin[lone] = True
+        whole = data.tobytes() if self.specials else b""
+        for special in {s.encode() for s in self.specials}:
+            if special in whole:
+                for i in range(len(at) - 1):
+                    if special in whole[at[i] : at[i + 1]]:
+                        begin[at[i] : at[i + 1]] = False
+        begin[begins] = True
+        return np.flatnonzero(begin[:-1])
+
+    @staticmethod
+    def _texts_with_doubtful_white(at: np.ndarray, data: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(MAYBE_WHITE[data])
+        rows = np.unique(np.searchsorted(at, maybe, "right") - 1)
+        text = data.tobytes() if len(rows) else b""
+        return np.array([i for i in rows.tolist() if any(w not in " \n\r\t" for w in WHITE.findall(text[at[i] : at[i + 1]].decode()))], np.int64)
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> pa.ListArray:
         """The ids of each text, with `end_id` after them if there is one, as a list column.
 
-        Arrow splits the texts and finds the distinct cuts; Python sees each of those once.
+        Arrow finds the distinct cuts and those among them that are known; Python sees the others.
         """
-        strings = texts.fill_null("").to_pylist()
-        apart: dict[int, bytes] = {}
-        for i, text in enumerate(strings):
-            if not self.cuts_are_safe or MARK in text or any(s in text for s in self.specials):
-                apart[i] = self._library([text])[0]
-            elif any(p in text for p in ODD_PAIRS) or text[-1:] in (" ", "\n") or OTHER_WHITE.search(text) is not None:
-                cuts = self._cuts(text)
-                self._learn(set(cuts))
-                apart[i] = b"".join([self.young[c] for c in cuts])
-        # White space is single blanks and single breaks now: a blank begins a cut, a break is one.
-        plain = pa.array([MARK if i in apart else MARK + t for i, t in enumerate(strings)], pa.large_string())
-        cut = pc.split_pattern(pc.replace_substring(plain, "\n", f" \n {MARK}"), " ")
-        coded = cut.flatten().dictionary_encode()
-        first, codes = cut.offsets.to_numpy(), coded.indices.to_numpy().astype(np.int64)
-        keys = coded.dictionary.to_pylist()
-        wanted = set(keys)
-        self._learn(wanted)
-        young = self.young
-        # A row that was encoded apart is one entry of the table, in the place of its only cut.
-        table = [young[k] for k in keys]
-        codes[first[list(apart)]] = len(keys) + np.arange(len(apart))
-        table += apart.values()
-        table.append(b"" if end_id is None else int(end_id).to_bytes(4, "little"))
-        codes = np.insert(codes, first[1:], len(table) - 1)
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) >> 2
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[codes]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        narrow = np.int32 if total < 1 << 31 else np.int64
-        at = np.repeat((begins[codes] - (ends - counts)).astype(narrow), counts)
-        at += np.arange(total, dtype=narrow)
-        ids = np.frombuffer(b"".join(table), "<i4")[at]
-        rows = np.concatenate([[0], ends[first[1:] + np.arange(len(strings))]]) if len(strings) else np.zeros(1, np.int64)
-        for c in keys:
-            if len(c) > LONGEST_CACHED:
-                young.pop(c, None)
-        if len(young) > CACHE_CUTS:
-            self.old, self.young = young, {}
-        return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids, pa.int32()))
+        at, data = binary_parts(texts)
+        starts = self._cut_starts(at, data)
+        borders = np.append(starts, len(data))
+        cuts = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = cuts.dictionary_encode()
+        keys = coded.dictionary
+        place = pc.index_in(keys, value_set=self.known)
+        new = keys.filter(place.is_null())
+        known = pa.concat_arrays([self.known, new])
+        known_ids = pa.concat_arrays([self.known_ids, pa.array(self._learn(new.to_pylist()), pa.large_binary())])
+        place = place.fill_null(-1).to_numpy().copy()
+        place[place < 0] = np.arange(len(self.known), len(known))
+        codes = place[coded.indices.to_numpy()]
+        first = np.searchsorted(starts, at)
+        if end_id is not None:
+            codes = np.insert(codes, first[1:], len(known))
+            first = first + np.arange(len(first))
+        table = pa.concat_arrays([known_ids, pa.array([int(end_id or 0).to_bytes(4, "little")], pa.large_binary())])
+        _, offsets, ids = table.take(pa.array(codes)).buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: len(codes) + 1] if len(codes) else np.zeros(1, np.int64)
+        self._keep(known, known_ids, place)
+        values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]) >> 2, [None, ids]) if offsets[-1] else pa.array([], pa.int32())
+        return pa.ListArray.from_arrays(pa.array((offsets[first] >> 2).astype(np.int32)), values)
+
+    def _keep(self, known: pa.Array, known_ids: pa.Array, used: np.ndarray) -> None:
+        """What is known from now on: all short cuts, or those just used if there are too many."""
+        if len(known) > CACHE_CUTS:
+            chosen = pa.array(np.sort(used))
+            known, known_ids = known.take(chosen), known_ids.take(chosen)
+        short = pc.less_equal(pc.binary_length(known), LONGEST_CACHED)
+        self.known, self.known_ids = known.filter(short), known_ids.filter(short)
 
 
 @lru_cache(maxsize=2)
