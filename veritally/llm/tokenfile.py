@@ -63,8 +63,9 @@ LONGEST_CACHED = 48
 #: Stops that begin a piece after a letter or digit; letters and digits below LATIN_ENDS are the same in every Unicode version.
 STOPS = ".,;:!?"
 LATIN_ENDS = "\u0250"
-#: All that any definition takes for white space.
-WHITE = re.compile(r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: What some definition takes for white space, without blank, tab and line breaks; and all together.
+DOUBTFUL = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+WHITE = re.compile(r"[\t\n\r ]|" + DOUBTFUL.pattern)
 
 
 def _bytes(*parts: int | range) -> np.ndarray:
@@ -200,7 +201,7 @@ class Encoder:
         maybe = np.flatnonzero(MAYBE_WHITE[data])
         rows = np.unique(np.searchsorted(at, maybe, "right") - 1)
         text = data.tobytes() if len(rows) else b""
-        return np.array([i for i in rows.tolist() if any(w not in " \n\r\t" for w in WHITE.findall(text[at[i] : at[i + 1]].decode()))], np.int64)
+        return np.array([i for i in rows.tolist() if DOUBTFUL.search(text[at[i] : at[i + 1]].decode()) is not None], np.int64)
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> pa.ListArray:
         """The ids of each text, with `end_id` after them if there is one, as a list column.
